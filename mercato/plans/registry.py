@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.functions.numeric import decimals_to_double
+from mercato.plans import reports
 from mercato.plans.model import Warehouse, lazy_warehouse
 from mercato.session import configure
 from mercato.sources.testdata import raw_from_testdata
@@ -43,3 +44,113 @@ def query(name: str):
 @query("monthly_revenue")
 def _monthly(wh, spark, sf_dir):
     return wh["vw_monthly_revenue"]
+
+
+# ---- star schema -------------------------------------------------------------
+
+for _name in ("dim_product", "dim_customer", "dim_seller", "dim_date", "fct_order_items"):
+    query(_name)(lambda wh, spark, sf_dir, _n=_name: wh[_n])
+
+
+# ---- views -------------------------------------------------------------------
+
+@query("category_performance")
+def _category_performance(wh, spark, sf_dir):
+    return wh["vw_category_performance"]
+
+
+@query("seller_scorecard")
+def _seller_scorecard(wh, spark, sf_dir):
+    return wh["vw_seller_scorecard"]
+
+
+@query("delivery_sla_by_state")
+def _sla_by_state(wh, spark, sf_dir):
+    return wh["vw_delivery_sla"]
+
+
+# ---- reports -----------------------------------------------------------------
+
+@query("delivery_sla_overall")
+def _sla_overall(wh, spark, sf_dir):
+    return reports.delivery_sla_overall(wh)
+
+
+@query("revenue_trend_day")
+def _trend_day(wh, spark, sf_dir):
+    return reports.revenue_trend(wh, "day")
+
+
+@query("revenue_trend_week")
+def _trend_week(wh, spark, sf_dir):
+    return reports.revenue_trend(wh, "week")
+
+
+@query("revenue_trend_month_bounded")
+def _trend_month_bounded(wh, spark, sf_dir):
+    return reports.revenue_trend(wh, "month", "1996-03-15", "1998-06-30")
+
+
+@query("revenue_trend_week_bounded")
+def _trend_week_bounded(wh, spark, sf_dir):
+    return reports.revenue_trend(wh, "week", "1997-01-01", "1997-01-31")
+
+
+@query("top_categories")
+def _top_categories(wh, spark, sf_dir):
+    return reports.top_categories(wh, 5)
+
+
+@query("top_sellers")
+def _top_sellers(wh, spark, sf_dir):
+    return reports.seller_scorecard(wh, 20)
+
+
+@query("aov_overall")
+def _aov_overall(wh, spark, sf_dir):
+    return reports.aov_overall(wh)
+
+
+@query("aov_by_category")
+def _aov_by_category(wh, spark, sf_dir):
+    return reports.aov_by_category(wh)
+
+
+@query("aov_by_payment_type")
+def _aov_by_payment(wh, spark, sf_dir):
+    return reports.aov_by_payment_type(wh)
+
+
+@query("repeat_customers")
+def _repeat_customers(wh, spark, sf_dir):
+    return reports.repeat_customers(wh)
+
+
+@query("object_counts")
+def _object_counts(wh, spark, sf_dir):
+    return reports.object_counts(wh)
+
+
+@query("raw_row_counts")
+def _raw_row_counts(wh, spark, sf_dir):
+    return reports.raw_row_counts(raw_from_testdata(spark, sf_dir))
+
+
+@query("sample_monthly")
+def _sample_monthly(wh, spark, sf_dir):
+    return reports.sample_monthly(wh)
+
+
+@query("sample_categories")
+def _sample_categories(wh, spark, sf_dir):
+    return reports.sample_categories(wh)
+
+
+@query("sample_sellers")
+def _sample_sellers(wh, spark, sf_dir):
+    return reports.sample_sellers(wh)
+
+
+@query("sample_states")
+def _sample_states(wh, spark, sf_dir):
+    return reports.sample_states(wh)
