@@ -7,9 +7,10 @@ Payments are per order and stay out of the fact (they would double count).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions.dates import elapsed_days, iso_dow, weekday_name_padded
@@ -113,6 +114,8 @@ class Warehouse:
 
     tables: dict[str, DataFrame]
     raw: dict[str, DataFrame] = field(default_factory=dict)
+    # Rebuilds the same warehouse in another session (used for isolation).
+    loader: Callable[[SparkSession], "Warehouse"] | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -125,6 +128,11 @@ class Warehouse:
     def payments(self) -> DataFrame:
         return self.raw["order_payments"]
 
+    def in_session(self, session: SparkSession) -> "Warehouse":
+        if self.loader is None:
+            raise ValueError("this warehouse cannot be re-created in another session")
+        return self.loader(session)
+
 
 def model_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Dimensions and fact from the raw tables (nothing is executed)."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mercato.functions.numeric import decimals_to_double
 from mercato.plans import reports
@@ -23,7 +24,9 @@ QUERIES: dict[str, Query] = {}
 
 def warehouse_for(spark: SparkSession, sf_dir: str) -> Warehouse:
     configure(spark)
-    return lazy_warehouse(raw_from_testdata(spark, sf_dir))
+    wh = lazy_warehouse(raw_from_testdata(spark, sf_dir))
+    wh.loader = lambda session: warehouse_for(session, sf_dir)
+    return wh
 
 
 def query(name: str):
@@ -154,3 +157,105 @@ def _sample_sellers(wh, spark, sf_dir):
 @query("sample_states")
 def _sample_states(wh, spark, sf_dir):
     return reports.sample_states(wh)
+
+
+# ---- ad-hoc SQL surface ------------------------------------------------------
+
+def _events(spark, sf_dir):
+    from mercato.sources.testdata import read_test_table
+
+    return read_test_table(spark, sf_dir, "events")
+
+
+ADHOC_SQL = ("SELECT order_id, order_item_id, item_revenue FROM analytics.fct_order_items "
+             "ORDER BY item_revenue DESC, order_id, order_item_id;")
+GENERATED_SQL = ("```sql\nSELECT category, revenue FROM vw_category_performance "
+                 "ORDER BY revenue DESC LIMIT 5\n```")
+
+
+@query("screen_queries")
+def _screen_queries(wh, spark, sf_dir):
+    from mercato.operators.screen import screen_queries
+    from mercato.sources.activity import query_log_from_events
+
+    log = query_log_from_events(_events(spark, sf_dir))
+    return screen_queries(log).select("id", "username", "sql", "verdict", "reason")
+
+
+@query("clean_sql_text")
+def _clean_sql_text(wh, spark, sf_dir):
+    from mercato.functions.text import clean_sql_text
+    from mercato.sources.activity import generated_log_from_events
+
+    gen = generated_log_from_events(_events(spark, sf_dir))
+    return gen.select("id", "generated", clean_sql_text(F.col("generated")).alias("sql"))
+
+
+@query("adhoc_capped")
+def _adhoc_capped(wh, spark, sf_dir):
+    from mercato.plans.adhoc import run_read_only
+
+    return run_read_only(wh, spark, ADHOC_SQL).frame
+
+
+@query("nl_query_rows")
+def _nl_query_rows(wh, spark, sf_dir):
+    from mercato.plans.adhoc import generated_query
+
+    return generated_query(wh, spark, "top five categories", GENERATED_SQL)["frame"]
+
+
+# ---- access and audit --------------------------------------------------------
+
+def _access(spark, sf_dir):
+    from mercato.operators.access import access_decisions, permissions_frame
+    from mercato.sources.activity import requests_from_events, users_from_events
+
+    ev = _events(spark, sf_dir)
+    return access_decisions(requests_from_events(ev), users_from_events(ev),
+                            permissions_frame(spark))
+
+
+@query("access_decisions")
+def _access_decisions(wh, spark, sf_dir):
+    return _access(spark, sf_dir)
+
+
+@query("query_audit")
+def _query_audit(wh, spark, sf_dir):
+    from mercato.plans.audit import screen_and_audit
+    from mercato.sources.activity import query_log_from_events, users_from_events
+
+    ev = _events(spark, sf_dir)
+    return screen_and_audit(query_log_from_events(ev), users_from_events(ev))
+
+
+@query("nl_query_audit")
+def _nl_query_audit(wh, spark, sf_dir):
+    from mercato.functions.text import clean_sql_text
+    from mercato.operators.screen import screen_queries
+    from mercato.plans.audit import nl_query_audit
+    from mercato.sources.activity import generated_log_from_events, users_from_events
+
+    ev = _events(spark, sf_dir)
+    users = users_from_events(ev).where(F.col("is_active")
+                                        & F.col("role").isin("analyst", "admin"))
+    gen = generated_log_from_events(ev).join(users.select("username", "role"), "username")
+    cleaned = gen.withColumn("sql", clean_sql_text(F.col("generated")))
+    return nl_query_audit(screen_queries(cleaned))
+
+
+@query("login_audit")
+def _login_audit(wh, spark, sf_dir):
+    from mercato.plans.audit import login_audit
+    from mercato.sources.activity import login_attempts_from_events, users_from_events
+
+    ev = _events(spark, sf_dir)
+    return login_audit(login_attempts_from_events(ev), users_from_events(ev))
+
+
+@query("latest_audit")
+def _latest_audit(wh, spark, sf_dir):
+    from mercato.plans.audit import latest_audit
+
+    return latest_audit(_access(spark, sf_dir), 100)
