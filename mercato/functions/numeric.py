@@ -11,7 +11,10 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HUNDRED = F.lit(Decimal("100.0"))
+
+def hundred() -> Column:
+    """The literal 100.0 as decimal(4,1), so percentages stay exact."""
+    return F.lit(Decimal("100.0"))
 
 
 def round2(c: Column) -> Column:
@@ -30,7 +33,7 @@ def safe_div(num: Column, den: Column) -> Column:
 
 def pct(num: Column, den: Column) -> Column:
     """round(100.0 * num / NULLIF(den, 0), 2) in exact decimal arithmetic."""
-    return round2(safe_div(HUNDRED * num, den))
+    return round2(safe_div(hundred() * num, den))
 
 
 def exact_avg(c: Column) -> Column:

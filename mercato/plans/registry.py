@@ -259,3 +259,22 @@ def _latest_audit(wh, spark, sf_dir):
     from mercato.plans.audit import latest_audit
 
     return latest_audit(_access(spark, sf_dir), 100)
+
+
+# ---- result shaping for charts -----------------------------------------------
+
+@query("coerce_numeric")
+def _coerce_numeric(wh, spark, sf_dir):
+    """The seller scorecard as it arrives in text form, coerced back to numbers."""
+    from mercato.functions.coerce import coerce_numeric
+
+    view = wh["vw_seller_scorecard"]
+    as_text = view.select(*[F.col(c).cast("string").alias(c) for c in view.columns])
+    return coerce_numeric(as_text)
+
+
+@query("sla_chart_rows")
+def _sla_chart_rows(wh, spark, sf_dir):
+    from mercato.functions.coerce import drop_missing
+
+    return drop_missing(wh["vw_delivery_sla"], "on_time_pct")

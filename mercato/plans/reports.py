@@ -17,7 +17,7 @@ from mercato.functions.dates import check_granularity, period_start
 from mercato.functions.numeric import money_ratio, pct
 from mercato.operators.ranking import top_k_ranked
 from mercato.plans.model import Warehouse
-from mercato.plans.views import (DELIVERED, delivered_lines, seller_aggregate, sla_final,
+from mercato.plans.views import (delivered_lines, is_delivered, seller_aggregate, sla_final,
                                  sla_measures, with_running_growth)
 
 # Fixed defaults and bounds of the report arguments.
@@ -51,7 +51,7 @@ def revenue_trend(wh: Warehouse, granularity: str = "month", date_from=None,
     check_granularity(granularity)
     date_from, date_to = _as_date(date_from), _as_date(date_to)
     ts = F.col("order_purchase_timestamp")
-    cond = DELIVERED
+    cond = is_delivered()
     if date_from is not None:
         cond = cond & (ts >= F.lit(date_from).cast("timestamp_ntz"))
         cond = cond & (F.col("order_month") >= F.lit(date_from.replace(day=1)))

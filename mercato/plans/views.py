@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from mercato.functions.numeric import exact_avg, pct, round2, safe_div
 from mercato.operators.ranking import global_rank, small_rank
 
-DELIVERED = F.col("order_status") == "delivered"
+
+def is_delivered():
+    return F.col("order_status") == "delivered"
 
 
 def delivered_lines(fact: DataFrame) -> DataFrame:
-    return fact.where(DELIVERED)
+    return fact.where(is_delivered())
 
 
 def with_running_growth(per: DataFrame, key: str) -> DataFrame:

@@ -34,7 +34,8 @@ def _conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def _interval(days, hours=F.lit(0)):
+def _interval(days, hours=None):
+    hours = F.lit(0) if hours is None else hours
     return F.make_dt_interval(days.cast("int"), hours.cast("int"))
 
 
