@@ -23,7 +23,7 @@ def numeric_plan(df: DataFrame) -> dict[str, str]:
         return {}
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(text_cols):
-        as_double = F.try_cast(F.col(c), T.DoubleType())
+        as_double = F.col(c).try_cast(T.DoubleType())
         aggs.append(F.count_if(as_double.isNotNull() & ~F.isnan(as_double)).alias(f"d{i}"))
         aggs.append(F.count_if(F.col(c).rlike(_INTEGRAL)).alias(f"i{i}"))
     stats = df.agg(*aggs).first()
