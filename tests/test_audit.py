@@ -1,0 +1,77 @@
+"""Access decisions and audit projections on small request tables."""
+
+import datetime as dt
+
+from mercato.operators.access import access_decisions, permissions_frame
+from mercato.plans.audit import (append_audit, latest_audit, login_audit, query_audit,
+                                 read_audit)
+from mercato.operators.screen import screen_queries
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def users(spark):
+    return spark.createDataFrame(
+        [("v", "viewer", True), ("a", "analyst", True), ("adm", "admin", True),
+         ("off", "admin", False)], "username string, role string, is_active boolean")
+
+
+def requests(spark, rows):
+    return spark.createDataFrame(
+        [(i, u, m, p, q, T0) for i, (u, m, p, q) in enumerate(rows)],
+        "id long, username string, method string, path string, query_string string, "
+        "created_at timestamp_ntz")
+
+
+def test_role_matrix(spark):
+    req = requests(spark, [
+        ("v", "GET", "/metrics/revenue", "granularity=day"),
+        ("v", "POST", "/query", ""),
+        ("a", "POST", "/query", ""),
+        ("a", "GET", "/admin/audit-log", "limit=5"),
+        ("adm", "GET", "/admin/users", ""),
+        ("off", "GET", "/metrics/aov", ""),        # inactive: no row
+        ("ghost", "GET", "/metrics/aov", ""),      # unknown: no row
+        ("v", "GET", "/health", ""),               # unguarded route: no row
+    ])
+    got = {r["id"]: (r["status"], r["action"], r["detail"], r["role"])
+           for r in access_decisions(req, users(spark), permissions_frame(spark)).collect()}
+    assert got == {
+        0: ("allowed", "GET /metrics/revenue", "granularity=day", "viewer"),
+        1: ("denied", "POST /query", None, "viewer"),
+        2: ("allowed", "POST /query", None, "analyst"),
+        3: ("denied", "GET /admin/audit-log", "limit=5", "analyst"),
+        4: ("allowed", "GET /admin/users", None, "admin"),
+    }
+
+
+def test_query_audit_details(spark):
+    log = spark.createDataFrame(
+        [(1, "a", "analyst", "SELECT 1", T0), (2, "a", "analyst", "DROP TABLE x", T0)],
+        "id long, username string, role string, sql string, created_at timestamp_ntz")
+    got = {r["id"]: (r["status"], r["detail"], r["action"])
+           for r in query_audit(screen_queries(log)).collect()}
+    assert got[1] == ("allowed", "SELECT 1", "query")
+    assert got[2] == ("denied", "DROP TABLE x -> only SELECT/WITH (read-only) queries are allowed",
+                      "query")
+
+
+def test_login_audit(spark):
+    attempts = spark.createDataFrame(
+        [(1, "a", True, T0), (2, "a", False, T0), (3, "off", True, T0), (4, "ghost", True, T0)],
+        "id long, username string, authenticated boolean, created_at timestamp_ntz")
+    got = {r["id"]: (r["status"], r["role"], r["detail"])
+           for r in login_audit(attempts, users(spark)).collect()}
+    assert got == {1: ("allowed", "analyst", None), 2: ("denied", None, "bad credentials"),
+                   3: ("denied", None, "bad credentials"), 4: ("denied", None, "bad credentials")}
+
+
+def test_append_and_latest(spark, scratch):
+    req = requests(spark, [("v", "GET", "/metrics/aov", "")] * 5)
+    audit = access_decisions(req, users(spark), permissions_frame(spark))
+    append_audit(audit, scratch + "/audit")
+    append_audit(audit, scratch + "/audit")
+    stored = read_audit(spark, scratch + "/audit")
+    assert stored.count() == 10
+    top = latest_audit(stored, 3).collect()
+    assert [r["id"] for r in top] == [4, 4, 3]
