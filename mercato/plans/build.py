@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -75,14 +76,39 @@ def _write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     writer.parquet(path)
 
 
+# Independent writes are submitted from a few driver threads so small tables
+# do not leave the cluster idle; results are gathered before publishing.
+WRITE_THREADS = 4
+
+
+def run_all(tasks: dict[str, callable]) -> dict:
+    """Run independent Spark jobs concurrently; re-raise the first failure."""
+    with ThreadPoolExecutor(max_workers=WRITE_THREADS) as pool:
+        futures = {name: pool.submit(task) for name, task in tasks.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
+def _land_one(df: DataFrame, table: str, build_path: str) -> int:
+    obs = Observation(f"rows_{table}")
+    _write(df.observe(obs, F.count(F.lit(1)).alias("n")), f"{build_path}/raw/{table}")
+    return int(obs.get["n"])
+
+
 def land_raw(raw: dict[str, DataFrame], build_path: str) -> dict[str, int]:
     """Write each landing table once; its row count is observed on the write."""
-    counts = {}
-    for table, df in raw.items():
-        obs = Observation(f"rows_{table}")
-        _write(df.observe(obs, F.count(F.lit(1)).alias("n")), f"{build_path}/raw/{table}")
-        counts[table] = int(obs.get["n"])
-    return counts
+    return run_all({table: (lambda df=df, table=table: _land_one(df, table, build_path))
+                    for table, df in raw.items()})
+
+
+def _write_dimension(spark: SparkSession, df: DataFrame, dim: str, path: str) -> None:
+    _write(df, f"{path}/{dim}")
+    assert_primary_key(spark.read.parquet(f"{path}/{dim}"), PRIMARY_KEYS[dim], dim)
+
+
+def _write_fact(df: DataFrame, path: str) -> None:
+    # Rebalance by month (AQE splits big months, merges small ones) so each
+    # month is written as a few advisory-sized files, not one per task.
+    _write(df.hint("rebalance", "order_month"), f"{path}/{FACT}", partition_by="order_month")
 
 
 def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
@@ -98,13 +124,10 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     landed = {t: spark.read.parquet(f"{path}/raw/{t}") for t in raw}
     if analytics:
         tables = model_tables(landed)
-        for dim in DIMENSIONS:
-            _write(tables[dim], f"{path}/{dim}")
-            assert_primary_key(spark.read.parquet(f"{path}/{dim}"), PRIMARY_KEYS[dim], dim)
-        # Rebalance by month (AQE splits big months, merges small ones) so each
-        # month is written as a few advisory-sized files, not one per task.
-        _write(tables[FACT].hint("rebalance", "order_month"), f"{path}/{FACT}",
-               partition_by="order_month")
+        tasks = {dim: (lambda dim=dim: _write_dimension(spark, tables[dim], dim, path))
+                 for dim in DIMENSIONS}
+        tasks[FACT] = lambda: _write_fact(tables[FACT], path)
+        run_all(tasks)
     spark.createDataFrame([(build_id, analytics, counts and sum(counts.values()))],
                           "build_id string, analytics boolean, raw_rows long") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/{PUBLISHED}")
