@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Leading/trailing whitespace of any kind (F.trim only removes blanks).
-_EDGE_BLANKS = r"^\s+|\s+$"
+# Whitespace characters trimmed from both ends (the \s class of Java regex;
+# F.trim alone only removes blanks).
+WHITESPACE = " \t\n\u000b\f\r"
 # Markdown code fence at the start (optionally tagged sql) or at the end.
 _FENCE = r"(?i)^```(?:sql)?\s*|\s*```$"
 
 
 def strip_blanks(c: Column) -> Column:
     """Remove leading and trailing whitespace, newlines included."""
-    return F.regexp_replace(c, _EDGE_BLANKS, "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def clean_sql_text(c: Column) -> Column:

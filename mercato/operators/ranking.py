@@ -33,43 +33,53 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
 
 def value_ranks_desc(df: DataFrame, value: str, out: str, buckets: int | None = None,
                      accuracy: int = 10000) -> DataFrame:
-    """One row per distinct ``value`` (NULL included) with its descending rank."""
+    """One row per distinct ``value`` (NULL included) with its descending rank.
+
+    NULL is the greatest value (bucket -1), then buckets 0, 1, ... hold ever
+    smaller values, so rank = 1 + rows in earlier buckets + rows before it in
+    its own bucket. Only one-row (bounds) and one-row-per-bucket (offsets)
+    tables are broadcast.
+    """
     n_buckets = _bucket_count(df, buckets)
     v = F.col(value)
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    nulls = counts.where(v.isNull()).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_nulls"))
-    present = counts.where(v.isNotNull())
-
     probs = [i / n_buckets for i in range(1, n_buckets)]
     if probs:
-        bounds = present.agg(F.percentile_approx(value, probs, accuracy).alias("_b"))
-        bucket = F.size(F.filter(F.col("_b"), lambda b: b > v))
-        bucketed = (present.crossJoin(F.broadcast(bounds))
-                    .select(value, "_n", F.coalesce(bucket, F.lit(0)).alias("_bucket")))
+        bounds = counts.agg(F.percentile_approx(value, probs, accuracy).alias("_b"))
+        in_range = F.coalesce(F.size(F.filter(F.col("_b"), lambda b: b > v)), F.lit(0))
+        with_bounds = counts.crossJoin(F.broadcast(bounds))
     else:
-        bucketed = present.select(value, "_n", F.lit(0).alias("_bucket"))
+        in_range, with_bounds = F.lit(0), counts
+    bucketed = with_bounds.select(
+        value, "_n", F.when(v.isNull(), F.lit(-1)).otherwise(in_range).alias("_bucket"))
 
-    # Rows in buckets with a lower id hold strictly greater values.
     totals = bucketed.groupBy("_bucket").agg(F.sum("_n").alias("_t"))
     offsets = totals.select(
         "_bucket",
         F.coalesce(F.sum("_t").over(Window.orderBy("_bucket")
                                     .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_bucket").orderBy(v.desc())
-    greater_inside = F.coalesce(
+    inside = Window.partitionBy("_bucket").orderBy(v.desc_nulls_first())
+    before_inside = F.coalesce(
         F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = (bucketed.select(value, "_bucket", greater_inside.alias("_gt"))
-              .join(F.broadcast(offsets), "_bucket")
-              .crossJoin(F.broadcast(nulls))
-              .select(value, (F.lit(1) + F.col("_nulls") + F.col("_off") + F.col("_gt"))
-                      .cast("long").alias(out)))
-    null_rank = counts.where(v.isNull()).select(value, F.lit(1).cast("long").alias(out))
-    return ranked.unionByName(null_rank)
+    return (bucketed.select(value, "_bucket", before_inside.alias("_gt"))
+            .join(F.broadcast(offsets), "_bucket")
+            .select(value, (F.lit(1) + F.col("_off") + F.col("_gt")).cast("long").alias(out)))
+
+
+def global_rank(df: DataFrame, value: str, out: str, buckets: int | None = None,
+                materialize_input: bool = True) -> DataFrame:
+    """``df`` plus ``out`` = rank() OVER (ORDER BY value DESC NULLS FIRST).
 
+    The input feeds several branches (counts, bounds, bucket totals, the final
+    join). Their column pruning and filters differ, so Spark cannot reuse one
+    exchange for all of them; the input is therefore written once to the
+    shared checkpoint folder and every branch reads that copy.
+    """
+    if materialize_input:
+        from mercato.session import materialize
 
-def global_rank(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
-    """``df`` plus ``out`` = rank() OVER (ORDER BY value DESC NULLS FIRST)."""
+        df = materialize(df, "rank-input")
     ranks = value_ranks_desc(df, value, out, buckets).withColumnRenamed(value, "_rv")
     return (df.join(ranks, df[value].eqNullSafe(ranks["_rv"]), "inner")
               .drop("_rv"))

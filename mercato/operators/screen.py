@@ -75,13 +75,13 @@ def table_refs(body: Column) -> Column:
 
 
 def cte_names(body: Column) -> Column:
-    return F.transform(F.regexp_extract_all(body, F.lit(CTE_NAMES), 1), F.lower)
+    """Lower-cased names written as ``name AS (`` (the pattern ignores case)."""
+    return F.regexp_extract_all(F.lower(body), F.lit(CTE_NAMES), 1)
 
 
-def disallowed_refs(body: Column, allowed: Iterable[str]) -> Column:
+def disallowed_refs(refs: Column, ctes: Column, allowed: Iterable[str]) -> Column:
     """FROM/JOIN targets that are not allowed, in order of appearance."""
     allowed_arr = F.array(*[F.lit(a.lower()) for a in sorted(set(allowed))])
-    ctes = cte_names(body)
 
     def known(name: Column) -> Column:
         return F.array_contains(allowed_arr, name) | F.array_contains(ctes, name)
@@ -93,18 +93,10 @@ def disallowed_refs(body: Column, allowed: Iterable[str]) -> Column:
         rest = F.substring(name, dot + 1, F.length(name))
         return F.when(dot > 0, (schema == SCHEMA) & known(rest)).otherwise(known(name))
 
-    return F.filter(table_refs(body), lambda r: ~ok(r))
+    return F.filter(refs, lambda r: ~ok(r))
 
 
-def screen_reason(sql: Column, allowed: Iterable[str] = ANALYTICS_OBJECTS,
-                  block_code_calls: bool = False) -> Column:
-    """NULL when the statement passes, else the reason of the first failed rule."""
-    stripped = strip_blanks(sql)
-    body = statement_body(sql)
-    bad = disallowed_refs(body, allowed)
-    forbidden = body.rlike(FORBIDDEN_PATTERN)
-    if block_code_calls:
-        forbidden = forbidden | body.rlike(CODE_CALL_PATTERN)
+def _reason(stripped: Column, body: Column, bad: Column, forbidden: Column) -> Column:
     return (F.when(F.coalesce(stripped, F.lit("")) == "", F.lit(EMPTY))
             .when(body.contains(";"), F.lit(MULTIPLE))
             .when(body.contains("--") | body.contains("/*"), F.lit(COMMENTS))
@@ -113,10 +105,40 @@ def screen_reason(sql: Column, allowed: Iterable[str] = ANALYTICS_OBJECTS,
             .when(F.size(bad) > 0, F.concat(F.lit(NOT_ALLOWED), F.element_at(bad, 1))))
 
 
+def _forbidden(body: Column, block_code_calls: bool) -> Column:
+    hit = body.rlike(FORBIDDEN_PATTERN)
+    return hit | body.rlike(CODE_CALL_PATTERN) if block_code_calls else hit
+
+
+def screen_reason(sql: Column, allowed: Iterable[str] = ANALYTICS_OBJECTS,
+                  block_code_calls: bool = False) -> Column:
+    """NULL when the statement passes, else the reason of the first failed rule.
+
+    A single expression (used for one statement at a time); tables of
+    statements go through ``screen_queries``, which stages the same steps.
+    """
+    body = statement_body(sql)
+    bad = disallowed_refs(table_refs(body), cte_names(body), allowed)
+    return _reason(strip_blanks(sql), body, bad, _forbidden(body, block_code_calls))
+
+
 def screen_queries(df: DataFrame, sql_col: str = "sql",
-                   allowed: Iterable[str] = ANALYTICS_OBJECTS) -> DataFrame:
-    """``df`` plus ``verdict`` ('allowed' / 'denied') and ``reason`` (NULL if allowed)."""
-    reason = screen_reason(F.col(sql_col), allowed)
-    return (df.withColumn("reason", reason)
-              .withColumn("verdict", F.when(F.col("reason").isNull(), F.lit("allowed"))
-                          .otherwise(F.lit("denied"))))
+                   allowed: Iterable[str] = ANALYTICS_OBJECTS,
+                   block_code_calls: bool = False) -> DataFrame:
+    """``df`` plus ``verdict`` ('allowed' / 'denied') and ``reason`` (NULL if allowed).
+
+    Each intermediate (trimmed text, statement body, references, CTE names)
+    is its own column, computed once per row; the optimizer keeps them apart
+    because they are used more than once.
+    """
+    cols = df.columns
+    staged = (df.withColumn("_stripped", strip_blanks(F.col(sql_col)))
+                .withColumn("_body", F.regexp_replace("_stripped", TRAILING_SEMICOLONS, ""))
+                .withColumn("_refs", table_refs(F.col("_body")))
+                .withColumn("_ctes", cte_names(F.col("_body")))
+                .withColumn("_bad", disallowed_refs(F.col("_refs"), F.col("_ctes"), allowed)))
+    reason = _reason(F.col("_stripped"), F.col("_body"), F.col("_bad"),
+                     _forbidden(F.col("_body"), block_code_calls))
+    return staged.select(
+        *cols, reason.alias("reason")).withColumn(
+        "verdict", F.when(F.col("reason").isNull(), F.lit("allowed")).otherwise(F.lit("denied")))

@@ -56,12 +56,19 @@ def clean_one(spark: SparkSession, text: str | None) -> str:
 
 
 def isolated_session(wh: Warehouse, spark: SparkSession) -> SparkSession:
-    """A fresh session whose catalogue holds only the analytics objects."""
+    """A session whose catalogue holds only the analytics objects.
+
+    Created once per warehouse and reused (statements cannot change it: the
+    screen admits SELECT/WITH only, and DDL words are blocked).
+    """
+    if wh.isolated is not None:
+        return wh.isolated
     session = spark.newSession()
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     iso = wh.in_session(session)
     for name in ANALYTICS_OBJECTS:
         iso[name].createOrReplaceTempView(name)
+    wh.isolated = session
     return session
 
 

@@ -116,13 +116,20 @@ class Warehouse:
     raw: dict[str, DataFrame] = field(default_factory=dict)
     # Rebuilds the same warehouse in another session (used for isolation).
     loader: Callable[[SparkSession], "Warehouse"] | None = None
+    # The isolated session for ad-hoc SQL, created on first use.
+    isolated: SparkSession | None = field(default=None, repr=False, compare=False)
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.tables[name]
+        """The object ``name``; views are built on first access (some run a job)."""
+        obj = self.tables[name]
+        if callable(obj):
+            obj = obj()
+            self.tables[name] = obj
+        return obj
 
     @property
     def fact(self) -> DataFrame:
-        return self.tables["fct_order_items"]
+        return self["fct_order_items"]
 
     @property
     def payments(self) -> DataFrame:

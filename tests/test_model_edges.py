@@ -49,7 +49,7 @@ def test_null_month_sorts_last_in_running_total(spark):
     orders = [order("a", purchase=ts(2017, 1, 5)), order("b", purchase=ts(2017, 2, 5)),
               ("n", "c-n", "delivered", None, None, None, None, None)]
     items = [item("a", 1, price="10.00"), item("b", 1, price="20.00"), item("n", 1, price="5.00")]
-    view = wh_of(spark, orders=orders, items=items).tables["vw_monthly_revenue"]
+    view = wh_of(spark, orders=orders, items=items)["vw_monthly_revenue"]
     got = rows(view.orderBy("running_total_revenue"), "order_month", "running_total_revenue")
     assert [g[1] for g in got] == [Decimal("10.00"), Decimal("30.00"), Decimal("35.00")]
     assert got[-1][0] is None
@@ -59,7 +59,7 @@ def test_growth_null_after_zero_revenue(spark):
     orders = [order("a", purchase=ts(2017, 1, 5)), order("b", purchase=ts(2017, 2, 5)),
               order("c", purchase=ts(2017, 3, 5))]
     items = [item("a", 1, price="0.00"), item("b", 1, price="20.00"), item("c", 1, price="30.00")]
-    view = wh_of(spark, orders=orders, items=items).tables["vw_monthly_revenue"]
+    view = wh_of(spark, orders=orders, items=items)["vw_monthly_revenue"]
     got = [r["mom_growth_pct"] for r in view.orderBy("order_month").collect()]
     assert got == [None, None, Decimal("50.00")]
 
@@ -68,7 +68,7 @@ def test_category_rank_ties_and_share(spark):
     orders = [order(o) for o in "abc"]
     items = [item("a", 1, product="p1", price="10.00"), item("b", 1, product="p2", price="10.00"),
              item("c", 1, product="p3", price="5.00")]
-    view = wh_of(spark, orders=orders, items=items).tables["vw_category_performance"]
+    view = wh_of(spark, orders=orders, items=items)["vw_category_performance"]
     got = sorted(rows(view, "category", "revenue_rank", "revenue_share_pct"))
     assert got == [("a_en", 1, Decimal("40.00")), ("b_en", 1, Decimal("40.00")),
                    ("c_en", 3, Decimal("20.00"))]
@@ -76,7 +76,7 @@ def test_category_rank_ties_and_share(spark):
 
 def test_category_fallbacks(spark):
     products = [("p1", "cat_x", 1, 1, 1, 1, 1, 1, 1), ("p2", None, 1, 1, 1, 1, 1, 1, 1)]
-    dim = wh_of(spark, products=products).tables["dim_product"]
+    dim = wh_of(spark, products=products)["dim_product"]
     assert sorted(rows(dim, "product_id", "category")) == [("p1", "cat_x"), ("p2", "unknown")]
 
 
@@ -126,14 +126,14 @@ def test_payment_type_uses_primary_payment_only(spark):
 
 def test_duplicate_key_fails(spark):
     products = [("p1", "a", 1, 1, 1, 1, 1, 1, 1), ("p1", "b", 1, 1, 1, 1, 1, 1, 1)]
-    dim = wh_of(spark, products=products).tables["dim_product"]
+    dim = wh_of(spark, products=products)["dim_product"]
     with pytest.raises(KeyViolation):
         assert_primary_key(dim, "product_id", "dim_product")
 
 
 def test_dim_date_is_continuous(spark):
     orders = [order("a", purchase=ts(2017, 1, 30)), order("b", purchase=ts(2017, 2, 2, 23))]
-    dd = wh_of(spark, orders=orders, items=[item("a", 1)]).tables["dim_date"]
+    dd = wh_of(spark, orders=orders, items=[item("a", 1)])["dim_date"]
     got = rows(dd.orderBy("date_key"), "date_key", "iso_dow", "weekday_name", "is_weekend",
                "year_month")
     assert [str(g[0]) for g in got] == ["2017-01-30", "2017-01-31", "2017-02-01", "2017-02-02"]
