@@ -278,3 +278,24 @@ def _sla_chart_rows(wh, spark, sf_dir):
     from mercato.functions.coerce import drop_missing
 
     return drop_missing(wh["vw_delivery_sla"], "on_time_pct")
+
+
+# ---- streaming ---------------------------------------------------------------
+
+@query("access_audit_stream")
+def _access_audit_stream(wh, spark, sf_dir):
+    """Events as a file stream -> access decisions -> exactly-once audit sink."""
+    import uuid
+
+    from mercato.plans.audit import read_audit
+    from mercato.session import scratch_path
+    from mercato.sources.activity import requests_from_events, users_from_events
+    from mercato.streaming.audit_stream import decisions_stream, file_stream, start_audit_stream
+
+    static_events = _events(spark, sf_dir)
+    stream = file_stream(spark, sf_dir, static_events.schema, glob="events.parquet")
+    decisions = decisions_stream(requests_from_events(stream), users_from_events(static_events),
+                                 spark)
+    audit_path = scratch_path(spark, f"mercato/audit-{uuid.uuid4().hex}")
+    start_audit_stream(decisions, audit_path).awaitTermination()
+    return read_audit(spark, audit_path)
