@@ -8,10 +8,11 @@ operators here give the same numbers with every step partitioned:
 * ``global_rank``: rank(v) = 1 + number of rows ordered strictly before v.
   Rows are first collapsed to distinct values with their multiplicity
   (partial aggregation absorbs hot values), distinct values are cut into
-  value buckets by approximate quantiles (one row of bounds), per-bucket
-  totals give bucket offsets (one row per bucket), and a window partitioned
-  by bucket adds the count inside the bucket. Equal values always share a
-  bucket, so ties get one rank, exactly as SQL ``rank()``.
+  value buckets at approximate quantiles (one pass; at most 1,025 split
+  points reach the driver), per-bucket totals give bucket offsets (one row
+  per bucket), and a window partitioned by bucket adds the count inside the
+  bucket. Equal values always share a bucket, so ties get one rank, exactly
+  as SQL ``rank()``.
 * ``top_k_ranked``: the first k rows by an ordered limit (each partition
   keeps k rows) and their rank computed inside that prefix, which equals the
   global rank because every row ordered before a prefix row is in the prefix.
@@ -25,10 +26,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucket_count(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return max(1, int(buckets))
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+# At most this many quantile bounds are computed (one pass, a bounded list on
+# the driver); buckets aim at ROWS_PER_BUCKET distinct values each, a size one
+# task sorts comfortably.
+MAX_BUCKETS = 1024
+ROWS_PER_BUCKET = 1_000_000
+
+
+def bucket_splits(counts: DataFrame, value: str, buckets: int | None = None,
+                  accuracy: int = 10000) -> list[float]:
+    """Increasing split points (as doubles) that cut the distinct values evenly.
+
+    One aggregation returns the number of distinct values and up to
+    MAX_BUCKETS - 1 approximate quantiles; the driver keeps every j-th bound so
+    that each bucket holds about ROWS_PER_BUCKET values (or ``buckets``).
+    """
+    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    as_double = F.col(value).cast("double")
+    row = counts.agg(F.count(as_double).alias("n"),
+                     F.percentile_approx(as_double, probs, accuracy).alias("b")).first()
+    n, bounds = row["n"], row["b"] or []
+    wanted = buckets or max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
+    step = max(1, len(probs) // max(1, wanted))
+    picked = sorted({b for b in bounds[step - 1::step] if b is not None})
+    return [float("-inf")] + picked + [float("inf")]
 
 
 def value_ranks_desc(df: DataFrame, value: str, out: str, buckets: int | None = None,
@@ -37,21 +58,26 @@ def value_ranks_desc(df: DataFrame, value: str, out: str, buckets: int | None =
 
     NULL is the greatest value (bucket -1), then buckets 0, 1, ... hold ever
     smaller values, so rank = 1 + rows in earlier buckets + rows before it in
-    its own bucket. Only one-row (bounds) and one-row-per-bucket (offsets)
-    tables are broadcast.
+    its own bucket. The bucket of a value is found by binary search over the
+    split points (``Bucketizer``, JVM side); the double cast is monotone, so
+    equal values share a bucket and bucket order follows value order. Only the
+    one-row-per-bucket offsets table is broadcast.
     """
-    n_buckets = _bucket_count(df, buckets)
+    from pyspark.ml.feature import Bucketizer
+
     v = F.col(value)
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    if probs:
-        bounds = counts.agg(F.percentile_approx(value, probs, accuracy).alias("_b"))
-        in_range = F.coalesce(F.size(F.filter(F.col("_b"), lambda b: b > v)), F.lit(0))
-        with_bounds = counts.crossJoin(F.broadcast(bounds))
-    else:
-        in_range, with_bounds = F.lit(0), counts
-    bucketed = with_bounds.select(
-        value, "_n", F.when(v.isNull(), F.lit(-1)).otherwise(in_range).alias("_bucket"))
+    splits = bucket_splits(counts, value, buckets, accuracy)
+    if len(splits) > 2:
+        last = len(splits) - 2          # highest ascending bucket index
+        bucketizer = Bucketizer(splits=splits, inputCol="_vd", outputCol="_asc",
+                                handleInvalid="keep")
+        with_asc = bucketizer.transform(counts.withColumn("_vd", v.cast("double")))
+        desc_bucket = F.lit(last) - F.col("_asc").cast("int")
+    else:                               # a single bucket: no interior split point
+        with_asc, desc_bucket = counts, F.lit(0)
+    bucketed = with_asc.select(
+        value, "_n", F.when(v.isNull(), F.lit(-1)).otherwise(desc_bucket).alias("_bucket"))
 
     totals = bucketed.groupBy("_bucket").agg(F.sum("_n").alias("_t"))
     offsets = totals.select(

@@ -25,7 +25,7 @@ def frame(spark, values):
                                  "id long, revenue decimal(23,2)")
 
 
-@pytest.mark.parametrize("seed,buckets", [(1, 4), (2, 8), (3, 1), (4, 16)])
+@pytest.mark.parametrize("seed,buckets", [(1, 4), (2, 8), (3, 1), (4, 16), (5, None), (6, 300)])
 def test_global_rank_matches_brute_force(spark, seed, buckets):
     rnd = random.Random(seed)
     # a hot value holding a third of the rows, ties, NULLs and spread values
