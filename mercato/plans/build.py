@@ -142,20 +142,36 @@ def published_builds(spark: SparkSession, root: str) -> list[str]:
 
 
 def load_warehouse(spark: SparkSession, root: str, build_id: str | None = None) -> Warehouse:
-    """The newest published build (or ``build_id``) as a Warehouse with its views."""
+    """The newest published build (or ``build_id``) as a Warehouse with its views.
+
+    Objects are opened on first access, so a report lists and reads only the
+    tables it uses (the fact's month folders are discovered once per load).
+    """
     if build_id is None:
         builds = published_builds(spark, root)
         if not builds:
             raise FileNotFoundError(f"no published warehouse build under {root}")
         build_id = builds[-1]
     path = f"{root.rstrip('/')}/build={build_id}"
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in DIMENSIONS}
+    tables: dict = {name: (lambda name=name: spark.read.parquet(f"{path}/{name}"))
+                    for name in DIMENSIONS}
     # Partition columns come back last; restore the fact's column order.
-    tables[FACT] = spark.read.parquet(f"{path}/{FACT}").select(*FACT_COLUMNS)
-    tables.update(view_tables(tables))
-    raw = {"order_payments": spark.read.parquet(f"{path}/raw/order_payments")}
-    return Warehouse(tables=tables, raw=raw,
-                     loader=lambda session: load_warehouse(session, root, build_id))
+    tables[FACT] = lambda: spark.read.parquet(f"{path}/{FACT}").select(*FACT_COLUMNS)
+    wh = Warehouse(tables=tables, raw={},
+                   loader=lambda session: load_warehouse(session, root, build_id))
+    wh.tables.update(view_tables(_TableView(wh)))
+    wh.raw_loaders = {"order_payments": lambda: spark.read.parquet(f"{path}/raw/order_payments")}
+    return wh
+
+
+class _TableView:
+    """Dict-like access to a warehouse's objects that resolves them lazily."""
+
+    def __init__(self, wh: Warehouse):
+        self._wh = wh
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._wh[name]
 
 
 def build_from_csv(spark: SparkSession, src_dir: str, root: str,

@@ -118,6 +118,8 @@ class Warehouse:
     loader: Callable[[SparkSession], "Warehouse"] | None = None
     # The isolated session for ad-hoc SQL, created on first use.
     isolated: SparkSession | None = field(default=None, repr=False, compare=False)
+    # Raw tables opened on first use.
+    raw_loaders: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         """The object ``name``; views are built on first access (some run a job)."""
@@ -133,6 +135,8 @@ class Warehouse:
 
     @property
     def payments(self) -> DataFrame:
+        if "order_payments" not in self.raw:
+            self.raw["order_payments"] = self.raw_loaders["order_payments"]()
         return self.raw["order_payments"]
 
     def in_session(self, session: SparkSession) -> "Warehouse":

@@ -130,12 +130,17 @@ def vw_delivery_sla(fact: DataFrame, dim_customer: DataFrame) -> DataFrame:
                    F.col("_on_time"), F.col("_on_time_known")))
 
 
-def view_tables(tables: dict[str, DataFrame]) -> dict:
-    """View factories: each view is planned when first read."""
-    fact = tables["fct_order_items"]
+def view_tables(tables) -> dict:
+    """View factories: each view is planned when first read.
+
+    ``tables`` maps object names to DataFrames (or resolves them lazily).
+    """
     return {
-        "vw_monthly_revenue": lambda: vw_monthly_revenue(fact),
-        "vw_category_performance": lambda: vw_category_performance(fact, tables["dim_product"]),
-        "vw_seller_scorecard": lambda: vw_seller_scorecard(fact, tables["dim_seller"]),
-        "vw_delivery_sla": lambda: vw_delivery_sla(fact, tables["dim_customer"]),
+        "vw_monthly_revenue": lambda: vw_monthly_revenue(tables["fct_order_items"]),
+        "vw_category_performance": lambda: vw_category_performance(
+            tables["fct_order_items"], tables["dim_product"]),
+        "vw_seller_scorecard": lambda: vw_seller_scorecard(
+            tables["fct_order_items"], tables["dim_seller"]),
+        "vw_delivery_sla": lambda: vw_delivery_sla(
+            tables["fct_order_items"], tables["dim_customer"]),
     }
