@@ -41,3 +41,8 @@ def elapsed_days(start: Column, end: Column) -> Column:
     """Exact elapsed days between two timestamps as a decimal."""
     micros = microseconds_between(start, end).cast("decimal(20,0)")
     return micros / F.lit(86_400_000_000).cast("decimal(12,0)")
+
+
+def period_date(c: Column) -> Column:
+    """Period text (or a date) as a DATE for charting; a no-op on DATE input."""
+    return F.to_date(c)

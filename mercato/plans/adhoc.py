@@ -92,3 +92,42 @@ def generated_query(wh: Warehouse, spark: SparkSession, question: str,
     sql = clean_one(spark, generated_sql)
     result = run_read_only(wh, spark, sql, max_rows)
     return {"question": question, "sql": sql, "frame": result.frame}
+
+
+@dataclass
+class AuditedRun:
+    rows: list | None          # at most the row cap; None when denied or failed
+    audit: tuple               # one row in the audit schema
+
+
+def run_and_audit(wh: Warehouse, spark: SparkSession, request_id: int, username: str,
+                  role: str, sql: str, created_at, max_rows: int | None = None,
+                  action: str = "query") -> AuditedRun:
+    """Run one ad-hoc statement and produce its audit row.
+
+    ``allowed`` (detail: the SQL), ``denied`` (detail: SQL -> screen reason) or
+    ``error`` (detail: SQL -> engine message) - the three outcomes of the
+    query route. The capped rows are the response and are the only data that
+    reaches the driver.
+    """
+    from mercato.plans.audit import error_audit_row
+
+    try:
+        result = run_read_only(wh, spark, sql, max_rows)
+    except GuardrailError as exc:
+        return AuditedRun(None, (request_id, username, role, action, f"{sql} -> {exc}",
+                                 "denied", created_at))
+    except Exception as exc:  # noqa: BLE001 - analysis errors surface here
+        return AuditedRun(None, error_audit_row(request_id, username, role, action, sql,
+                                                _message(exc), created_at))
+    try:
+        rows = result.frame.collect()
+    except Exception as exc:  # noqa: BLE001 - runtime errors surface here
+        return AuditedRun(None, error_audit_row(request_id, username, role, action, sql,
+                                                _message(exc), created_at))
+    return AuditedRun(rows, (request_id, username, role, action, sql, "allowed", created_at))
+
+
+def _message(exc: Exception) -> str:
+    text = str(exc).strip().splitlines()
+    return text[0] if text else type(exc).__name__

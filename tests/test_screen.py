@@ -108,3 +108,20 @@ def test_generated_query_path(spark, wh):
                           "```sql\nSELECT category FROM vw_category_performance LIMIT 3\n```")
     assert out["sql"] == "SELECT category FROM vw_category_performance LIMIT 3"
     assert out["frame"].count() == 3
+
+
+def test_run_and_audit_outcomes(spark, wh):
+    import datetime as dt
+
+    from mercato.plans.adhoc import run_and_audit
+
+    t = dt.datetime(2024, 1, 1)
+    ok = run_and_audit(wh, spark, 1, "a", "analyst", "SELECT 1 AS x", t)
+    assert ok.audit[5] == "allowed" and ok.rows[0]["x"] == 1 and ok.audit[4] == "SELECT 1 AS x"
+    denied = run_and_audit(wh, spark, 2, "a", "analyst", "DROP TABLE x", t)
+    assert denied.rows is None and denied.audit[5] == "denied"
+    assert denied.audit[4] == "DROP TABLE x -> " + S.NOT_READ_ONLY
+    err = run_and_audit(wh, spark, 3, "a", "analyst",
+                        "SELECT * FROM vw_delivery_sla a, raw.orders b", t)
+    assert err.rows is None and err.audit[5] == "error"
+    assert err.audit[4].startswith("SELECT * FROM vw_delivery_sla a, raw.orders b -> ")
