@@ -1,0 +1,61 @@
+"""Joins that stay balanced when one key holds a large share of the rows.
+
+``salted_join(big, small, key)`` is for a join where ``small`` has at most one
+row per key (a dimension or per-order table). Keys of ``big`` with more rows
+than one task should process are found by an exact count per key; each hot
+key gets a number of salts proportional to its row count. Rows of ``big`` get
+a deterministic salt (a hash of the row, so retries reproduce it), the
+matching ``small`` row is repeated once per salt, and the join runs on
+(key, salt). A key holding a third of all rows is thus spread over many tasks;
+every row still takes part and nothing is sampled or dropped.
+
+Only the hot keys (at most MAX_HOT_KEYS, each a key and a salt count) reach the
+driver and are broadcast. Keys beyond that bound, if any, simply go through
+the normal join, where AQE's skew handling still applies.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ROWS_PER_TASK = 2_000_000
+MAX_HOT_KEYS = 10_000
+
+
+def hot_keys(big: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK,
+             max_keys: int = MAX_HOT_KEYS) -> list[tuple]:
+    """(key, salts) for keys with more than ``rows_per_task`` rows, largest first."""
+    counts = (big.select(key).where(F.col(key).isNotNull())
+              .groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+              .where(F.col("_rows") > rows_per_task)
+              .orderBy(F.col("_rows").desc()).limit(max_keys))
+    return [(r[key], int(-(-r["_rows"] // rows_per_task))) for r in counts.collect()]
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
+                rows_per_task: int = ROWS_PER_TASK, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """``big.join(small, key, how)`` with hot keys of ``big`` split across tasks.
+
+    ``small`` must hold at most one row per ``key``; ``how`` is inner or left.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("salted_join supports inner and left joins")
+    hot = hot_keys(big, key, rows_per_task, max_keys)
+    if not hot:
+        return big.join(small, key, how)
+    spark = big.sparkSession
+    key_type = big.schema[key].dataType.simpleString()
+    hot_df = F.broadcast(spark.createDataFrame(hot, f"{key} {key_type}, _salts int"))
+
+    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
+    big_salted = (big.join(hot_df, key, "left")
+                  .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
+                              .otherwise(F.pmod(row_hash, F.col("_salts")).cast("int")))
+                  .drop("_salts"))
+    small_salted = (small.join(hot_df, key, "left")
+                    .withColumn("_salt", F.explode(
+                        F.when(F.col("_salts").isNull(), F.array(F.lit(0)))
+                         .otherwise(F.sequence(F.lit(0), F.col("_salts") - 1))))
+                    .drop("_salts"))
+    return big_salted.join(small_salted, [key, "_salt"], how).drop("_salt")

@@ -3,7 +3,7 @@
 The fact joins three inputs that all share ``order_id``; Spark hash-partitions
 each of them once on that key and runs both joins on the same partitioning.
 Payments are per order and stay out of the fact (they would double count).
-"""
+"""  # noqa: D400
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions.dates import elapsed_days, iso_dow, weekday_name_padded
+from mercato.operators.skew import salted_join
 
 
 def dim_product(products: DataFrame, translation: DataFrame) -> DataFrame:
@@ -80,8 +81,13 @@ def order_review_scores(reviews: DataFrame) -> DataFrame:
 
 
 def fct_order_items(order_items: DataFrame, orders: DataFrame,
-                    reviews: DataFrame) -> DataFrame:
-    """One row per order line with revenue, delivery measures and review score."""
+                    reviews: DataFrame, split_hot_orders: bool = False) -> DataFrame:
+    """One row per order line with revenue, delivery measures and review score.
+
+    With ``split_hot_orders`` (used by the build) orders holding more lines
+    than one task should process are spread over several tasks by a salted
+    join; this costs one count per order_id over the order lines.
+    """
     oi = order_items.select("order_id", "order_item_id", "product_id", "seller_id",
                             "price", "freight_value")
     o = orders.select("order_id", "customer_id", "order_status",
@@ -91,7 +97,13 @@ def fct_order_items(order_items: DataFrame, orders: DataFrame,
     purchase = F.col("order_purchase_timestamp")
     delivered = F.col("order_delivered_customer_date")
     estimate = F.col("order_estimated_delivery_date")
-    joined = oi.join(o, "order_id", "inner").join(r, "order_id", "left")
+    # Orders and the per-order review score are both one row per order_id, so
+    # they are joined first; the order lines then meet them in one join.
+    order_info = o.join(r, "order_id", "left")
+    if split_hot_orders:
+        joined = salted_join(oi, order_info, "order_id", "inner")
+    else:
+        joined = oi.join(order_info, "order_id", "inner")
     return joined.select(
         "order_id", "order_item_id", "product_id", "seller_id", "customer_id",
         "order_status", "order_purchase_timestamp",
@@ -145,15 +157,20 @@ class Warehouse:
         return self.loader(session)
 
 
-def model_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Dimensions and fact from the raw tables (nothing is executed)."""
+def model_tables(raw: dict[str, DataFrame], split_hot_orders: bool = False
+                 ) -> dict[str, DataFrame]:
+    """Dimensions and fact from the raw tables.
+
+    Nothing is executed unless ``split_hot_orders`` asks for the per-order
+    line count that finds hot orders.
+    """
     return {
         "dim_product": dim_product(raw["products"], raw["product_category_name_translation"]),
         "dim_customer": dim_customer(raw["customers"]),
         "dim_seller": dim_seller(raw["sellers"]),
         "dim_date": dim_date(raw["orders"]),
         "fct_order_items": fct_order_items(raw["order_items"], raw["orders"],
-                                           raw["order_reviews"]),
+                                           raw["order_reviews"], split_hot_orders),
     }
 
 
