@@ -73,16 +73,27 @@ def isolated_session(wh: Warehouse, spark: SparkSession) -> SparkSession:
 
 
 def run_read_only(wh: Warehouse, spark: SparkSession, sql: str,
-                  max_rows: int | None = None) -> AdhocResult:
-    """Screen, cap and run ``sql`` on the analytics objects only."""
+                  max_rows: int | None = None, args: dict | None = None) -> AdhocResult:
+    """Screen, cap and run ``sql`` on the analytics objects only.
+
+    ``args`` binds named parameter markers (``:name``) instead of pasting
+    values into the text.
+    """
     screen_one(spark, sql)
     cap = int(max_rows or DEFAULT_MAX_ROWS)
     inner = sql.strip().rstrip(";")
     session = isolated_session(wh, spark)
-    frame = session.sql(_QUALIFIER.sub("", inner)).limit(cap)
+    frame = session.sql(_QUALIFIER.sub("", inner), args=args).limit(cap)
     return AdhocResult(sql=sql, frame=frame)
 
 
+def register_views(wh: Warehouse, session: SparkSession | None = None) -> None:
+    """Register the nine analytics objects as temp views (for trusted SQL users)."""
+    target = wh if session is None else wh.in_session(session)
+    for name in ANALYTICS_OBJECTS:
+        target[name].createOrReplaceTempView(name)
+
+
 def generated_query(wh: Warehouse, spark: SparkSession, question: str,
                     generated_sql: str, max_rows: int | None = None) -> dict:
     """Question + generated SQL text -> cleaned, screened, capped result.

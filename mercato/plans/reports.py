@@ -62,8 +62,9 @@ def revenue_trend(wh: Warehouse, granularity: str = "month", date_from=None,
            .groupBy(period_start(ts, granularity).alias("period"))
            .agg(F.sum("item_revenue").alias("revenue"),
                 F.count_distinct("order_id").alias("orders")))
-    return with_running_growth(per, "period").select(
-        "period", "revenue", "orders", "running_total_revenue", "mom_growth_pct")
+    return (with_running_growth(per, "period")
+            .orderBy(F.col("period").asc_nulls_last())
+            .select("period", "revenue", "orders", "running_total_revenue", "mom_growth_pct"))
 
 
 def top_categories(wh: Warehouse, limit: int = DEFAULT_TOP_CATEGORIES) -> DataFrame:
@@ -100,8 +101,9 @@ def aov_by_category(wh: Warehouse) -> DataFrame:
            .groupBy("category")
            .agg(F.sum("item_revenue").alias("revenue"),
                 F.count_distinct("order_id").alias("orders")))
-    return agg.select("category", money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
-                      "orders", "revenue")
+    return (agg.orderBy(F.col("revenue").desc_nulls_first(), "category")
+            .select("category", money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
+                    "orders", "revenue"))
 
 
 def aov_by_payment_type(wh: Warehouse) -> DataFrame:
@@ -117,8 +119,9 @@ def aov_by_payment_type(wh: Warehouse) -> DataFrame:
     agg = (order_rev.join(primary, "order_id").groupBy("payment_type")
            .agg(F.sum("order_revenue").alias("revenue"),
                 F.count(F.lit(1)).alias("orders")))
-    return agg.select("payment_type", money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
-                      "orders", "revenue")
+    return (agg.orderBy(F.col("revenue").desc_nulls_first(), "payment_type")
+            .select("payment_type", money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
+                    "orders", "revenue"))
 
 
 def aov(wh: Warehouse) -> dict[str, DataFrame]:
@@ -134,7 +137,9 @@ def delivery_sla_overall(wh: Warehouse) -> DataFrame:
 
 
 def delivery_sla(wh: Warehouse) -> dict[str, DataFrame]:
-    return {"overall": delivery_sla_overall(wh), "by_state": wh["vw_delivery_sla"]}
+    by_state = wh["vw_delivery_sla"].orderBy(F.col("delivered_items").desc_nulls_first(),
+                                             "customer_state")
+    return {"overall": delivery_sla_overall(wh), "by_state": by_state}
 
 
 def repeat_customers(wh: Warehouse) -> DataFrame:

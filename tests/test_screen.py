@@ -125,3 +125,8 @@ def test_run_and_audit_outcomes(spark, wh):
                         "SELECT * FROM vw_delivery_sla a, raw.orders b", t)
     assert err.rows is None and err.audit[5] == "error"
     assert err.audit[4].startswith("SELECT * FROM vw_delivery_sla a, raw.orders b -> ")
+
+
+def test_bound_parameters(spark, wh):
+    res = run_read_only(wh, spark, "SELECT date_key FROM dim_date WHERE year = :y", args={"y": 1997})
+    assert res.frame.count() == 365
