@@ -47,8 +47,8 @@ NOT_READ_ONLY = "only SELECT/WITH (read-only) queries are allowed"
 FORBIDDEN = "query contains a forbidden (non-read-only) keyword"
 NOT_ALLOWED = "table not allowed: "
 
+# The schema name and the patterns of the screen's rules.
 SCHEMA = "analytics"
-
 STARTS_OK = r"(?i)^\s*(with|select)\b"
 TABLE_REFS = r"(?i)\b(?:from|join)\s+([a-zA-Z_][\w.]*)"
 CTE_NAMES = r"(?i)([a-zA-Z_]\w*)\s+as\s*\("
