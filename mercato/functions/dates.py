@@ -33,14 +33,11 @@ def weekday_name_padded(d: Column) -> Column:
     return F.rpad(F.date_format(d, "EEEE"), 9, " ")
 
 
-def microseconds_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+MICROS_PER_DAY = 86_400_000_000
 
 
-def elapsed_days(start: Column, end: Column) -> Column:
-    """Exact elapsed days between two timestamps as a decimal."""
-    micros = microseconds_between(start, end).cast("decimal(20,0)")
-    return micros / F.lit(86_400_000_000).cast("decimal(12,0)")
+def microseconds_between(start: Column, end: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", start, end)
 
 
 def period_date(c: Column) -> Column:

@@ -58,3 +58,20 @@ def decimals_to_double(df):
             if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
             for f in df.schema.fields]
     return df.select(*cols)
+
+
+def hundredths_half_up(num: Column, den: Column) -> Column:
+    """round(num / den, 2) * 100 as a long, half away from zero, exact.
+
+    Integral division (SQL ``div``) keeps it in 64-bit arithmetic instead of
+    arbitrary-precision decimals; callers keep |num| * 200 below 2**63.
+    NULL when ``den`` is 0.
+    """
+    num, den = num.cast("long"), den.cast("long")
+    q = F.call_function("div", F.abs(num) * 200 + den, F.nullif(den, F.lit(0)) * 2)
+    return F.when(num < 0, -q).otherwise(q)
+
+
+def from_hundredths(q: Column, precision: int) -> Column:
+    """A long count of hundredths as decimal(precision, 2), exactly."""
+    return (q.cast("decimal(16,0)") * F.lit(Decimal("0.01"))).cast(f"decimal({precision},2)")

@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.functions.dates import elapsed_days, iso_dow, weekday_name_padded
+from mercato.functions.dates import (MICROS_PER_DAY, iso_dow, microseconds_between,
+                                     weekday_name_padded)
+from mercato.functions.numeric import from_hundredths, hundredths_half_up
 from mercato.operators.skew import salted_join
 
 
@@ -73,11 +75,13 @@ def dim_date(orders: DataFrame) -> DataFrame:
 
 
 def order_review_scores(reviews: DataFrame) -> DataFrame:
-    """Average review score per order as decimal(4,2)."""
-    return (reviews.where(F.col("review_score").isNotNull())
-            .groupBy("order_id")
-            .agg(F.avg(F.col("review_score").cast("decimal(10,0)"))
-                 .cast("decimal(4,2)").alias("avg_review_score")))
+    """Average review score per order as decimal(4,2) (exact, half away from zero)."""
+    per_order = (reviews.where(F.col("review_score").isNotNull())
+                 .groupBy("order_id")
+                 .agg(F.sum("review_score").alias("_s"), F.count("review_score").alias("_n")))
+    return per_order.select(
+        "order_id",
+        from_hundredths(hundredths_half_up(F.col("_s"), F.col("_n")), 4).alias("avg_review_score"))
 
 
 def fct_order_items(order_items: DataFrame, orders: DataFrame,
@@ -112,8 +116,10 @@ def fct_order_items(order_items: DataFrame, orders: DataFrame,
         "order_approved_at", "order_delivered_customer_date",
         "order_estimated_delivery_date", "price", "freight_value",
         (F.col("price") + F.col("freight_value")).alias("item_revenue"),
-        F.when(delivered.isNotNull(), elapsed_days(purchase, delivered))
-         .cast("decimal(8,2)").alias("delivery_days"),
+        F.when(delivered.isNotNull(),
+               from_hundredths(hundredths_half_up(microseconds_between(purchase, delivered),
+                                                  F.lit(MICROS_PER_DAY)), 8))
+         .alias("delivery_days"),
         F.when(delivered.isNull(), F.lit(None).cast("boolean"))
          .when(delivered <= estimate, F.lit(True))
          .otherwise(F.lit(False)).alias("on_time"),
