@@ -100,3 +100,18 @@ def test_raw_only_build(spark, scratch):
     res = build(spark, raw_from_testdata(spark, SF_SMALL), scratch + "/wh", analytics=False)
     assert res.raw_total == sum(res.raw_counts.values()) > 0
     assert not os.path.exists(res.path + "/fct_order_items")
+
+
+def test_cli_build_and_report(spark, scratch, capsys):
+    from mercato.cli import main
+
+    raw = raw_from_testdata(spark, SF_SMALL)
+    src = scratch + "/csv"
+    os.makedirs(src)
+    export_csv(spark, raw, src)
+    assert main(["build", "--src", src, "--root", scratch + "/wh"]) == 0
+    out = capsys.readouterr().out
+    assert "raw rows total" in out and "published build" in out
+    assert main(["report", "--root", scratch + "/wh", "top_categories", "--limit", "3"]) == 0
+    assert "revenue_rank" in capsys.readouterr().out
+    assert main(["build", "--src", scratch + "/nothing", "--root", scratch + "/wh2"]) == 1
