@@ -299,3 +299,21 @@ def _access_audit_stream(wh, spark, sf_dir):
     audit_path = scratch_path(spark, f"mercato/audit-{uuid.uuid4().hex}")
     start_audit_stream(decisions, audit_path).awaitTermination()
     return read_audit(spark, audit_path)
+
+
+@query("query_audit_stream")
+def _query_audit_stream(wh, spark, sf_dir):
+    """Events as a file stream -> submitted statements -> screen -> audit sink."""
+    import uuid
+
+    from mercato.plans.audit import read_audit
+    from mercato.session import scratch_path
+    from mercato.sources.activity import query_log_from_events, users_from_events
+    from mercato.streaming.audit_stream import file_stream, query_audit_stream, start_audit_stream
+
+    static_events = _events(spark, sf_dir)
+    stream = file_stream(spark, sf_dir, static_events.schema, glob="events.parquet")
+    audited = query_audit_stream(query_log_from_events(stream), users_from_events(static_events))
+    audit_path = scratch_path(spark, f"mercato/query-audit-{uuid.uuid4().hex}")
+    start_audit_stream(audited, audit_path).awaitTermination()
+    return read_audit(spark, audit_path)

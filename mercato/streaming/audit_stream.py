@@ -51,3 +51,15 @@ def file_stream(spark: SparkSession, directory: str, schema, glob: str = "*.parq
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(directory)
+
+
+def query_audit_stream(statements: DataFrame, users: DataFrame) -> DataFrame:
+    """Streaming audit of submitted statements: screen + verdict per statement.
+
+    ``statements``: id, username, sql, created_at (a stream). Only active users
+    whose role may use the query route are screened (others were rejected by
+    the access decision). Stateless: a projection plus a stream-static join.
+    """
+    from mercato.plans.audit import screen_and_audit
+
+    return screen_and_audit(statements, users)

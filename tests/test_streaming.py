@@ -34,3 +34,20 @@ def test_stream_appends_each_request_once(spark, scratch):
     run()   # restart from the same checkpoint: only the new file is processed
     got = sorted((r["id"], r["status"]) for r in read_audit(spark, audit).collect())
     assert got == [(1, "allowed"), (2, "denied"), (4, "allowed")]
+
+
+def test_query_audit_stream(spark, scratch):
+    from mercato.streaming.audit_stream import query_audit_stream
+
+    users = spark.createDataFrame([("a", "analyst", True), ("v", "viewer", True)],
+                                  "username string, role string, is_active boolean")
+    schema = "id long, username string, sql string, created_at timestamp_ntz"
+    spark.createDataFrame([(1, "a", "SELECT 1", T0), (2, "a", "DROP TABLE x", T0),
+                           (3, "v", "SELECT 1", T0)], schema) \
+        .coalesce(1).write.parquet(scratch + "/log/b=1")
+    stream = file_stream(spark, scratch + "/log", schema)
+    start_audit_stream(query_audit_stream(stream, users), scratch + "/audit",
+                       scratch + "/ckpt").awaitTermination()
+    got = {r["id"]: (r["status"], r["detail"]) for r in read_audit(spark, scratch + "/audit").collect()}
+    assert got == {1: ("allowed", "SELECT 1"),
+                   2: ("denied", "DROP TABLE x -> only SELECT/WITH (read-only) queries are allowed")}
