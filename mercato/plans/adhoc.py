@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from mercato.functions.text import clean_sql_text
 from mercato.operators.screen import screen_reason
 from mercato.plans.model import Warehouse
+from mercato.plans.views import vw_seller_scorecard
 from mercato.schemas import ANALYTICS_OBJECTS
 
 DEFAULT_MAX_ROWS = 1000  # fixed value: the reference's default row cap
@@ -66,6 +67,9 @@ def isolated_session(wh: Warehouse, spark: SparkSession) -> SparkSession:
     session = spark.newSession()
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     iso = wh.in_session(session)
+    # Registering a view must not run a job: the seller view stays lazy here.
+    iso.tables["vw_seller_scorecard"] = lambda: vw_seller_scorecard(
+        iso["fct_order_items"], iso["dim_seller"], materialize_input=False)
     for name in ANALYTICS_OBJECTS:
         iso[name].createOrReplaceTempView(name)
     wh.isolated = session

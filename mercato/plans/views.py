@@ -87,8 +87,16 @@ def seller_aggregate(fact: DataFrame, dim_seller: DataFrame) -> DataFrame:
         round2(F.col("avg_delivery_days")).alias("avg_delivery_days"))
 
 
-def vw_seller_scorecard(fact: DataFrame, dim_seller: DataFrame) -> DataFrame:
-    ranked = global_rank(seller_aggregate(fact, dim_seller), "revenue", "revenue_rank")
+def vw_seller_scorecard(fact: DataFrame, dim_seller: DataFrame,
+                        materialize_input: bool = True) -> DataFrame:
+    """Sellers with the distributed global revenue rank.
+
+    ``materialize_input=False`` keeps the view purely lazy (no job when it is
+    defined) at the price of re-reading the fact in each rank branch when it
+    is queried; used where the view may never be read (ad-hoc catalogue).
+    """
+    ranked = global_rank(seller_aggregate(fact, dim_seller), "revenue", "revenue_rank",
+                         materialize_input=materialize_input)
     return ranked.select("seller_id", "seller_state", "revenue", "items_sold", "orders",
                          "avg_review_score", "avg_delivery_days", "revenue_rank")
 
