@@ -29,12 +29,28 @@ def warehouse_for(spark: SparkSession, sf_dir: str) -> Warehouse:
     return wh
 
 
+class _OnDemand:
+    """Builds the warehouse on first use (queries over events never need it)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._args, self._wh = (spark, sf_dir), None
+
+    def __getattr__(self, name):
+        if self._wh is None:
+            self._wh = warehouse_for(*self._args)
+        return getattr(self._wh, name)
+
+    def __getitem__(self, name):
+        return self.__getattr__("__getitem__")(name)
+
+
 def query(name: str):
     """Register ``fn(wh, spark, sf_dir) -> DataFrame`` under ``name``."""
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return decimals_to_double(fn(warehouse_for(spark, sf_dir), spark, sf_dir))
+            configure(spark)
+            return decimals_to_double(fn(_OnDemand(spark, sf_dir), spark, sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
