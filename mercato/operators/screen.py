@@ -75,8 +75,15 @@ def table_refs(body: Column) -> Column:
 
 
 def cte_names(body: Column) -> Column:
-    """Lower-cased names written as ``name AS (`` (the pattern ignores case)."""
-    return F.regexp_extract_all(F.lower(body), F.lit(CTE_NAMES), 1)
+    """Lower-cased names written as ``name AS (`` (the pattern ignores case).
+
+    The full pattern backtracks over every identifier, so it only runs on
+    text that contains ``AS (`` at all.
+    """
+    lowered = F.lower(body)
+    return F.when(lowered.rlike(r"\sas\s*\("),
+                  F.regexp_extract_all(lowered, F.lit(CTE_NAMES), 1)) \
+            .otherwise(F.array().cast("array<string>"))
 
 
 def disallowed_refs(refs: Column, ctes: Column, allowed: Iterable[str]) -> Column:
@@ -96,13 +103,22 @@ def disallowed_refs(refs: Column, ctes: Column, allowed: Iterable[str]) -> Colum
     return F.filter(refs, lambda r: ~ok(r))
 
 
-def _reason(stripped: Column, body: Column, bad: Column, forbidden: Column) -> Column:
+def _text_reason(stripped: Column, body: Column, forbidden: Column) -> Column:
+    """Reason of rules 1-5 (NULL when they all pass)."""
     return (F.when(F.coalesce(stripped, F.lit("")) == "", F.lit(EMPTY))
             .when(body.contains(";"), F.lit(MULTIPLE))
             .when(body.contains("--") | body.contains("/*"), F.lit(COMMENTS))
             .when(~body.rlike(STARTS_OK), F.lit(NOT_READ_ONLY))
-            .when(forbidden, F.lit(FORBIDDEN))
-            .when(F.size(bad) > 0, F.concat(F.lit(NOT_ALLOWED), F.element_at(bad, 1))))
+            .when(forbidden, F.lit(FORBIDDEN)))
+
+
+def _ref_reason(bad: Column) -> Column:
+    """Reason of rule 6 from the list of disallowed references."""
+    return F.when(F.size(bad) > 0, F.concat(F.lit(NOT_ALLOWED), F.element_at(bad, 1)))
+
+
+def _reason(stripped: Column, body: Column, bad: Column, forbidden: Column) -> Column:
+    return F.coalesce(_text_reason(stripped, body, forbidden), _ref_reason(bad))
 
 
 def _forbidden(body: Column, block_code_calls: bool) -> Column:
@@ -132,13 +148,14 @@ def screen_queries(df: DataFrame, sql_col: str = "sql",
     because they are used more than once.
     """
     cols = df.columns
+    body = F.col("_body")
     staged = (df.withColumn("_stripped", strip_blanks(F.col(sql_col)))
                 .withColumn("_body", F.regexp_replace("_stripped", TRAILING_SEMICOLONS, ""))
-                .withColumn("_refs", table_refs(F.col("_body")))
-                .withColumn("_ctes", cte_names(F.col("_body")))
-                .withColumn("_bad", disallowed_refs(F.col("_refs"), F.col("_ctes"), allowed)))
-    reason = _reason(F.col("_stripped"), F.col("_body"), F.col("_bad"),
-                     _forbidden(F.col("_body"), block_code_calls))
-    return staged.select(
-        *cols, reason.alias("reason")).withColumn(
+                .withColumn("_pre", _text_reason(F.col("_stripped"), body,
+                                                 _forbidden(body, block_code_calls)))
+                # references are only looked at when rules 1-5 pass
+                .withColumn("_bad", F.when(F.col("_pre").isNull(), disallowed_refs(
+                    table_refs(body), cte_names(body), allowed))))
+    reason = F.coalesce(F.col("_pre"), _ref_reason(F.col("_bad")))
+    return staged.select(*cols, reason.alias("reason")).withColumn(
         "verdict", F.when(F.col("reason").isNull(), F.lit("allowed")).otherwise(F.lit("denied")))
