@@ -55,18 +55,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_FALLBACK_DIRS: dict[int, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset (local
-    tests) a scratch folder is created and recorded in the session, so every
-    later caller sees the same location.
+    Reads ``spark.checkpoint.dir`` from the session (the cluster names a
+    shared folder there). Only when it is unset, as in local tests, a scratch
+    folder is created once per SparkContext and registered with
+    ``setCheckpointDir`` (the setting itself cannot change at run time).
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="mercato-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
+        sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        key = id(sc._jsc)
+        if key not in _FALLBACK_DIRS:
+            _FALLBACK_DIRS[key] = tempfile.mkdtemp(prefix="mercato-ckpt-")
+        conf_dir = _FALLBACK_DIRS[key]
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf_dir)
     return conf_dir
