@@ -146,3 +146,31 @@ def run_and_audit(wh: Warehouse, spark: SparkSession, request_id: int, username:
 def _message(exc: Exception) -> str:
     text = str(exc).strip().splitlines()
     return text[0] if text else type(exc).__name__
+
+
+def answer_question(wh: Warehouse, spark: SparkSession, question: str, generated_sql: str,
+                    max_rows: int | None = None) -> dict:
+    """The generated-SQL response: question, cleaned SQL, row count and rows (capped)."""
+    out = generated_query(wh, spark, question, generated_sql, max_rows)
+    rows = out.pop("frame").collect()
+    return {**out, "row_count": len(rows), "rows": rows}
+
+
+def answer_and_audit(wh: Warehouse, spark: SparkSession, request_id: int, username: str,
+                     role: str, question: str, generated_sql: str, created_at,
+                     max_rows: int | None = None) -> AuditedRun:
+    """Answer one question and produce its audit row.
+
+    allowed: ``question => sql``; denied (screen) or error (engine or
+    generator): ``question -> message``.
+    """
+    def row(detail: str, status: str) -> tuple:
+        return (request_id, username, role, "nl-query", detail, status, created_at)
+
+    try:
+        answer = answer_question(wh, spark, question, generated_sql, max_rows)
+    except GuardrailError as exc:
+        return AuditedRun(None, row(f"{question} -> {exc}", "denied"))
+    except Exception as exc:  # noqa: BLE001 - analysis or runtime error
+        return AuditedRun(None, row(f"{question} -> {_message(exc)}", "error"))
+    return AuditedRun(answer["rows"], row(f"{question} => {answer['sql']}", "allowed"))

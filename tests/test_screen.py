@@ -130,3 +130,22 @@ def test_run_and_audit_outcomes(spark, wh):
 def test_bound_parameters(spark, wh):
     res = run_read_only(wh, spark, "SELECT date_key FROM dim_date WHERE year = :y", args={"y": 1997})
     assert res.frame.count() == 365
+
+
+def test_answer_and_audit(spark, wh):
+    import datetime as dt
+
+    from mercato.plans.adhoc import answer_and_audit, answer_question
+
+    fenced = "```sql\nSELECT category FROM vw_category_performance LIMIT 3\n```"
+    ans = answer_question(wh, spark, "top?", fenced)
+    assert ans["row_count"] == 3 and ans["sql"].startswith("SELECT category")
+    t = dt.datetime(2024, 1, 1)
+    ok = answer_and_audit(wh, spark, 1, "a", "analyst", "top?", fenced, t)
+    assert ok.audit[4:6] == ("top? => SELECT category FROM vw_category_performance LIMIT 3",
+                             "allowed")
+    bad = answer_and_audit(wh, spark, 2, "a", "analyst", "drop?", "DROP TABLE x", t)
+    assert bad.audit[4:6] == ("drop? -> " + S.NOT_READ_ONLY, "denied")
+    err = answer_and_audit(wh, spark, 3, "a", "analyst", "join?",
+                           "SELECT * FROM vw_delivery_sla a, raw.orders b", t)
+    assert err.audit[5] == "error" and err.audit[4].startswith("join? -> ")
