@@ -22,11 +22,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+_DEFINED: dict[tuple[int, str], Warehouse] = {}
+
+
 def warehouse_for(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The lazy warehouse over the test tables of ``sf_dir`` in ``spark``.
+
+    Only plans are kept (no data), once per session and folder, so the many
+    registered queries do not re-plan the same read-only inputs.
+    """
     configure(spark)
-    wh = lazy_warehouse(raw_from_testdata(spark, sf_dir))
-    wh.loader = lambda session: warehouse_for(session, sf_dir)
-    return wh
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    if key not in _DEFINED:
+        wh = lazy_warehouse(raw_from_testdata(spark, sf_dir))
+        wh.loader = lambda session: warehouse_for(session, sf_dir)
+        _DEFINED[key] = wh
+    return _DEFINED[key]
 
 
 class _OnDemand:
