@@ -27,6 +27,7 @@ from mercato.operators.keys import assert_primary_key
 from mercato.plans.model import Warehouse, model_tables
 from mercato.plans.views import view_tables
 from mercato.schemas import DIMENSIONS, FACT, PRIMARY_KEYS
+from mercato.sources.fs import child_dirs, exists
 
 PUBLISHED = "_published"
 FACT_COLUMNS = (
@@ -47,24 +48,6 @@ class BuildResult:
         return sum(self.raw_counts.values())
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop_fs(spark, path)
-    return bool(fs.exists(p))
-
-
-def _children(spark: SparkSession, path: str) -> list[str]:
-    fs, p = _hadoop_fs(spark, path)
-    if not fs.exists(p):
-        return []
-    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-
-
 def new_build_id() -> str:
     return dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
 
@@ -139,10 +122,10 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
 
 
 def published_builds(spark: SparkSession, root: str) -> list[str]:
-    ids = [name.split("=", 1)[1] for name in _children(spark, root)
+    ids = [name.split("=", 1)[1] for name in child_dirs(spark, root)
            if name.startswith("build=")]
     return sorted(i for i in ids
-                  if _exists(spark, f"{root.rstrip('/')}/build={i}/{PUBLISHED}/_SUCCESS"))
+                  if exists(spark, f"{root.rstrip('/')}/build={i}/{PUBLISHED}/_SUCCESS"))
 
 
 def load_warehouse(spark: SparkSession, root: str, build_id: str | None = None) -> Warehouse:
