@@ -1,6 +1,7 @@
 """The distributed rank operators against a brute-force rank."""
 
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -63,6 +64,11 @@ def test_global_rank_plan_never_ranks_raw_rows_in_one_task(spark):
     values = [Decimal(i % 37) for i in range(300)]
     plan = global_rank(frame(spark, values), "revenue", "rk", buckets=4)._jdf \
         .queryExecution().executedPlan().toString()
-    # The only Window is partitioned by bucket; single-partition steps only see
-    # one row per bucket (offsets) or one row in total (bounds, NULL count).
-    assert "windowspecdefinition(_bucket" in plan.replace(" ", "") or "_bucket" in plan
+    lines = [line.strip(" :+-") for line in plan.split("\n") if line.strip()]
+    singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    assert singles, plan
+    for i in singles:
+        # only the per-bucket totals (one row per bucket) meet in one task
+        assert lines[i + 1].startswith("HashAggregate(keys=[_bucket"), lines[i + 1]
+    # the ranking window itself is partitioned by bucket
+    assert re.search(r"Window \[.*\], \[_bucket#\d+\], \[", plan), plan
