@@ -110,7 +110,8 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     counts = land_raw(raw, path)
     landed = {t: spark.read.parquet(f"{path}/raw/{t}") for t in raw}
     if analytics:
-        tables = model_tables(landed, split_hot_orders=True)
+        tables = model_tables(landed, split_hot_orders=True,
+                              line_count=counts.get("order_items"))
         tasks = {dim: (lambda dim=dim: _write_dimension(spark, tables[dim], dim, path))
                  for dim in DIMENSIONS}
         tasks[FACT] = lambda: _write_fact(tables[FACT], path)

@@ -85,12 +85,14 @@ def order_review_scores(reviews: DataFrame) -> DataFrame:
 
 
 def fct_order_items(order_items: DataFrame, orders: DataFrame,
-                    reviews: DataFrame, split_hot_orders: bool = False) -> DataFrame:
+                    reviews: DataFrame, split_hot_orders: bool = False,
+                    line_count: int | None = None) -> DataFrame:
     """One row per order line with revenue, delivery measures and review score.
 
     With ``split_hot_orders`` (used by the build) orders holding more lines
     than one task should process are spread over several tasks by a salted
-    join; this costs one count per order_id over the order lines.
+    join (a frequent-items pass over order_id finds them; ``line_count``,
+    when known, saves a count).
     """
     oi = order_items.select("order_id", "order_item_id", "product_id", "seller_id",
                             "price", "freight_value")
@@ -105,7 +107,7 @@ def fct_order_items(order_items: DataFrame, orders: DataFrame,
     # they are joined first; the order lines then meet them in one join.
     order_info = o.join(r, "order_id", "left")
     if split_hot_orders:
-        joined = salted_join(oi, order_info, "order_id", "inner")
+        joined = salted_join(oi, order_info, "order_id", "inner", total_rows=line_count)
     else:
         joined = oi.join(order_info, "order_id", "inner")
     return joined.select(
@@ -163,12 +165,12 @@ class Warehouse:
         return self.loader(session)
 
 
-def model_tables(raw: dict[str, DataFrame], split_hot_orders: bool = False
-                 ) -> dict[str, DataFrame]:
+def model_tables(raw: dict[str, DataFrame], split_hot_orders: bool = False,
+                 line_count: int | None = None) -> dict[str, DataFrame]:
     """Dimensions and fact from the raw tables.
 
-    Nothing is executed unless ``split_hot_orders`` asks for the per-order
-    line count that finds hot orders.
+    Nothing is executed unless ``split_hot_orders`` asks for the pass that
+    finds hot orders.
     """
     return {
         "dim_product": dim_product(raw["products"], raw["product_category_name_translation"]),
@@ -176,7 +178,8 @@ def model_tables(raw: dict[str, DataFrame], split_hot_orders: bool = False
         "dim_seller": dim_seller(raw["sellers"]),
         "dim_date": dim_date(raw["orders"]),
         "fct_order_items": fct_order_items(raw["order_items"], raw["orders"],
-                                           raw["order_reviews"], split_hot_orders),
+                                           raw["order_reviews"], split_hot_orders,
+                                           line_count),
     }
 
 
