@@ -135,11 +135,13 @@ def load_warehouse(spark: SparkSession, root: str, build_id: str | None = None)
     Objects are opened on first access, so a report lists and reads only the
     tables it uses (the fact's month folders are discovered once per load).
     """
+    builds = published_builds(spark, root)
     if build_id is None:
-        builds = published_builds(spark, root)
         if not builds:
             raise FileNotFoundError(f"no published warehouse build under {root}")
         build_id = builds[-1]
+    elif build_id not in builds:
+        raise FileNotFoundError(f"build {build_id} under {root} is not published")
     path = f"{root.rstrip('/')}/build={build_id}"
     tables: dict = {name: (lambda name=name: spark.read.parquet(f"{path}/{name}"))
                     for name in DIMENSIONS}

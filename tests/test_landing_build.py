@@ -94,6 +94,10 @@ def test_csv_build_round_trip_and_failed_build_keeps_old(spark, scratch):
         build(spark, bad, root)
     assert published_builds(spark, root) == [first.build_id]
     assert load_warehouse(spark, root).fact.count() == wh.fact.count()
+    failed = [d.split("=", 1)[1] for d in os.listdir(root) if d != f"build={first.build_id}"]
+    assert len(failed) == 1
+    with pytest.raises(FileNotFoundError):
+        load_warehouse(spark, root, failed[0])
 
 
 def test_raw_only_build(spark, scratch):

@@ -65,6 +65,8 @@ def test_run_caps_rows(spark, wh):
     assert res.frame.count() == DEFAULT_MAX_ROWS
     assert run_read_only(wh, spark, "SELECT order_id FROM fct_order_items",
                          max_rows=7).frame.count() == 7
+    assert run_read_only(wh, spark, "SELECT order_id FROM fct_order_items",
+                         max_rows=0).frame.count() == DEFAULT_MAX_ROWS
 
 
 def test_extract_is_not_a_table(spark, wh):
