@@ -49,3 +49,24 @@ def test_hot_key_is_spread_over_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_salted_join_random_shapes(spark):
+    import random
+
+    rnd = random.Random(11)
+    for trial in range(3):
+        weights = {f"k{i}": rnd.choice([1, 1, 1, 5, 40, 400]) for i in range(60)}
+        rows = [(k, n) for k, w in weights.items() for n in range(w)]
+        rows += [(None, -1), (None, -2)]
+        rnd.shuffle(rows)
+        big = spark.createDataFrame(rows, "k string, v long")
+        small_keys = [k for k in weights if rnd.random() < 0.8]
+        small = spark.createDataFrame([(k, len(k)) for k in small_keys], "k string, w long")
+        for how in ("inner", "left"):
+            got = salted_join(big, small, "k", how, rows_per_task=30)
+            assert rows_of(got) == rows_of(big.join(small, "k", how)), (trial, how)
+
+
+def rows_of(df):
+    return sorted(tuple((x is None, x) for x in r) for r in df.collect())
