@@ -93,19 +93,30 @@ def value_ranks_desc(df: DataFrame, value: str, out: str, buckets: int | None =
             .select(value, (F.lit(1) + F.col("_off") + F.col("_gt")).cast("long").alias(out)))
 
 
+# Inputs with at most this many rows (a count observed on their write) are
+# ranked by one window in one task; larger ones take the distributed path.
+SINGLE_TASK_ROWS = 1_000_000
+
+
 def global_rank(df: DataFrame, value: str, out: str, buckets: int | None = None,
-                materialize_input: bool = True) -> DataFrame:
+                materialize_input: bool = True,
+                single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """``df`` plus ``out`` = rank() OVER (ORDER BY value DESC NULLS FIRST).
 
     The input feeds several branches (counts, bounds, bucket totals, the final
     join). Their column pruning and filters differ, so Spark cannot reuse one
     exchange for all of them; the input is therefore written once to the
-    shared checkpoint folder and every branch reads that copy.
+    shared checkpoint folder and every branch reads that copy. The row count
+    observed on that write decides the path: up to ``single_task_rows`` rows a
+    single window suffices (a checked bound); beyond it the ranking is
+    distributed.
     """
     if materialize_input:
         from mercato.session import materialize
 
-        df = materialize(df, "rank-input")
+        df, rows = materialize(df, "rank-input", with_count=True)
+        if rows <= single_task_rows:
+            return df.withColumn(out, small_rank(value))
     ranks = value_ranks_desc(df, value, out, buckets).withColumnRenamed(value, "_rv")
     return (df.join(ranks, df[value].eqNullSafe(ranks["_rv"]), "inner")
               .drop("_rv"))
@@ -125,5 +136,5 @@ def top_k_ranked(df: DataFrame, value: str, k: int, out: str, *tie_keys: str) ->
 
 
 def small_rank(value: str) -> Column:
-    """rank() over all rows of an aggregate known to stay small (one task)."""
+    """rank() over all rows of a table of checked or bounded size (one task)."""
     return F.rank().over(Window.orderBy(F.col(value).desc_nulls_first())).cast("long")

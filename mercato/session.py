@@ -84,13 +84,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, with_count: bool = False):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage: later branches of a plan (and retries after an executor
     loss) read the written files instead of recomputing the upstream joins.
+    With ``with_count`` the row count observed on the write is returned too.
     """
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
     spark = df.sparkSession
     path = scratch_path(spark, f"mercato/{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    obs = Observation(f"rows-{name}")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    written = spark.read.parquet(path)
+    return (written, int(obs.get["n"])) if with_count else written

@@ -35,15 +35,17 @@ def test_global_rank_matches_brute_force(spark, seed, buckets):
               + [Decimal(rnd.randint(0, 10**6)) / 100 for _ in range(55)])
     rnd.shuffle(values)
     got = {r["id"]: r["rk"] for r in
-           global_rank(frame(spark, values), "revenue", "rk", buckets=buckets).collect()}
+           global_rank(frame(spark, values), "revenue", "rk", buckets=buckets,
+                       single_task_rows=0).collect()}
     expected = brute_rank_desc(values)
     assert [got[i] for i in range(len(values))] == expected
 
 
 def test_global_rank_all_equal_and_empty(spark):
-    got = global_rank(frame(spark, [Decimal(1)] * 9), "revenue", "rk", buckets=4)
+    got = global_rank(frame(spark, [Decimal(1)] * 9), "revenue", "rk", buckets=4,
+                      single_task_rows=0)
     assert {r["rk"] for r in got.collect()} == {1}
-    empty = global_rank(frame(spark, []), "revenue", "rk", buckets=4)
+    empty = global_rank(frame(spark, []), "revenue", "rk", buckets=4, single_task_rows=0)
     assert empty.count() == 0
 
 
@@ -53,7 +55,8 @@ def test_top_k_ranked_equals_prefix_of_global_rank(spark):
     df = frame(spark, values)
     top = top_k_ranked(df, "revenue", 15, "rk", "id").collect()
     assert len(top) == 15
-    full = {r["id"]: r["rk"] for r in global_rank(df, "revenue", "rk", buckets=4).collect()}
+    full = {r["id"]: r["rk"] for r in global_rank(df, "revenue", "rk", buckets=4,
+                                                   single_task_rows=0).collect()}
     for r in top:
         assert r["rk"] == full[r["id"]]
     expected_ids = [i for i, _ in sorted(enumerate(values), key=lambda p: (-p[1], p[0]))][:15]
@@ -62,7 +65,8 @@ def test_top_k_ranked_equals_prefix_of_global_rank(spark):
 
 def test_global_rank_plan_never_ranks_raw_rows_in_one_task(spark):
     values = [Decimal(i % 37) for i in range(300)]
-    plan = global_rank(frame(spark, values), "revenue", "rk", buckets=4)._jdf \
+    plan = global_rank(frame(spark, values), "revenue", "rk", buckets=4,
+                       single_task_rows=0)._jdf \
         .queryExecution().executedPlan().toString()
     lines = [line.strip(" :+-") for line in plan.split("\n") if line.strip()]
     singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
@@ -72,3 +76,10 @@ def test_global_rank_plan_never_ranks_raw_rows_in_one_task(spark):
         assert lines[i + 1].startswith("HashAggregate(keys=[_bucket"), lines[i + 1]
     # the ranking window itself is partitioned by bucket
     assert re.search(r"Window \[.*\], \[_bucket#\d+\], \[", plan), plan
+
+
+def test_small_input_takes_the_single_window_with_same_ranks(spark):
+    rnd = random.Random(3)
+    values = [Decimal(rnd.randint(0, 20)) for _ in range(200)] + [None] * 3
+    small = {r["id"]: r["rk"] for r in global_rank(frame(spark, values), "revenue", "rk").collect()}
+    assert [small[i] for i in range(len(values))] == brute_rank_desc(values)
