@@ -28,6 +28,18 @@ from mercato.schemas import ANALYTICS_OBJECTS
 DEFAULT_MAX_ROWS = 1000  # fixed value: the reference's default row cap
 
 _QUALIFIER = re.compile(r"(?i)\banalytics\.")
+_STRING_LITERAL = re.compile(r"'(?:[^']|'')*'")
+
+
+def unqualify(sql: str) -> str:
+    """Drop ``analytics.`` qualifiers outside string literals (temp views have no schema)."""
+    out, pos = [], 0
+    for lit in _STRING_LITERAL.finditer(sql):
+        out.append(_QUALIFIER.sub("", sql[pos:lit.start()]))
+        out.append(lit.group(0))
+        pos = lit.end()
+    out.append(_QUALIFIER.sub("", sql[pos:]))
+    return "".join(out)
 
 
 class GuardrailError(ValueError):
@@ -87,7 +99,7 @@ def run_read_only(wh: Warehouse, spark: SparkSession, sql: str,
     cap = int(max_rows or DEFAULT_MAX_ROWS)
     inner = sql.strip().rstrip(";")
     session = isolated_session(wh, spark)
-    frame = session.sql(_QUALIFIER.sub("", inner), args=args).limit(cap)
+    frame = session.sql(unqualify(inner), args=args).limit(cap)
     return AdhocResult(sql=sql, frame=frame)
 
 

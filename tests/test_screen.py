@@ -151,3 +151,17 @@ def test_answer_and_audit(spark, wh):
     err = answer_and_audit(wh, spark, 3, "a", "analyst", "join?",
                            "SELECT * FROM vw_delivery_sla a, raw.orders b", t)
     assert err.audit[5] == "error" and err.audit[4].startswith("join? -> ")
+
+
+def test_unqualify_keeps_string_literals():
+    from mercato.plans.adhoc import unqualify
+
+    assert unqualify("SELECT 'analytics.x' AS a, b FROM Analytics.dim_date") == \
+        "SELECT 'analytics.x' AS a, b FROM dim_date"
+    assert unqualify("SELECT 'it''s analytics.y' FROM analytics.t JOIN analytics.u") == \
+        "SELECT 'it''s analytics.y' FROM t JOIN u"
+
+
+def test_literal_with_qualifier_text_survives(spark, wh):
+    res = run_read_only(wh, spark, "SELECT 'analytics.dim_date' AS s FROM analytics.dim_date LIMIT 1")
+    assert res.frame.first()["s"] == "analytics.dim_date"
