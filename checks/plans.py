@@ -54,7 +54,8 @@ def main() -> None:
         "fact build (order lines x orders+reviews)": model_tables(landed)["fct_order_items"],
         "vw_monthly_revenue": wh["vw_monthly_revenue"],
         "vw_category_performance": wh["vw_category_performance"],
-        "vw_seller_scorecard (rank over the written seller aggregate)": wh["vw_seller_scorecard"],
+        "vw_seller_scorecard (rank over the written seller aggregate; below the checked size "
+        "bound the single-window path)": wh["vw_seller_scorecard"],
         "vw_delivery_sla": wh["vw_delivery_sla"],
         "revenue_trend month, bounded": reports.revenue_trend(wh, "month", "1996-03-15",
                                                               "1998-06-30"),
