@@ -45,7 +45,9 @@ def main() -> None:
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     wh = load_warehouse(spark, root)
+    from mercato.operators.ranking import global_rank
     from mercato.plans.model import model_tables
+    from mercato.plans.views import seller_aggregate
 
     landed_root = [p for p in os.listdir(root) if p.startswith("build=")][0]
     landed = {t: spark.read.parquet(f"{root}/{landed_root}/raw/{t}")
@@ -56,6 +58,9 @@ def main() -> None:
         "vw_category_performance": wh["vw_category_performance"],
         "vw_seller_scorecard (rank over the written seller aggregate; below the checked size "
         "bound the single-window path)": wh["vw_seller_scorecard"],
+        "seller rank, distributed path (what inputs above the size bound take)": global_rank(
+            seller_aggregate(wh.fact, wh["dim_seller"]), "revenue", "revenue_rank",
+            single_task_rows=0),
         "vw_delivery_sla": wh["vw_delivery_sla"],
         "revenue_trend month, bounded": reports.revenue_trend(wh, "month", "1996-03-15",
                                                               "1998-06-30"),
