@@ -2,6 +2,8 @@
 
     python -m mercato.cli build --src /landing/csv --root /shared/warehouse [--skip-analytics]
     python -m mercato.cli report --root /shared/warehouse revenue_trend --granularity week
+    python -m mercato.cli sql --root /shared/warehouse "SELECT * FROM vw_delivery_sla"
+    python -m mercato.cli audit --path /shared/audit --limit 100
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ import sys
 import time
 
 REPORTS = ("revenue_trend", "top_categories", "seller_scorecard", "aov", "delivery_sla",
-           "repeat_customers", "object_counts")
+           "repeat_customers", "object_counts", "sample_monthly", "sample_categories",
+           "sample_sellers", "sample_states")
 
 
 def _build(args, spark) -> int:
@@ -50,6 +53,27 @@ def _report(args, spark) -> int:
     return 0
 
 
+def _sql(args, spark) -> int:
+    from mercato.plans.adhoc import GuardrailError, run_read_only
+    from mercato.plans.build import load_warehouse
+
+    wh = load_warehouse(spark, args.root)
+    try:
+        result = run_read_only(wh, spark, args.statement, args.max_rows)
+    except GuardrailError as exc:
+        print(f"guardrail: {exc}")
+        return 2
+    result.frame.show(args.rows, truncate=False)
+    return 0
+
+
+def _audit(args, spark) -> int:
+    from mercato.plans.audit import latest_audit_from
+
+    latest_audit_from(spark, args.path, args.limit).show(args.limit, truncate=False)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="mercato")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -66,12 +90,21 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--to", dest="date_to")
     r.add_argument("--limit", type=int)
     r.add_argument("--rows", type=int, default=20)
+    q = sub.add_parser("sql", help="run a screened, capped read-only statement")
+    q.add_argument("--root", required=True)
+    q.add_argument("statement")
+    q.add_argument("--max-rows", type=int)
+    q.add_argument("--rows", type=int, default=20)
+    a = sub.add_parser("audit", help="print the newest rows of an audit dataset")
+    a.add_argument("--path", required=True)
+    a.add_argument("--limit", type=int, default=100)
     args = parser.parse_args(argv)
 
     from mercato.session import get_spark
 
     spark = get_spark()
-    return _build(args, spark) if args.command == "build" else _report(args, spark)
+    commands = {"build": _build, "report": _report, "sql": _sql, "audit": _audit}
+    return commands[args.command](args, spark)
 
 
 if __name__ == "__main__":
