@@ -27,7 +27,8 @@ from mercato.operators.keys import assert_primary_key
 from mercato.plans.model import Warehouse, model_tables
 from mercato.plans.views import view_tables
 from mercato.schemas import DIMENSIONS, FACT, PRIMARY_KEYS
-from mercato.sources.fs import child_dirs, exists
+from mercato.session import sized_shuffles
+from mercato.sources.fs import child_dirs, exists, path_bytes
 
 PUBLISHED = "_published"
 FACT_COLUMNS = (
@@ -110,12 +111,16 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     counts = land_raw(raw, path)
     landed = {t: spark.read.parquet(f"{path}/raw/{t}") for t in raw}
     if analytics:
-        tables = model_tables(landed, split_hot_orders=True,
-                              line_count=counts.get("order_items"))
-        tasks = {dim: (lambda dim=dim: _write_dimension(spark, tables[dim], dim, path))
-                 for dim in DIMENSIONS}
-        tasks[FACT] = lambda: _write_fact(tables[FACT], path)
-        run_all(tasks)
+        # the fact joins lines, orders and reviews: size its shuffles from them
+        join_bytes = sum(path_bytes(spark, f"{path}/raw/{t}")
+                         for t in ("order_items", "orders", "order_reviews"))
+        with sized_shuffles(spark, join_bytes):
+            tables = model_tables(landed, split_hot_orders=True,
+                                  line_count=counts.get("order_items"))
+            tasks = {dim: (lambda dim=dim: _write_dimension(spark, tables[dim], dim, path))
+                     for dim in DIMENSIONS}
+            tasks[FACT] = lambda: _write_fact(tables[FACT], path)
+            run_all(tasks)
     spark.createDataFrame([(build_id, analytics, counts and sum(counts.values()))],
                           "build_id string, analytics boolean, raw_rows long") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/{PUBLISHED}")

@@ -8,9 +8,11 @@ keeps what the cluster configured.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -100,3 +102,34 @@ def materialize(df, name: str, with_count: bool = False):
     df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     written = spark.read.parquet(path)
     return (written, int(obs.get["n"])) if with_count else written
+
+
+# Aim for shuffle partitions of about this size before AQE coalesces them.
+SHUFFLE_PARTITION_BYTES = 256 * 1024 * 1024
+# Columnar Parquet bytes grow when rows are shuffled (decoded, row format).
+SHUFFLE_EXPANSION = 3
+_INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int):
+    """Start shuffles with enough partitions for ``input_bytes`` of Parquet input.
+
+    Raises AQE's initial partition number (never lowers it) so that each
+    shuffle partition of a large job fits an executor's memory; AQE still
+    coalesces the small ones. The previous setting is restored afterwards.
+    """
+    wanted = math.ceil(input_bytes * SHUFFLE_EXPANSION / SHUFFLE_PARTITION_BYTES)
+    previous = spark.conf.get(_INITIAL_PARTITIONS, None)
+    current = int(previous or spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted <= current:
+        yield current
+        return
+    spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
+    try:
+        yield wanted
+    finally:
+        if previous is None:
+            spark.conf.unset(_INITIAL_PARTITIONS)
+        else:
+            spark.conf.set(_INITIAL_PARTITIONS, previous)
