@@ -36,8 +36,21 @@ def weekday_name_padded(d: Column) -> Column:
 MICROS_PER_DAY = 86_400_000_000
 
 
+def _micros_of_day(ts: Column) -> Column:
+    return (F.hour(ts).cast("long") * 3_600_000_000
+            + F.minute(ts).cast("long") * 60_000_000
+            + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long"))
+
+
 def microseconds_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """``end - start`` in microseconds for wall-clock (timestamp_ntz) values.
+
+    Whole days between the dates plus the difference of the times of day; no
+    time zone takes part, so the session's zone (and its daylight-saving
+    shifts) cannot change the result.
+    """
+    days = F.datediff(F.to_date(end), F.to_date(start)).cast("long")
+    return days * MICROS_PER_DAY + _micros_of_day(end) - _micros_of_day(start)
 
 
 def period_date(c: Column) -> Column:
