@@ -29,12 +29,14 @@ def with_running_growth(per: DataFrame, key: str) -> DataFrame:
     NULL keys sort last, as in the reference database.
     """
     w = Window.orderBy(F.col(key).asc_nulls_last())
-    prev = F.lag("revenue").over(w)
-    return per.select(
+    with_prev = per.select(
         "*",
         F.sum("revenue").over(w.rowsBetween(Window.unboundedPreceding, 0))
          .alias("running_total_revenue"),
-        pct(F.col("revenue") - prev, prev).alias("mom_growth_pct"))
+        F.lag("revenue").over(w).alias("_prev"))
+    prev = F.col("_prev")
+    return (with_prev.withColumn("mom_growth_pct", pct(F.col("revenue") - prev, prev))
+            .drop("_prev"))
 
 
 def vw_monthly_revenue(fact: DataFrame) -> DataFrame:
