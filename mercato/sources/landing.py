@@ -9,7 +9,6 @@ multi-line; every other file is split across tasks.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,23 +27,16 @@ class MissingInputError(FileNotFoundError):
         self.missing = missing
 
 
-def list_files(spark: SparkSession, directory: str, glob: str = "*.csv") -> set[str]:
-    """Base names of the files in ``directory`` (one listing, no file is read)."""
-    try:
-        listing = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-                   .load(directory).select("path"))
-        return {os.path.basename(r["path"]) for r in listing.collect()}
-    except Exception as exc:  # noqa: BLE001 - an absent folder lists as empty
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return set()
-        raise
-
-
 def check_inputs(spark: SparkSession, directory: str,
                  files: dict[str, str] = RAW_FILES) -> None:
-    """Raise MissingInputError naming every expected file that is absent."""
-    present = list_files(spark, directory)
-    missing = [f for f in files.values() if f not in present]
+    """Raise MissingInputError naming every expected input that is absent.
+
+    An input may be a single file or a folder of CSV parts (large tables
+    arrive split so that every part is read by its own task).
+    """
+    from mercato.sources.fs import exists
+
+    missing = [f for f in files.values() if not exists(spark, f"{directory.rstrip('/')}/{f}")]
     if missing:
         raise MissingInputError(missing)
 

@@ -123,3 +123,15 @@ def test_cli_build_and_report(spark, scratch, capsys):
     assert main(["sql", "--root", scratch + "/wh", "SELECT count(*) AS n FROM dim_date"]) == 0
     assert "|n " in capsys.readouterr().out
     assert main(["sql", "--root", scratch + "/wh", "DROP TABLE dim_date"]) == 2
+
+
+def test_table_delivered_as_a_folder_of_parts(spark, scratch):
+    src = scratch + "/csv"
+    os.makedirs(src)
+    for table, name in RAW_FILES.items():
+        os.makedirs(f"{src}/{name}")
+        for part in range(2):
+            rows = "" if table != "sellers" else f"s{part},0100{part},c,SP\n"
+            write(f"{src}/{name}/part-{part}.csv", header(table) + "\n" + rows)
+    raw = read_raw_csv(spark, src)
+    assert sorted(r["seller_id"] for r in raw["sellers"].collect()) == ["s0", "s1"]
