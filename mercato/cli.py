@@ -49,7 +49,10 @@ def _report(args, spark) -> int:
         out = result if isinstance(result, dict) else {args.name: result}
     for part, df in out.items():
         print(f"-- {part}")
-        df.show(args.rows, truncate=False)
+        if args.explain:
+            df.explain(mode="formatted")
+        else:
+            df.show(args.rows, truncate=False)
     return 0
 
 
@@ -90,6 +93,7 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--to", dest="date_to")
     r.add_argument("--limit", type=int)
     r.add_argument("--rows", type=int, default=20)
+    r.add_argument("--explain", action="store_true", help="print the physical plan instead")
     q = sub.add_parser("sql", help="run a screened, capped read-only statement")
     q.add_argument("--root", required=True)
     q.add_argument("statement")

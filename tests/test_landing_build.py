@@ -120,6 +120,9 @@ def test_cli_build_and_report(spark, scratch, capsys):
     assert "revenue_rank" in capsys.readouterr().out
     assert main(["build", "--src", scratch + "/nothing", "--root", scratch + "/wh2"]) == 1
     assert main(["report", "--root", scratch + "/wh", "sample_states"]) == 0
+    assert main(["report", "--root", scratch + "/wh", "revenue_trend", "--from", "1997-01-01",
+                 "--explain"]) == 0
+    assert "PartitionFilters" in capsys.readouterr().out
     assert main(["sql", "--root", scratch + "/wh", "SELECT count(*) AS n FROM dim_date"]) == 0
     assert "|n " in capsys.readouterr().out
     assert main(["sql", "--root", scratch + "/wh", "DROP TABLE dim_date"]) == 2
