@@ -44,15 +44,22 @@ class _OnDemand:
     """Builds the warehouse on first use (queries over events never need it)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._args, self._wh = (spark, sf_dir), None
+        object.__setattr__(self, "_args", (spark, sf_dir))
+        object.__setattr__(self, "_wh", None)
 
-    def __getattr__(self, name):
+    def _resolve(self) -> Warehouse:
         if self._wh is None:
-            self._wh = warehouse_for(*self._args)
-        return getattr(self._wh, name)
+            object.__setattr__(self, "_wh", warehouse_for(*self._args))
+        return self._wh
+
+    def __getattr__(self, name):
+        return getattr(self._resolve(), name)
+
+    def __setattr__(self, name, value):
+        setattr(self._resolve(), name, value)
 
     def __getitem__(self, name):
-        return self.__getattr__("__getitem__")(name)
+        return self._resolve()[name]
 
 
 def query(name: str):
