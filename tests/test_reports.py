@@ -78,3 +78,13 @@ def test_object_counts(wh):
     assert set(got) == {"fct_order_items", "dim_product", "dim_customer", "dim_seller",
                         "dim_date"}
     assert got["fct_order_items"] == wh.fact.count()
+
+
+def test_trend_bound_types(wh):
+    a = reports.revenue_trend(wh, "month", dt.date(1997, 1, 1), dt.date(1997, 6, 30)).collect()
+    b = reports.revenue_trend(wh, "month", dt.datetime(1997, 1, 1, 15), "1997-06-30").collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+    assert len(a) == 6
+    assert reports.revenue_trend(wh, "day", "1997-02-01", "1997-01-01").count() == 0
+    with pytest.raises(ValueError):
+        reports.revenue_trend(wh, "month", "not-a-date")
