@@ -3,7 +3,8 @@
 Views carry no ORDER BY (sorting is the report's job), so reading a view costs
 no range shuffle. Windows without PARTITION BY run only on aggregates whose
 size follows a calendar or a taxonomy (months, categories); the seller rank,
-whose input grows with the data, uses the partitioned ``global_rank``.
+whose input grows with the data, uses ``global_rank`` (one window only below
+a checked size, distributed beyond it).
 """
 
 from __future__ import annotations
