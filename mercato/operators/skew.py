@@ -1,18 +1,18 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
 ``salted_join(big, small, key)`` is for a join where ``small`` has at most one
-row per key (a dimension or per-order table). Keys of ``big`` with more rows
-than one task should process are found without shuffling all keys (frequent
-items, then an exact count of the candidates only); each hot key gets a
-number of salts proportional to its row count. Rows of ``big`` get
+row per key (a dimension or per-order table) where AQE cannot split skew
+(for example when ``small`` is itself the output of a join in the same
+stage). Keys of ``big`` with more rows than one task should process are found
+by an exact, distributed count per key; each hot key gets a number of salts
+proportional to its row count. Rows of ``big`` get
 a deterministic salt (a hash of the row, so retries reproduce it), the
 matching ``small`` row is repeated once per salt, and the join runs on
 (key, salt). A key holding a third of all rows is thus spread over many tasks;
 every row still takes part and nothing is sampled or dropped.
 
-Only candidate and hot keys (at most MAX_HOT_KEYS, each a key and a salt
-count) reach the driver and are broadcast. Keys holding less than 1/10,000 of
-all rows simply go through the normal join.
+Only hot keys (at most MAX_HOT_KEYS, each a key and a salt count) reach the
+driver and are broadcast; further keys, if any, take the normal join.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
-# freqItems accepts a support of at least 1e-4, so at most 10,000 candidates.
-MIN_SUPPORT = 1e-4
 MAX_HOT_KEYS = 10_000
 
 
@@ -30,24 +28,15 @@ def hot_keys(big: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK,
              max_keys: int = MAX_HOT_KEYS, total_rows: int | None = None) -> list[tuple]:
     """(key, salts) for keys with more than ``rows_per_task`` rows, largest first.
 
-    No full shuffle of the keys: one ``freqItems`` pass (a bounded frequent-items
-    summary, no false negatives above its support) proposes candidates, then
-    only rows of those candidates are counted exactly (broadcast semi-join).
-    Keys holding less than ``max(MIN_SUPPORT, 1 / max_keys)`` of all rows stay
-    with the normal join (a long task at worst: the other side has one row
-    per key, so nothing large is buffered).
+    An exact count per key over the key column only: partial counts are
+    combined map-side and the merge is spread over all shuffle partitions (no
+    single-task merge). At most ``max_keys`` keys reach the driver. With
+    ``total_rows`` at or below ``rows_per_task`` no key can be hot and nothing
+    runs.
     """
-    total = big.count() if total_rows is None else total_rows
-    if total <= rows_per_task:
+    if total_rows is not None and total_rows <= rows_per_task:
         return []
-    support = min(1.0, max(rows_per_task / total, 1.0 / max_keys, MIN_SUPPORT))
-    keys = big.select(key).where(F.col(key).isNotNull())
-    candidates = keys.stat.freqItems([key], support).first()[0] or []
-    if not candidates:
-        return []
-    key_type = big.schema[key].dataType.simpleString()
-    cand = big.sparkSession.createDataFrame([(c,) for c in candidates], f"{key} {key_type}")
-    counts = (keys.join(F.broadcast(cand), key, "left_semi")
+    counts = (big.select(key).where(F.col(key).isNotNull())
               .groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
               .where(F.col("_rows") > rows_per_task)
               .orderBy(F.col("_rows").desc()).limit(max_keys))

@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.operators.keys import assert_primary_key
-from mercato.plans.model import Warehouse, model_tables
+from mercato.plans.model import Warehouse, model_tables, order_level
 from mercato.plans.views import view_tables
 from mercato.schemas import DIMENSIONS, FACT, PRIMARY_KEYS
 from mercato.session import sized_shuffles
 from mercato.sources.fs import child_dirs, exists, path_bytes
 
 PUBLISHED = "_published"
+ORDER_STAGE = "_stage/order_info"
 FACT_COLUMNS = (
     "order_id", "order_item_id", "product_id", "seller_id", "customer_id", "order_status",
     "order_purchase_timestamp", "order_date", "order_month", "order_approved_at",
@@ -115,8 +116,12 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
         join_bytes = sum(path_bytes(spark, f"{path}/raw/{t}")
                          for t in ("order_items", "orders", "order_reviews"))
         with sized_shuffles(spark, join_bytes):
-            tables = model_tables(landed, split_hot_orders=True,
-                                  line_count=counts.get("order_items"))
+            # The order-level table (one row per order) is written first, so the
+            # fact is one join of two scans: AQE then splits the partition of an
+            # order holding a large share of all lines.
+            _write(order_level(landed["orders"], landed["order_reviews"]),
+                   f"{path}/{ORDER_STAGE}")
+            tables = model_tables(landed, spark.read.parquet(f"{path}/{ORDER_STAGE}"))
             tasks = {dim: (lambda dim=dim: _write_dimension(spark, tables[dim], dim, path))
                      for dim in DIMENSIONS}
             tasks[FACT] = lambda: _write_fact(tables[FACT], path)

@@ -1,9 +1,10 @@
 """Star schema: four dimensions and the order-line fact (lazy DataFrames).
 
-The fact joins three inputs that all share ``order_id``; Spark hash-partitions
-each of them once on that key and runs both joins on the same partitioning.
-Payments are per order and stay out of the fact (they would double count).
-"""  # noqa: D400
+The fact joins three inputs that all share ``order_id``: orders and the
+per-order review score form one row per order, and the order lines meet that
+order-level table in one join. Payments are per order and stay out of the
+fact (they would double count).
+"""
 
 from __future__ import annotations
 
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from mercato.functions.dates import (MICROS_PER_DAY, iso_dow, microseconds_between,
                                      weekday_name_padded)
 from mercato.functions.numeric import from_hundredths, hundredths_half_up
-from mercato.operators.skew import salted_join
 
 
 def dim_product(products: DataFrame, translation: DataFrame) -> DataFrame:
@@ -84,32 +84,30 @@ def order_review_scores(reviews: DataFrame) -> DataFrame:
         from_hundredths(hundredths_half_up(F.col("_s"), F.col("_n")), 4).alias("avg_review_score"))
 
 
-def fct_order_items(order_items: DataFrame, orders: DataFrame,
-                    reviews: DataFrame, split_hot_orders: bool = False,
-                    line_count: int | None = None) -> DataFrame:
-    """One row per order line with revenue, delivery measures and review score.
-
-    With ``split_hot_orders`` (used by the build) orders holding more lines
-    than one task should process are spread over several tasks by a salted
-    join (a frequent-items pass over order_id finds them; ``line_count``,
-    when known, saves a count).
+def order_level(orders: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row per order: the order's columns and its average review score.
+
+    Both inputs are keyed by order_id, so this join cannot fan out.
     """
-    oi = order_items.select("order_id", "order_item_id", "product_id", "seller_id",
-                            "price", "freight_value")
     o = orders.select("order_id", "customer_id", "order_status",
                       "order_purchase_timestamp", "order_approved_at",
                       "order_delivered_customer_date", "order_estimated_delivery_date")
-    r = order_review_scores(reviews)
+    return o.join(order_review_scores(reviews), "order_id", "left")
+
+
+def fact_from_lines(order_items: DataFrame, order_info: DataFrame) -> DataFrame:
+    """Order lines joined with their order's row, plus the derived measures.
+
+    When ``order_info`` is read from storage (as the build does), this is one
+    join of two scans, so AQE splits the partition of an order that holds a
+    large share of all lines.
+    """
+    oi = order_items.select("order_id", "order_item_id", "product_id", "seller_id",
+                            "price", "freight_value")
     purchase = F.col("order_purchase_timestamp")
     delivered = F.col("order_delivered_customer_date")
     estimate = F.col("order_estimated_delivery_date")
-    # Orders and the per-order review score are both one row per order_id, so
-    # they are joined first; the order lines then meet them in one join.
-    order_info = o.join(r, "order_id", "left")
-    if split_hot_orders:
-        joined = salted_join(oi, order_info, "order_id", "inner", total_rows=line_count)
-    else:
-        joined = oi.join(order_info, "order_id", "inner")
+    joined = oi.join(order_info, "order_id", "inner")
     return joined.select(
         "order_id", "order_item_id", "product_id", "seller_id", "customer_id",
         "order_status", "order_purchase_timestamp",
@@ -128,6 +126,12 @@ def fct_order_items(order_items: DataFrame, orders: DataFrame,
         "avg_review_score")
 
 
+def fct_order_items(order_items: DataFrame, orders: DataFrame,
+                    reviews: DataFrame) -> DataFrame:
+    """One row per order line with revenue, delivery measures and review score."""
+    return fact_from_lines(order_items, order_level(orders, reviews))
+
+
 @dataclass
 class Warehouse:
     """The analytics objects plus the one raw table a report reads directly."""
@@ -165,21 +169,21 @@ class Warehouse:
         return self.loader(session)
 
 
-def model_tables(raw: dict[str, DataFrame], split_hot_orders: bool = False,
-                 line_count: int | None = None) -> dict[str, DataFrame]:
-    """Dimensions and fact from the raw tables.
+def model_tables(raw: dict[str, DataFrame],
+                 order_info: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Dimensions and fact from the raw tables (nothing is executed).
 
-    Nothing is executed unless ``split_hot_orders`` asks for the pass that
-    finds hot orders.
+    ``order_info`` is the order-level table when it was already written (the
+    build does so); otherwise it is planned from the raw tables.
     """
+    if order_info is None:
+        order_info = order_level(raw["orders"], raw["order_reviews"])
     return {
         "dim_product": dim_product(raw["products"], raw["product_category_name_translation"]),
         "dim_customer": dim_customer(raw["customers"]),
         "dim_seller": dim_seller(raw["sellers"]),
         "dim_date": dim_date(raw["orders"]),
-        "fct_order_items": fct_order_items(raw["order_items"], raw["orders"],
-                                           raw["order_reviews"], split_hot_orders,
-                                           line_count),
+        "fct_order_items": fact_from_lines(raw["order_items"], order_info),
     }
 
 

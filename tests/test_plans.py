@@ -80,3 +80,48 @@ def test_top_k_moves_only_k_rows_per_partition(spark, built):
     plan = plan_of(reports.seller_scorecard(wh, 20))
     assert re.search(r"TakeOrderedAndProject[^\n]*\n[^\n]*limit=20|TakeOrderedAndProject \(\d+\)", plan)
     assert "Arguments: 20," in plan
+
+
+def test_fact_join_splits_a_hot_order(spark, scratch):
+    """The build joins order lines with the written order-level table: one join of
+    two scans, so AQE splits an order that holds a third of all lines."""
+    import datetime as dt
+
+    from mercato.plans.model import fact_from_lines, order_level
+
+    items = spark.range(90000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot"))
+         .otherwise((F.col("id") % 5000).cast("string")).alias("order_id"),
+        F.col("id").cast("int").alias("order_item_id"), F.lit("p").alias("product_id"),
+        F.lit("s").alias("seller_id"),
+        F.lit(Decimal("1.00")).cast("decimal(12,2)").alias("price"),
+        F.lit(Decimal("0.10")).cast("decimal(12,2)").alias("freight_value"))
+    orders = (spark.range(5000).select(F.col("id").cast("string").alias("order_id"))
+              .union(spark.createDataFrame([("hot",)], "order_id string"))
+              .select("order_id", F.col("order_id").alias("customer_id"),
+                      F.lit("delivered").alias("order_status"),
+                      F.lit(dt.datetime(2017, 1, 1)).cast("timestamp_ntz")
+                       .alias("order_purchase_timestamp"),
+                      *[F.lit(None).cast("timestamp_ntz").alias(c) for c in (
+                          "order_approved_at", "order_delivered_customer_date",
+                          "order_estimated_delivery_date")]))
+    reviews = orders.select("order_id", F.lit(4).alias("review_score"))
+    items.write.parquet(scratch + "/items")
+    order_level(orders, reviews).write.parquet(scratch + "/orders")
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        fact = fact_from_lines(spark.read.parquet(scratch + "/items"),
+                               spark.read.parquet(scratch + "/orders"))
+        plan = plan_of(fact, run=True)
+        assert "SortMergeJoin(skew=true)" in plan
+        assert fact.where("order_id = 'hot'").count() == 30000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
