@@ -53,7 +53,8 @@ def main() -> None:
     landed = {t: spark.read.parquet(f"{root}/{landed_root}/raw/{t}")
               for t in os.listdir(f"{root}/{landed_root}/raw")}
     items = {
-        "fact build (order lines x orders+reviews)": model_tables(landed)["fct_order_items"],
+        "fact build (order lines x the written order-level table)": model_tables(
+            landed, spark.read.parquet(f"{root}/{landed_root}/_stage/order_info"))["fct_order_items"],
         "vw_monthly_revenue": wh["vw_monthly_revenue"],
         "vw_category_performance": wh["vw_category_performance"],
         "vw_seller_scorecard (rank over the written seller aggregate; below the checked size "
