@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from checks.compare import duck, normalise
 from tests.conftest import SF_SMALL
+from mercato.plans.registry import QUERIES as CORE
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = {name: make for name, make in entry.queries().items() if name in CORE}
+ORACLE = {name: sql for name, sql in entry.oracle_sql().items() if name in CORE}
 
 
 @pytest.fixture(scope="module")
