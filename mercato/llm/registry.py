@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from mercato.llm.byte_bpe import op9_byte_bpe
+from mercato.llm.license_scan import op8_license_scan
+from mercato.llm.packing import op7_packing
 from mercato.llm.token_counts import op3_token_counts
 
 QUERIES = {f.__name__: f for f in (
     op3_token_counts,
+    op7_packing,
+    op8_license_scan,
     op9_byte_bpe,
 )}
 
