@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mercato.llm.byte_bpe import op9_byte_bpe
+from mercato.llm.html_extract import op10_html_extract
 from mercato.llm.license_scan import op8_license_scan
 from mercato.llm.packing import op7_packing
 from mercato.llm.token_counts import op3_token_counts
@@ -12,6 +13,7 @@ QUERIES = {f.__name__: f for f in (
     op7_packing,
     op8_license_scan,
     op9_byte_bpe,
+    op10_html_extract,
 )}
 
 # DuckDB statements for the queries that SQL can express over whole tables.
