@@ -5,6 +5,7 @@ from __future__ import annotations
 from mercato.llm.byte_bpe import op9_byte_bpe
 from mercato.llm.embed_dedup import op6_embedding_dedup
 from mercato.llm.html_extract import op10_html_extract
+from mercato.llm.language_id import op4_language_id
 from mercato.llm.license_scan import op8_license_scan
 from mercato.llm.packing import op7_packing
 from mercato.llm.token_counts import op3_token_counts
@@ -12,6 +13,7 @@ from mercato.llm.topk_search import op5_topk_search
 
 QUERIES = {f.__name__: f for f in (
     op3_token_counts,
+    op4_language_id,
     op5_topk_search,
     op6_embedding_dedup,
     op7_packing,
