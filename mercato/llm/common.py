@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from mercato.session import checkpoint_dir, configure
 
-__all__ = ["BoundedMemo", "acyclic", "checkpointed", "connected_components", "documents", "read"]
+__all__ = ["BoundedMemo", "acyclic", "checkpointed", "connected_components", "documents",
+           "matching", "read"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +38,19 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Ids sent to every executor at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def matching(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``column`` is (``left_semi``) or is not
+    (``left_anti``) in the one-column table ``ids``. The ids are counted first:
+    up to BROADCAST_IDS they are broadcast, so that ``df`` is not shuffled."""
+    ids = checkpointed(ids.distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids.hint("merge"), column, how)
+
+
 @contextmanager
 def acyclic():
     """Pause the cycle collector while a task fills large memos of plain tuples
