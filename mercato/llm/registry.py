@@ -9,10 +9,12 @@ from mercato.llm.language_id import op4_language_id
 from mercato.llm.license_scan import op8_license_scan
 from mercato.llm.ngram_join import op2_ngram_join
 from mercato.llm.packing import op7_packing
+from mercato.llm.secret_scan import op1_secret_scan
 from mercato.llm.token_counts import op3_token_counts
 from mercato.llm.topk_search import op5_topk_search
 
 QUERIES = {f.__name__: f for f in (
+    op1_secret_scan,
     op2_ngram_join,
     op3_token_counts,
     op4_language_id,
