@@ -351,25 +351,33 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataF
             .select("a", "b", "left", "right").mapInArrow(check, "a long, b long"))
 
 
+def row_key(id_col: str, text_col: str):
+    """Hash of a row's id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.lit("|"), text_col)
+
+
 # ---- the join -------------------------------------------------------------------------
 
 def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                       k: int = 5, num: int = 80, den: int = 100,
                       single_percent: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
+    """doc_id, n_shingles, component_id, row_key, group for every row of ``docs``.
 
     Documents link when ``den * |A & B| >= num * |A | B|`` for their sets of
     k-word grams; component_id is the smallest id reachable by links. A null
     or empty text, or one without words, has an empty set and links with
     nothing. A null id stays null and never is a component's id unless nothing
     else is reachable. Repeated rows link with each other as equal texts do.
+    row_key is the hash of id and text, group a name of the component (null for
+    an empty set); they tell rows apart whose ids are null or repeated.
     Other columns are ignored; an empty table gives an empty result. Sets are
     named and grams counted by 64-bit hashes. ``single_percent`` (of
     the allowance that falls to one-deletion segments) replaces the choice by
     cost.
     """
     similarity = Similarity(num, den)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                        row_key(id_col, text_col).alias("row_key"))
 
     def describe(batches):
         for batch in batches:
@@ -383,11 +391,12 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 rows.append((_node(elements), size, _band_number(size)))
             node, size, band = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
-                 pa.array(band, pa.int32())], names=["doc_id", "node", "size", "band"])
+                [batch.column(0), batch.column(2), pa.array(node, pa.int64()),
+                 pa.array(size, pa.int64()), pa.array(band, pa.int32())],
+                names=["doc_id", "row_key", "node", "size", "band"])
 
     described = checkpointed(texts.mapInArrow(
-        describe, "doc_id long, node long, size long, band int"), "sets")
+        describe, "doc_id long, row_key long, node long, size long, band int"), "sets")
     by_band = {r["band"]: (r["n"], r["largest"]) for r in described.where("node is not null")
                .groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest")).collect()}
     largest = max((v[1] for v in by_band.values()), default=0)
@@ -464,9 +473,9 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         keyed.repartition("key").sortWithinPartitions("key", "node")
         .mapInArrow(bucket, "bucket long, block int, node long").distinct(), "buckets")
 
-    # Size, sketch and smallest document of every node that is in a bucket.
+    # Size and sketch of every node that is in a bucket, from one of its rows.
     firsts = (described.where("node is not null").groupBy("node")
-              .agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size")))
+              .agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key")))
     in_bucket = members.select("node").distinct()
 
     def sketches(batches):
@@ -494,8 +503,8 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 [pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "elements"])
 
     def of_nodes(wanted, fill, schema, name):
-        ids = firsts.join(wanted, "node", "left_semi").select("doc_id")
-        return checkpointed(matching(texts, ids, "doc_id").select("text").mapInArrow(fill, schema)
+        keys = firsts.join(wanted, "node", "left_semi").select("row_key")
+        return checkpointed(matching(texts, keys, "row_key").select("text").mapInArrow(fill, schema)
                             .dropDuplicates(["node"]), name)
 
     nodes = of_nodes(in_bucket, sketches, "node long, size long, bits binary", "sketches")
@@ -513,10 +522,11 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     named = (firsts.join(groups.withColumnRenamed("id", "node"), "node", "left")
              .withColumn("component", F.coalesce("component", "node")))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(smallest, "component").select("node", "component_id")
+    of_node = named.join(smallest, "component").select("node", "component_id", "component")
     return (described.join(of_node, "node", "left")
             .select("doc_id", F.col("size").alias("n_shingles"),
-                    F.coalesce("component_id", "doc_id").alias("component_id")))
+                    F.coalesce("component_id", "doc_id").alias("component_id"), "row_key",
+                    F.col("component").alias("group")))
 
 
 def _rows(name, block, members):
@@ -559,4 +569,5 @@ def _with_single(band: Band, percent: int) -> Band:
 
 
 def op2_ngram_join(spark, sf_dir):
-    return similarity_groups(documents(spark, sf_dir), k=3, num=90, den=100)
+    return similarity_groups(documents(spark, sf_dir), k=3, num=90, den=100).select(
+        "doc_id", "n_shingles", "component_id")
