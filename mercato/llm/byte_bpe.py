@@ -43,8 +43,7 @@ class ByteBpe:
         self._compatible = BoundedMemo(
             lambda pair: self._merge(pair[0] + pair[1]) == [pair[0], pair[1]])
         self._whole = BoundedMemo(lambda token: token in self.ranks and self._merge(token) == [token])
-        self.by_stretch = BoundedMemo(self._stretch, 300_000)
-        self.by_chunk = BoundedMemo(lambda part: self._entry(" " + part), 200_000)
+        self.memo = pretokens.ChunkMemo(self._stretch, _joined, 300_000)
 
     def _merge(self, data: bytes) -> list[bytes]:
         """Exact merging of a short byte string: always the lowest-ranked pair."""
@@ -121,28 +120,18 @@ class ByteBpe:
         ids = self.encode_stretch(stretch.encode("utf-8"))
         return "".join([f"{i} " for i in ids]), len(ids), self.decode(ids)
 
-    def _entry(self, text: str) -> tuple[str, int, bytes]:
-        """The entries of all stretches of ``text``, joined."""
-        found = [self.by_stretch[stretch] for stretch in pretokens.split(text)]
-        if len(found) == 1:
-            return found[0]
-        return ("".join([e[0] for e in found]), sum([e[1] for e in found]),
-                b"".join([e[2] for e in found]))
-
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids and the SHA-256 of the ids and of the decoded bytes."""
-        parts = pretokens.chunks(text)
-        if parts is None:
-            ids, n, decoded = self._entry(text)
-        else:
-            entries = [self._entry(parts[0]), *map(self.by_chunk.__getitem__, parts[1:])]
-            ids = "".join([e[0] for e in entries])
-            n = sum([e[1] for e in entries])
-            decoded = b"".join([e[2] for e in entries])
+        ids, n, decoded = self.memo.text(text)
         return (n, hashlib.sha256(ids[:-1].encode("ascii")).hexdigest(),
                 hashlib.sha256(decoded).hexdigest())
 
 
+def _joined(entries) -> tuple[str, int, bytes]:
+    return ("".join([e[0] for e in entries]), sum([e[1] for e in entries]),
+            b"".join([e[2] for e in entries]))
+
+
 def codec(path: str) -> ByteBpe:
     """The vocabulary, loaded once per Python worker."""
     if path not in _LOADED:

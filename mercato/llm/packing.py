@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.llm import pretokens
-from mercato.llm.common import BoundedMemo, acyclic, checkpointed, documents
+from mercato.llm.common import acyclic, checkpointed, documents
 
 SEQUENCE_LENGTH = 1024
 CLOSING_ID = 0
@@ -49,26 +49,16 @@ class IdBytes:
         longest_first = sorted(self.added_ids, key=len, reverse=True)
         self.added = (re.compile(f"({'|'.join(map(re.escape, longest_first))})")
                       if longest_first else None)
-        self.by_stretch = BoundedMemo(self._stretch)
-        self.by_chunk = BoundedMemo(lambda part: self._join(" " + part), 200_000)
+        self.memo = pretokens.ChunkMemo(self._stretch, b"".join)
 
     def _stretch(self, stretch: str) -> bytes:
         shown = stretch.encode("utf-8").decode("latin-1").translate(self.alphabet)
         return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
 
-    def _join(self, text: str) -> bytes:
-        return b"".join(map(self.by_stretch.__getitem__, pretokens.split(text)))
-
-    def _plain(self, text: str) -> bytes:
-        parts = pretokens.chunks(text)
-        if parts is None:
-            return self._join(text)
-        return self._join(parts[0]) + b"".join(map(self.by_chunk.__getitem__, parts[1:]))
-
     def ids(self, text: str) -> bytes:
         if self.added is None or not self.added.search(text):
-            return self._plain(text)
-        return b"".join(self.added_ids[part] if part in self.added_ids else self._plain(part)
+            return self.memo.text(text)
+        return b"".join(self.added_ids[part] if part in self.added_ids else self.memo.text(part)
                         for part in self.added.split(text))
 
 

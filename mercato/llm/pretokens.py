@@ -14,11 +14,14 @@ import re
 import public_tokenizers
 import regex
 
+from mercato.llm.common import BoundedMemo
+
 # Letters of the plain alphabet: ASCII and the Latin letters up to U+024F.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _UNUSUAL = re.compile(f"[^\t\n\r -~{_LETTERS}]")
 _PLAIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+"
                     f"| ?[^\t\n\r 0-9{_LETTERS}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
+_CLOSING = frozenset(".,;:!?")
 _FULL = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -42,3 +45,34 @@ def byte_alphabet() -> list[str]:
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+class ChunkMemo(BoundedMemo):
+    """Remembers what a text's chunks give: ``memo[part]`` is the value of
+    ``" " + part`` for a part that :func:`chunks` returned.
+
+    ``of_stretch`` gives the value of one match of the pattern and ``join``
+    that of several. A word of letters is one match; one closing mark after it
+    is another, so "word" and "word," share their work.
+    """
+
+    def __init__(self, of_stretch, join, limit: int = 500_000):
+        super().__init__(self._chunk, limit)
+        self.of_stretch, self.join = of_stretch, join
+        self.by_stretch = BoundedMemo(of_stretch, 100_000)
+
+    def _chunk(self, part: str):
+        if part.isalpha():
+            return self.of_stretch(" " + part)
+        word, mark = part[:-1], part[-1:]
+        if word.isalpha() and mark in _CLOSING:
+            return self.join((self[word], self.by_stretch[mark]))
+        return self.join([self.by_stretch[s] for s in split(" " + part)])
+
+    def text(self, text: str):
+        """The value of a whole text."""
+        parts = chunks(text)
+        if parts is None:
+            return self.join([self.by_stretch[s] for s in split(text)])
+        first = self.join([self.by_stretch[s] for s in split(parts[0])])
+        return self.join([first, *map(self.__getitem__, parts[1:])])

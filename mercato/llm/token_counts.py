@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mercato.llm import pretokens
-from mercato.llm.common import BoundedMemo, acyclic, documents
+from mercato.llm.common import acyclic, documents
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _LOADED: dict[str, "PairMerger"] = {}
@@ -42,8 +42,7 @@ class PairMerger:
         # Added tokens are cut out of a text first and count one each.
         added = sorted((t["content"] for t in spec.get("added_tokens") or ()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.by_chunk = BoundedMemo(lambda part: self.stretches(" " + part))
-        self.by_stretch = BoundedMemo(self.merged)
+        self.memo = pretokens.ChunkMemo(self.merged, sum)
 
     def merged(self, stretch: str) -> int:
         """Tokens of one stretch: symbols minus merges."""
@@ -78,19 +77,10 @@ class PairMerger:
             done += 1
         return n - done
 
-    def stretches(self, text: str) -> int:
-        return sum(map(self.by_stretch.__getitem__, pretokens.split(text)))
-
-    def plain(self, text: str) -> int:
-        parts = pretokens.chunks(text)
-        if parts is None:
-            return self.stretches(text)
-        return self.stretches(parts[0]) + sum(map(self.by_chunk.__getitem__, parts[1:]))
-
     def count(self, text: str) -> int:
         if self.added is None or not self.added.search(text):
-            return self.plain(text)
-        return len(self.added.findall(text)) + sum(map(self.plain, self.added.split(text)))
+            return self.memo.text(text)
+        return len(self.added.findall(text)) + sum(map(self.memo.text, self.added.split(text)))
 
 
 def merger(path: str) -> PairMerger:
