@@ -8,11 +8,14 @@ from mercato.llm.html_extract import op10_html_extract
 from mercato.llm.language_id import op4_language_id
 from mercato.llm.license_scan import op8_license_scan
 from mercato.llm.ngram_join import op2_ngram_join
+from mercato.llm.oracle import ORACLE
 from mercato.llm.packing import op7_packing
 from mercato.llm.secret_scan import op1_secret_scan
 from mercato.llm.token_counts import op3_token_counts
 from mercato.llm.topk_search import op5_topk_search
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan,
     op2_ngram_join,
@@ -25,6 +28,3 @@ QUERIES = {f.__name__: f for f in (
     op9_byte_bpe,
     op10_html_extract,
 )}
-
-# DuckDB statements for the queries that SQL can express over whole tables.
-ORACLE: dict[str, str] = {}
