@@ -57,9 +57,10 @@ def pair_hash(first: Column, second: Column) -> Column:
     return F.xxhash64(first, second)
 
 
-def template_pairs(spark: SparkSession, phrases=None, statements=None) -> DataFrame:
-    """One row per word pair of every template, and the marker's row."""
-    rows = []
+def template_tables(spark: SparkSession, phrases=None, statements=None):
+    """(word pairs, templates): one row per word pair of every template and the
+    marker's row; one row per template with its label and number of pairs."""
+    rows, about = [], [(_DOCUMENT, None, False, 0)]
     given = [*((label, text, True) for label, text in (PHRASES if phrases is None else phrases)),
              *((label, text, False) for label, text in
                (STATEMENTS if statements is None else statements))]
@@ -67,13 +68,12 @@ def template_pairs(spark: SparkSession, phrases=None, statements=None) -> DataFr
         parts = re.findall(WORD, text.lower())
         if not 2 <= len(parts) <= _MAX_TEMPLATE_WORDS:
             raise ValueError(f"a template has 2 to {_MAX_TEMPLATE_WORDS} words: {text!r}")
-        rows += [(a, b, number, label, phrase, i, len(parts) - 1)
-                 for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-    rows.append(("", "", _DOCUMENT, None, None, 0, 0))
-    frame = spark.createDataFrame(
-        rows, "t_first string, t_second string, template int, label string, phrase boolean, "
-              "at int, pairs int")
-    return frame.withColumn("t_hash", pair_hash(F.col("t_first"), F.col("t_second")))
+        rows += [(a, b, number, i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+        about.append((number, label, phrase, len(parts) - 1))
+    rows.append(("", "", _DOCUMENT, 0))
+    pairs = spark.createDataFrame(rows, "t_first string, t_second string, template int, at int")
+    return (pairs.withColumn("t_hash", pair_hash(F.col("t_first"), F.col("t_second"))),
+            spark.createDataFrame(about, "template int, label string, phrase boolean, pairs int"))
 
 
 def votes(docs: DataFrame, templates: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,7 +92,7 @@ def votes(docs: DataFrame, templates: DataFrame, id_col: str, text_col: str) ->
               .select("doc_id", "text_hash", "n_words", "pos", "pair.h", "pair.a", "pair.b"))
     met = rolled.join(F.broadcast(templates), (F.col("h") == F.col("t_hash"))
                       & (F.col("a") == F.col("t_first")) & (F.col("b") == F.col("t_second")))
-    return met.groupBy("doc_id", "text_hash", "n_words", "template", "label", "phrase", "pairs",
+    return met.groupBy("doc_id", "text_hash", "n_words", "template",
                        (F.col("pos") - 1 - F.col("at")).cast("long").alias("diagonal")).agg(
         F.expr("bit_or(shiftleft(1L, at))").alias("bits"), F.count(F.lit(1)).alias("n"))
 
@@ -110,7 +110,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     gives an empty result.
     """
     key = ["doc_id", "text_hash", "n_words"]
-    found = votes(docs, template_pairs(docs.sparkSession, phrases, statements), id_col, text_col)
+    pairs, about = template_tables(docs.sparkSession, phrases, statements)
+    found = votes(docs, pairs, id_col, text_col).join(F.broadcast(about), "template")
     # Merge neighbouring diagonals of a statement into spans.
     along = Window.partitionBy(*key, "template").orderBy("diagonal")
     numbered = (found.withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(along))
