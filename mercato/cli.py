@@ -4,6 +4,7 @@
     python -m mercato.cli report --root /shared/warehouse revenue_trend --granularity week
     python -m mercato.cli sql --root /shared/warehouse "SELECT * FROM vw_delivery_sla"
     python -m mercato.cli audit --path /shared/audit --limit 100
+    python -m mercato.cli retire --root /shared/warehouse --keep 2
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ def _build(args, spark) -> int:
     from mercato.plans.build import build_from_csv
     from mercato.sources.landing import MissingInputError
 
-    t0 = time.time()
+    began = time.time()
     try:
         res = build_from_csv(spark, args.src, args.root, analytics=not args.skip_analytics)
     except MissingInputError as exc:
-        print("ERROR: missing CSV(s):", *exc.missing, sep="\n  ")
+        print(f"{len(exc.missing)} input(s) not found in {args.src}: {', '.join(exc.missing)}")
         return 1
-    for table, n in res.raw_counts.items():
-        print(f"     raw.{table:<45} {n:>12,} rows")
-    print(f"   loaded {res.raw_total:,} raw rows total")
-    print(f"published build {res.build_id} at {res.path} in {time.time() - t0:.1f}s")
+    for table in sorted(res.raw_counts):
+        print(f"landed {res.raw_counts[table]} rows in {table}")
+    print(f"build {res.build_id} with {res.raw_total} landed rows is published at {res.path}, "
+          f"after {time.time() - began:.0f} s")
     return 0
 
 
@@ -43,7 +44,7 @@ def _report(args, spark) -> int:
         out = {"points": reports.revenue_trend(wh, args.granularity, args.date_from, args.date_to)}
     elif args.name in ("top_categories", "seller_scorecard"):
         fn = getattr(reports, args.name)
-        out = {args.name: fn(wh, args.limit) if args.limit else fn(wh)}
+        out = {args.name: fn(wh) if args.limit is None else fn(wh, args.limit)}
     else:
         result = getattr(reports, args.name)(wh)
         out = result if isinstance(result, dict) else {args.name: result}
@@ -52,10 +53,25 @@ def _report(args, spark) -> int:
         if args.explain:
             df.explain(mode="formatted")
         else:
-            df.show(args.rows, truncate=False)
+            _deliver(df, args.out and f"{args.out.rstrip('/')}/{part}")
     return 0
 
 
+def _deliver(df, out: str | None) -> None:
+    """Write the whole result as Parquet, or print every row of it.
+
+    Printed rows pass through the driver one partition at a time; reports are
+    bounded by their contract (a calendar, a taxonomy, a limit or the row cap).
+    """
+    if out:
+        df.write.mode("errorifexists").parquet(out)
+        print(f"written to {out}")
+        return
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def _sql(args, spark) -> int:
     from mercato.plans.adhoc import GuardrailError, run_read_only
     from mercato.plans.build import load_warehouse
@@ -66,14 +82,22 @@ def _sql(args, spark) -> int:
     except GuardrailError as exc:
         print(f"guardrail: {exc}")
         return 2
-    result.frame.show(args.rows, truncate=False)
+    _deliver(result.frame, args.out)
     return 0
 
 
 def _audit(args, spark) -> int:
-    from mercato.plans.audit import latest_audit_from
+    from mercato.plans.audit import latest_audit, read_audit
+
+    _deliver(latest_audit(read_audit(spark, args.path), args.limit), None)
+    return 0
+
+
+def _retire(args, spark) -> int:
+    from mercato.plans.build import retire_builds
 
-    latest_audit_from(spark, args.path, args.limit).show(args.limit, truncate=False)
+    for path in retire_builds(spark, args.root, args.keep):
+        print(f"retired {path}")
     return 0
 
 
@@ -92,22 +116,26 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--from", dest="date_from")
     r.add_argument("--to", dest="date_to")
     r.add_argument("--limit", type=int)
-    r.add_argument("--rows", type=int, default=20)
+    r.add_argument("--out", help="folder for the whole result as Parquet, one table per part")
     r.add_argument("--explain", action="store_true", help="print the physical plan instead")
     q = sub.add_parser("sql", help="run a screened, capped read-only statement")
     q.add_argument("--root", required=True)
     q.add_argument("statement")
     q.add_argument("--max-rows", type=int)
-    q.add_argument("--rows", type=int, default=20)
+    q.add_argument("--out", help="folder for the whole (capped) result as Parquet")
     a = sub.add_parser("audit", help="print the newest rows of an audit dataset")
     a.add_argument("--path", required=True)
     a.add_argument("--limit", type=int, default=100)
+    t = sub.add_parser("retire", help="delete superseded, failed and staged parts of builds")
+    t.add_argument("--root", required=True)
+    t.add_argument("--keep", type=int, default=2, help="published builds to keep (at least 1)")
     args = parser.parse_args(argv)
 
     from mercato.session import get_spark
 
     spark = get_spark()
-    commands = {"build": _build, "report": _report, "sql": _sql, "audit": _audit}
+    commands = {"build": _build, "report": _report, "sql": _sql, "audit": _audit,
+                "retire": _retire}
     return commands[args.command](args, spark)
 
 

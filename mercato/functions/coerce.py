@@ -2,7 +2,8 @@
 
 Report results travel as text (decimals are serialised as strings). A text
 column becomes numeric only when every value converts; columns with any NULL,
-NaN or non-numeric value stay text, and an empty input is left as it is.
+NaN or non-numeric value stay text, and an empty input is left as it is. Whole
+numbers become bigint if all of them fit, else double.
 The decision needs one aggregation over the data (a few counters per column);
 the casts are then a plain projection.
 """
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# A number as text: digits with an optional point and exponent, or infinity. Java's
+# suffixes (12d, 5F) are no numbers.
+_NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 _INTEGRAL = r"^\s*[+-]?\d+\s*$"
 
 
@@ -23,9 +27,10 @@ def numeric_plan(df: DataFrame) -> dict[str, str]:
         return {}
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(text_cols):
-        as_double = F.col(c).try_cast(T.DoubleType())
-        aggs.append(F.count_if(as_double.isNotNull() & ~F.isnan(as_double)).alias(f"d{i}"))
-        aggs.append(F.count_if(F.col(c).rlike(_INTEGRAL)).alias(f"i{i}"))
+        number = F.col(c).rlike(_NUMBER) & F.col(c).try_cast(T.DoubleType()).isNotNull()
+        whole = F.col(c).rlike(_INTEGRAL) & F.col(c).try_cast(T.LongType()).isNotNull()
+        aggs.append(F.count_if(number).alias(f"d{i}"))
+        aggs.append(F.count_if(whole).alias(f"i{i}"))
     stats = df.agg(*aggs).first()
     rows = stats["_rows"]
     plan = {}

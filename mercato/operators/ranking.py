@@ -1,18 +1,17 @@
 """Ranking operators that never move an unbounded row set into one task.
 
 ``rank() OVER (ORDER BY v DESC)`` without PARTITION BY is a single-task
-window in Spark. That is fine on a few thousand aggregated rows (months,
-categories) but not on a table that grows with the data (sellers). The
-operators here give the same numbers with every step partitioned:
+window in Spark. The operators here give the same numbers with every step
+partitioned, in one lazy plan for all sizes:
 
 * ``global_rank``: rank(v) = 1 + number of rows ordered strictly before v.
   Rows are first collapsed to distinct values with their multiplicity
-  (partial aggregation absorbs hot values), distinct values are cut into
-  value buckets at approximate quantiles (one pass; at most 1,025 split
-  points reach the driver), per-bucket totals give bucket offsets (one row
-  per bucket), and a window partitioned by bucket adds the count inside the
-  bucket. Equal values always share a bucket, so ties get one rank, exactly
-  as SQL ``rank()``.
+  (partial aggregation absorbs hot values). A value's bucket is its sign,
+  binary exponent and the next eight bits of its mantissa: a rule that needs
+  no look at the data, keeps the order of values and gives equal values one
+  bucket, so ties get one rank, exactly as SQL ``rank()``. Per-bucket totals
+  give bucket offsets, and a window partitioned by bucket adds the count
+  inside the bucket.
 * ``top_k_ranked``: the first k rows by an ordered limit (each partition
   keeps k rows) and their rank computed inside that prefix, which equals the
   global rank because every row ordered before a prefix row is in the prefix.
@@ -25,101 +24,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Buckets per power of two. The exponents of a double and the sign bound the
+# number of buckets (about 1.05 million) whatever the table holds.
+STEPS = 256
+_EXPONENTS = 1100
 
-# At most this many quantile bounds are computed (one pass, a bounded list on
-# the driver); buckets aim at ROWS_PER_BUCKET distinct values each, a size one
-# task sorts comfortably.
-MAX_BUCKETS = 1024
-ROWS_PER_BUCKET = 1_000_000
 
+def value_bucket(value: Column) -> Column:
+    """An integer that does not fall as the value rises (NULL highest); equal for
+    equal values."""
+    size = F.abs(value.cast("double"))
+    exponent = F.floor(F.log2(size))
+    step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * STEPS)
+    place = (exponent + _EXPONENTS) * STEPS + step
+    return (F.when(value.isNull(), F.lit(1 << 40)).when(size == 0, F.lit(0))
+            .otherwise(F.signum(value.cast("double")) * place).cast("long"))
 
-def bucket_splits(counts: DataFrame, value: str, buckets: int | None = None,
-                  accuracy: int = 10000) -> list[float]:
-    """Increasing split points (as doubles) that cut the distinct values evenly.
 
-    One aggregation returns the number of distinct values and up to
-    MAX_BUCKETS - 1 approximate quantiles; the driver keeps every j-th bound so
-    that each bucket holds about ROWS_PER_BUCKET values (or ``buckets``).
-    """
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    as_double = F.col(value).cast("double")
-    row = counts.agg(F.count(as_double).alias("n"),
-                     F.percentile_approx(as_double, probs, accuracy).alias("b")).first()
-    n, bounds = row["n"], row["b"] or []
-    wanted = buckets or max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
-    step = max(1, len(probs) // max(1, wanted))
-    picked = sorted({b for b in bounds[step - 1::step] if b is not None})
-    return [float("-inf")] + picked + [float("inf")]
-
-
-def value_ranks_desc(df: DataFrame, value: str, out: str, buckets: int | None = None,
-                     accuracy: int = 10000) -> DataFrame:
+def value_ranks_desc(df: DataFrame, value: str, out: str) -> DataFrame:
     """One row per distinct ``value`` (NULL included) with its descending rank.
 
-    NULL is the greatest value (bucket -1), then buckets 0, 1, ... hold ever
-    smaller values, so rank = 1 + rows in earlier buckets + rows before it in
-    its own bucket. The bucket of a value is found by binary search over the
-    split points (``Bucketizer``, JVM side); the double cast is monotone, so
-    equal values share a bucket and bucket order follows value order. Only the
-    one-row-per-bucket offsets table is broadcast.
+    NULL comes first. The single-task step (the running total over buckets)
+    sees one row per bucket, a number that the value's type bounds.
     """
-    from pyspark.ml.feature import Bucketizer
-
     v = F.col(value)
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    splits = bucket_splits(counts, value, buckets, accuracy)
-    if len(splits) > 2:
-        last = len(splits) - 2          # highest ascending bucket index
-        bucketizer = Bucketizer(splits=splits, inputCol="_vd", outputCol="_asc",
-                                handleInvalid="keep")
-        with_asc = bucketizer.transform(counts.withColumn("_vd", v.cast("double")))
-        desc_bucket = F.lit(last) - F.col("_asc").cast("int")
-    else:                               # a single bucket: no interior split point
-        with_asc, desc_bucket = counts, F.lit(0)
-    bucketed = with_asc.select(
-        value, "_n", F.when(v.isNull(), F.lit(-1)).otherwise(desc_bucket).alias("_bucket"))
-
+    bucketed = (df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+                .withColumn("_bucket", value_bucket(v)))
     totals = bucketed.groupBy("_bucket").agg(F.sum("_n").alias("_t"))
-    offsets = totals.select(
-        "_bucket",
-        F.coalesce(F.sum("_t").over(Window.orderBy("_bucket")
-                                    .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_bucket").orderBy(v.desc_nulls_first())
-    before_inside = F.coalesce(
-        F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (bucketed.select(value, "_bucket", before_inside.alias("_gt"))
-            .join(F.broadcast(offsets), "_bucket")
+    earlier = (Window.orderBy(F.col("_bucket").desc())
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("_bucket", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
+    inside = (Window.partitionBy("_bucket").orderBy(v.desc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (bucketed.withColumn("_gt", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+            .join(offsets, "_bucket")
             .select(value, (F.lit(1) + F.col("_off") + F.col("_gt")).cast("long").alias(out)))
 
 
-# Inputs with at most this many rows (a count observed on their write) are
-# ranked by one window in one task; larger ones take the distributed path.
-SINGLE_TASK_ROWS = 1_000_000
-
-
-def global_rank(df: DataFrame, value: str, out: str, buckets: int | None = None,
-                materialize_input: bool = True,
-                single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def global_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """``df`` plus ``out`` = rank() OVER (ORDER BY value DESC NULLS FIRST).
 
-    The input feeds several branches (counts, bounds, bucket totals, the final
-    join). Their column pruning and filters differ, so Spark cannot reuse one
-    exchange for all of them; the input is therefore written once to the
-    shared checkpoint folder and every branch reads that copy. The row count
-    observed on that write decides the path: up to ``single_task_rows`` rows a
-    single window suffices (a checked bound); beyond it the ranking is
-    distributed.
+    Lazy: no job runs when it is defined. ``df`` feeds two branches, so a
+    costly input should be a written table (the build writes it).
     """
-    if materialize_input:
-        from mercato.session import materialize
-
-        df, rows = materialize(df, "rank-input", with_count=True)
-        if rows <= single_task_rows:
-            return df.withColumn(out, small_rank(value))
-    ranks = value_ranks_desc(df, value, out, buckets).withColumnRenamed(value, "_rv")
-    return (df.join(ranks, df[value].eqNullSafe(ranks["_rv"]), "inner")
-              .drop("_rv"))
+    ranks = value_ranks_desc(df, value, out).withColumnRenamed(value, "_rv")
+    return df.join(ranks, df[value].eqNullSafe(ranks["_rv"]), "inner").drop("_rv")
 
 
 def order_desc(value: str, *tie_keys: str) -> list[Column]:
@@ -133,8 +82,3 @@ def top_k_ranked(df: DataFrame, value: str, k: int, out: str, *tie_keys: str) ->
     prefix = df.orderBy(*order_desc(value, *tie_keys)).limit(k)
     w = Window.orderBy(F.col(value).desc_nulls_first())
     return prefix.withColumn(out, F.rank().over(w).cast("long"))
-
-
-def small_rank(value: str) -> Column:
-    """rank() over all rows of a table of checked or bounded size (one task)."""
-    return F.rank().over(Window.orderBy(F.col(value).desc_nulls_first())).cast("long")

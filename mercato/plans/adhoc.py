@@ -1,11 +1,14 @@
 """Guarded ad-hoc SQL over the analytics objects.
 
-Two walls, as in the reference (which had a read-only database role):
+Three walls; the reference had a screen and a read-only database role:
  1. the screen (``mercato.operators.screen``), plus a block on Spark functions
     that call Java code;
- 2. execution in ``spark.newSession()`` where the nine analytics objects are
-    the only temp views and SQL on raw file paths is switched off. Temp views
-    of the parent session (raw or audit data) are not visible there.
+ 2. a session of its own (``spark.newSession()``) where the nine analytics
+    objects are the temp views and SQL on raw file paths is switched off;
+ 3. a look at the analysed plan before anything runs (analysing a query reads
+    no data): every relation in it must be one of the nine views, a CTE of the
+    statement or constant rows. Script transformations, table functions and
+    relations of other catalogues are refused wherever they stand.
 
 The caller's statement is wrapped with a row cap (``limit``), which is the
 feature of this surface, not a shortcut.
@@ -20,26 +23,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions.text import clean_sql_text
+from mercato.operators.access import PERMISSIONS
 from mercato.operators.screen import screen_reason
 from mercato.plans.model import Warehouse
-from mercato.plans.views import vw_seller_scorecard
 from mercato.schemas import ANALYTICS_OBJECTS
 
 DEFAULT_MAX_ROWS = 1000  # fixed value: the reference's default row cap
+MAX_ROWS = 100_000  # a caller's own cap may not exceed this
 
-_QUALIFIER = re.compile(r"(?i)\banalytics\.")
-_STRING_LITERAL = re.compile(r"'(?:[^']|'')*'")
+# Quoted text and comments are taken whole, so a qualifier inside them stays.
+_QUOTED = (r"""[rR]'[^']*'|[rR]"[^"]*"|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`(?!\s*\.)"""
+           r"""|--[^\n]*|/\*.*?\*/""")
+_QUALIFIER = re.compile(rf"(?is)({_QUOTED})|(?<![\w.`])(?:analytics|`analytics`)\s*\.\s*")
 
 
 def unqualify(sql: str) -> str:
-    """Drop ``analytics.`` qualifiers outside string literals (temp views have no schema)."""
-    out, pos = [], 0
-    for lit in _STRING_LITERAL.finditer(sql):
-        out.append(_QUALIFIER.sub("", sql[pos:lit.start()]))
-        out.append(lit.group(0))
-        pos = lit.end()
-    out.append(_QUALIFIER.sub("", sql[pos:]))
-    return "".join(out)
+    """Drop ``analytics.`` qualifiers of identifiers (temp views have no schema)."""
+    return _QUALIFIER.sub(lambda m: m.group(1) or "", sql)
 
 
 class GuardrailError(ValueError):
@@ -53,7 +53,7 @@ class AdhocResult:
 
 
 def _one(spark: SparkSession, expr_fn, text: str | None):
-    row = spark.range(1).select(expr_fn(F.lit(text).cast("string")).alias("v")).first()
+    row = spark.range(0, 1, 1, 1).select(expr_fn(F.lit(text).cast("string")).alias("v")).first()
     return row["v"]
 
 
@@ -69,45 +69,79 @@ def clean_one(spark: SparkSession, text: str | None) -> str:
 
 
 def isolated_session(wh: Warehouse, spark: SparkSession) -> SparkSession:
-    """A session whose catalogue holds only the analytics objects.
+    """A session whose temp views are the analytics objects.
 
     Created once per warehouse and reused (statements cannot change it: the
-    screen admits SELECT/WITH only, and DDL words are blocked).
+    screen admits SELECT/WITH only, and DDL words are blocked). Registering
+    the views runs no job.
     """
     if wh.isolated is not None:
         return wh.isolated
     session = spark.newSession()
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     iso = wh.in_session(session)
-    # Registering a view must not run a job: the seller view stays lazy here.
-    iso.tables["vw_seller_scorecard"] = lambda: vw_seller_scorecard(
-        iso["fct_order_items"], iso["dim_seller"], materialize_input=False)
     for name in ANALYTICS_OBJECTS:
         iso[name].createOrReplaceTempView(name)
     wh.isolated = session
     return session
 
 
+# Catalyst leaf nodes that read no relation.
+_CONSTANT_LEAVES = frozenset(("OneRowRelation", "LocalRelation", "CTERelationRef", "UnionLoopRef",
+                              "EmptyRelation"))
+
+
+def _sequence(jseq) -> list:
+    return [jseq.apply(i) for i in range(jseq.length())]
+
+
+def refused_part(frame: DataFrame, allowed=ANALYTICS_OBJECTS) -> str | None:
+    """What in the analysed plan is not allowed; None if all of it is.
+
+    The plan of an allowed view is not entered. Subqueries are plans inside
+    expressions, and CTE definitions are children of the plan, so both are
+    looked at like everything else.
+    """
+    names = {n.lower() for n in allowed}
+    todo = [frame._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName().rstrip("$")
+        if kind == "View":
+            name = node.desc().identifier()
+            if node.isTempView() and name.database().isEmpty() and name.table().lower() in names:
+                continue
+            return f"relation {name.unquotedString()}"
+        if "ScriptTransformation" in kind:
+            return "script transformation"
+        children = _sequence(node.children())
+        if kind == "Generate" and children[0].getClass().getSimpleName().startswith("OneRowRelation"):
+            return "table function"
+        if not children and kind not in _CONSTANT_LEAVES:
+            return f"relation of kind {kind}"
+        todo += children
+        todo += _sequence(node.subqueries())
+    return None
+
+
 def run_read_only(wh: Warehouse, spark: SparkSession, sql: str,
                   max_rows: int | None = None, args: dict | None = None) -> AdhocResult:
-    """Screen, cap and run ``sql`` on the analytics objects only.
+    """Screen, analyse, check, cap and run ``sql`` on the analytics objects only.
 
     ``args`` binds named parameter markers (``:name``) instead of pasting
-    values into the text.
+    values into the text. ``max_rows`` is 1 to MAX_ROWS (None or 0: the default).
     """
-    screen_one(spark, sql)
     cap = int(max_rows or DEFAULT_MAX_ROWS)
+    if not 1 <= cap <= MAX_ROWS:
+        raise ValueError(f"max_rows must be in 1..{MAX_ROWS}, got {max_rows!r}")
+    screen_one(spark, sql)
     inner = sql.strip().rstrip(";")
     session = isolated_session(wh, spark)
-    frame = session.sql(unqualify(inner), args=args).limit(cap)
-    return AdhocResult(sql=sql, frame=frame)
-
-
-def register_views(wh: Warehouse, session: SparkSession | None = None) -> None:
-    """Register the nine analytics objects as temp views (for trusted SQL users)."""
-    target = wh if session is None else wh.in_session(session)
-    for name in ANALYTICS_OBJECTS:
-        target[name].createOrReplaceTempView(name)
+    frame = session.sql(unqualify(inner), args=args)
+    refused = refused_part(frame)
+    if refused is not None:
+        raise GuardrailError(f"not allowed here: {refused}")
+    return AdhocResult(sql=sql, frame=frame.limit(cap))
 
 
 def generated_query(wh: Warehouse, spark: SparkSession, question: str,
@@ -127,37 +161,53 @@ class AuditedRun:
     audit: tuple               # one row in the audit schema
 
 
+NOT_PERMITTED = "role may not use this route"
+
+
+def active_role(users: DataFrame, username: str) -> str | None:
+    """The role of an active user; None for an unknown or inactive one."""
+    row = users.where((F.col("username") == username) & F.col("is_active")).select("role").first()
+    return row["role"] if row else None
+
+
 def run_and_audit(wh: Warehouse, spark: SparkSession, request_id: int, username: str,
-                  role: str, sql: str, created_at, max_rows: int | None = None,
+                  role: str | None, sql: str, created_at, max_rows: int | None = None,
                   action: str = "query") -> AuditedRun:
     """Run one ad-hoc statement and produce its audit row.
 
-    ``allowed`` (detail: the SQL), ``denied`` (detail: SQL -> screen reason) or
-    ``error`` (detail: SQL -> engine message) - the three outcomes of the
-    query route. The capped rows are the response and are the only data that
-    reaches the driver.
+    ``allowed`` (detail: the SQL), ``denied`` (detail: SQL -> reason, also for a
+    role that may not query) or ``error`` (detail: SQL -> the engine's whole
+    message) - the outcomes of the query route. The capped rows are the
+    response and are the only data that reaches the driver.
     """
-    from mercato.plans.audit import error_audit_row
+    def outcome(status: str, detail: str, rows: list | None = None) -> AuditedRun:
+        return AuditedRun(rows, (request_id, username, role, action, detail, status, created_at))
 
+    if role not in PERMISSIONS["/query"]:
+        return outcome("denied", f"{sql} -> {NOT_PERMITTED}")
     try:
-        result = run_read_only(wh, spark, sql, max_rows)
+        rows = run_read_only(wh, spark, sql, max_rows).frame.collect()
     except GuardrailError as exc:
-        return AuditedRun(None, (request_id, username, role, action, f"{sql} -> {exc}",
-                                 "denied", created_at))
-    except Exception as exc:  # noqa: BLE001 - analysis errors surface here
-        return AuditedRun(None, error_audit_row(request_id, username, role, action, sql,
-                                                _message(exc), created_at))
-    try:
-        rows = result.frame.collect()
-    except Exception as exc:  # noqa: BLE001 - runtime errors surface here
-        return AuditedRun(None, error_audit_row(request_id, username, role, action, sql,
-                                                _message(exc), created_at))
-    return AuditedRun(rows, (request_id, username, role, action, sql, "allowed", created_at))
+        return outcome("denied", f"{sql} -> {exc}")
+    except Exception as exc:  # noqa: BLE001 - analysis and runtime errors surface here
+        return outcome("error", f"{sql} -> {_message(exc)}")
+    return outcome("allowed", sql, rows)
+
+
+def submit_query(wh: Warehouse, spark: SparkSession, users: DataFrame, audit_path: str,
+                 request_id: int, username: str, sql: str, created_at,
+                 max_rows: int | None = None) -> AuditedRun:
+    """The query route as a whole: look the user up, run, store the audit row."""
+    from mercato.plans.audit import append_rows
+
+    run = run_and_audit(wh, spark, request_id, username, active_role(users, username), sql,
+                        created_at, max_rows)
+    append_rows(spark, [run.audit], audit_path)
+    return run
 
 
 def _message(exc: Exception) -> str:
-    text = str(exc).strip().splitlines()
-    return text[0] if text else type(exc).__name__
+    return str(exc).strip() or type(exc).__name__
 
 
 def answer_question(wh: Warehouse, spark: SparkSession, question: str, generated_sql: str,

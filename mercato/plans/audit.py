@@ -83,33 +83,20 @@ def latest_audit(audit: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def append_audit(audit: DataFrame, path: str) -> None:
-    """Append a batch of audit rows to the audit dataset (Parquet, by day)."""
+    """Append a batch of audit rows to the audit dataset (Parquet, by day).
+
+    Rebalanced by day, so a day gets a few advisory-sized files per batch.
+    """
     (audit.select(*AUDIT_COLUMNS)
           .withColumn("day", F.to_date("created_at"))
+          .hint("rebalance", "day")
           .write.mode("append").partitionBy("day").parquet(path))
 
 
-def read_audit(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*AUDIT_COLUMNS)
-
+def append_rows(spark, rows: list[tuple], path: str) -> None:
+    """Append audit rows that the driver holds (the outcomes of single requests)."""
+    append_audit(spark.createDataFrame(rows, AUDIT_SCHEMA), path)
 
-def latest_audit_from(spark, path: str, limit: int = 100, recent_days: int = 7) -> DataFrame:
-    """The newest ``limit`` rows of the stored audit log, reading recent days only.
 
-    Ids grow with time, so the newest rows sit in the newest ``day``
-    partitions; the day folders are listed (metadata only) and only the last
-    ``recent_days`` of them are read. When those hold fewer than ``limit``
-    rows the whole log is read instead.
-    """
-    from mercato.sources.fs import child_dirs
-
-    days = sorted(name.split("=", 1)[1] for name in child_dirs(spark, path)
-                  if name.startswith("day="))
-    stored = spark.read.parquet(path)
-    if days:
-        recent = stored.where(F.col("day") >= F.lit(days[-min(recent_days, len(days))])
-                              .cast("date"))
-        top = latest_audit(recent.select(*AUDIT_COLUMNS), limit)
-        if top.count() >= limit:
-            return top
-    return latest_audit(stored.select(*AUDIT_COLUMNS), limit)
+def read_audit(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*AUDIT_COLUMNS)

@@ -5,6 +5,8 @@ Layout under ``root`` (a shared folder on the cluster)::
     root/build=<id>/raw/<table>/            Parquet copy of each landing table
     root/build=<id>/<dim>/                  the four dimensions
     root/build=<id>/fct_order_items/order_month=.../   the fact, by month
+    root/build=<id>/<view>/                 the four views, aggregated once
+    root/build=<id>/_stage/                 inputs of later steps, dropped at the end
     root/build=<id>/_published/             written last: marks a complete build
 
 A build is all-or-nothing: readers only see builds carrying ``_published``,
@@ -16,27 +18,25 @@ the lineage: reports read Parquet, never the CSV parse or the build joins.
 from __future__ import annotations
 
 import datetime as dt
-import os
+import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercato.operators.keys import assert_primary_key
 from mercato.plans.model import Warehouse, model_tables, order_level
-from mercato.plans.views import view_tables
+from mercato.plans.views import (category_aggregate, category_view, seller_aggregate, seller_view,
+                                 vw_delivery_sla, vw_monthly_revenue)
 from mercato.schemas import DIMENSIONS, FACT, PRIMARY_KEYS
 from mercato.session import sized_shuffles
-from mercato.sources.fs import child_dirs, exists, path_bytes
+from mercato.sources.fs import child_dirs, delete, exists, path_bytes
 
 PUBLISHED = "_published"
-ORDER_STAGE = "_stage/order_info"
-FACT_COLUMNS = (
-    "order_id", "order_item_id", "product_id", "seller_id", "customer_id", "order_status",
-    "order_purchase_timestamp", "order_date", "order_month", "order_approved_at",
-    "order_delivered_customer_date", "order_estimated_delivery_date", "price",
-    "freight_value", "item_revenue", "delivery_days", "on_time", "avg_review_score")
+STAGE = "_stage"
+VIEWS = ("vw_monthly_revenue", "vw_category_performance", "vw_seller_scorecard", "vw_delivery_sla")
 
 
 @dataclass
@@ -90,6 +90,37 @@ def _write_dimension(spark: SparkSession, df: DataFrame, dim: str, path: str) ->
     assert_primary_key(spark.read.parquet(f"{path}/{dim}"), PRIMARY_KEYS[dim], dim)
 
 
+def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A written table by its known schema (an empty one has no files to infer from)."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    _write(df, path)
+    return _read(df.sparkSession, path, df.schema)
+
+
+def _write_views(tables: dict[str, DataFrame], path: str) -> None:
+    """Aggregate the fact once per view; ranks read the written aggregates."""
+    fact = tables[FACT]
+
+    def categories():
+        measures = _staged(category_aggregate(fact, tables["dim_product"]), f"{path}/{STAGE}/categories")
+        _write(category_view(measures), f"{path}/vw_category_performance")
+
+    def sellers():
+        measures = _staged(seller_aggregate(fact, tables["dim_seller"]), f"{path}/{STAGE}/sellers")
+        _write(seller_view(measures), f"{path}/vw_seller_scorecard")
+
+    run_all({
+        "vw_category_performance": categories,
+        "vw_seller_scorecard": sellers,
+        "vw_monthly_revenue": lambda: _write(vw_monthly_revenue(fact), f"{path}/vw_monthly_revenue"),
+        "vw_delivery_sla": lambda: _write(vw_delivery_sla(fact, tables["dim_customer"]),
+                                          f"{path}/vw_delivery_sla"),
+    })
+
+
 def _write_fact(df: DataFrame, path: str) -> None:
     # Rebalance by month (AQE splits big months, merges small ones) so each
     # month is written as a few advisory-sized files, not one per task; rows
@@ -119,19 +150,54 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
             # The order-level table (one row per order) is written first, so the
             # fact is one join of two scans: AQE then splits the partition of an
             # order holding a large share of all lines.
-            _write(order_level(landed["orders"], landed["order_reviews"]),
-                   f"{path}/{ORDER_STAGE}")
-            tables = model_tables(landed, spark.read.parquet(f"{path}/{ORDER_STAGE}"))
+            order_info = _staged(order_level(landed["orders"], landed["order_reviews"]),
+                                 f"{path}/{STAGE}/order_info")
+            tables = model_tables(landed, order_info)
             tasks = {dim: (lambda dim=dim: _write_dimension(spark, tables[dim], dim, path))
                      for dim in DIMENSIONS}
             tasks[FACT] = lambda: _write_fact(tables[FACT], path)
             run_all(tasks)
-    spark.createDataFrame([(build_id, analytics, counts and sum(counts.values()))],
-                          "build_id string, analytics boolean, raw_rows long") \
+            written = {name: _read(spark, f"{path}/{name}", tables[name].schema) for name in tasks}
+            _write_views(written, path)
+    marker = {"build_id": build_id, "analytics": analytics, "raw_rows": sum(counts.values()),
+              # the schemas readers open the tables with, so nothing is inferred
+              "schemas": json.dumps({**{f"raw/{t}": landed[t].schema.jsonValue() for t in raw},
+                                     **({n: tables[n].schema.jsonValue() for n in written}
+                                        if analytics else {}),
+                                     **({n: spark.read.parquet(f"{path}/{n}").schema.jsonValue()
+                                         for n in VIEWS} if analytics else {})})}
+    spark.createDataFrame([marker], "build_id string, analytics boolean, raw_rows long, schemas string") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/{PUBLISHED}")
+    delete(spark, f"{path}/{STAGE}")
     return BuildResult(build_id=build_id, path=path, raw_counts=counts)
 
 
+def retire_builds(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete superseded and failed builds and leftover staging folders.
+
+    The newest ``keep`` published builds stay. An unpublished build older than
+    the newest published one has failed and goes; a newer one may be running
+    and stays. Returns the deleted paths.
+    """
+    if keep < 1:
+        raise ValueError("at least one published build must be kept")
+    published = published_builds(spark, root)
+    kept = set(published[-keep:])
+    gone = []
+    for name in sorted(child_dirs(spark, root)):
+        build_id = name.removeprefix("build=")
+        path = f"{root.rstrip('/')}/{name}"
+        if name == build_id or not published:
+            continue
+        if build_id in kept:
+            path = f"{path}/{STAGE}"
+        elif build_id > published[-1]:
+            continue
+        if delete(spark, path):
+            gone.append(path)
+    return gone
+
+
 def published_builds(spark: SparkSession, root: str) -> list[str]:
     ids = [name.split("=", 1)[1] for name in child_dirs(spark, root)
            if name.startswith("build=")]
@@ -153,25 +219,17 @@ def load_warehouse(spark: SparkSession, root: str, build_id: str | None = None)
     elif build_id not in builds:
         raise FileNotFoundError(f"build {build_id} under {root} is not published")
     path = f"{root.rstrip('/')}/build={build_id}"
-    tables: dict = {name: (lambda name=name: spark.read.parquet(f"{path}/{name}"))
-                    for name in DIMENSIONS}
-    # Partition columns come back last; restore the fact's column order.
-    tables[FACT] = lambda: spark.read.parquet(f"{path}/{FACT}").select(*FACT_COLUMNS)
-    wh = Warehouse(tables=tables, raw={},
-                   loader=lambda session: load_warehouse(session, root, build_id))
-    wh.tables.update(view_tables(_TableView(wh)))
-    wh.raw_loaders = {"order_payments": lambda: spark.read.parquet(f"{path}/raw/order_payments")}
-    return wh
-
-
-class _TableView:
-    """Dict-like access to a warehouse's objects that resolves them lazily."""
-
-    def __init__(self, wh: Warehouse):
-        self._wh = wh
-
-    def __getitem__(self, name: str) -> DataFrame:
-        return self._wh[name]
+    marker = spark.read.schema("analytics boolean, schemas string").parquet(f"{path}/{PUBLISHED}").first()
+    schemas = {name: T.StructType.fromJson(value)
+               for name, value in json.loads(marker["schemas"]).items()}
+    names = [*DIMENSIONS, FACT, *VIEWS] if marker["analytics"] else []
+    tables: dict = {name: (lambda name=name: _read(spark, f"{path}/{name}", schemas[name])
+                           .select(*schemas[name].names)) for name in names}
+    return Warehouse(
+        tables=tables, raw={}, stored_views=marker["analytics"],
+        loader=lambda session: load_warehouse(session, root, build_id),
+        raw_loaders={name.removeprefix("raw/"): (lambda name=name: _read(
+            spark, f"{path}/{name}", schemas[name])) for name in schemas if name.startswith("raw/")})
 
 
 def build_from_csv(spark: SparkSession, src_dir: str, root: str,
@@ -180,10 +238,3 @@ def build_from_csv(spark: SparkSession, src_dir: str, root: str,
     from mercato.sources.landing import read_raw_csv
 
     return build(spark, read_raw_csv(spark, src_dir), root, analytics=analytics)
-
-
-def scratch_root(spark: SparkSession, name: str = "warehouse") -> str:
-    """A warehouse root inside the session's shared checkpoint folder."""
-    from mercato.session import checkpoint_dir
-
-    return os.path.join(checkpoint_dir(spark), name)

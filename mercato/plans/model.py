@@ -126,12 +126,6 @@ def fact_from_lines(order_items: DataFrame, order_info: DataFrame) -> DataFrame:
         "avg_review_score")
 
 
-def fct_order_items(order_items: DataFrame, orders: DataFrame,
-                    reviews: DataFrame) -> DataFrame:
-    """One row per order line with revenue, delivery measures and review score."""
-    return fact_from_lines(order_items, order_level(orders, reviews))
-
-
 @dataclass
 class Warehouse:
     """The analytics objects plus the one raw table a report reads directly."""
@@ -144,9 +138,11 @@ class Warehouse:
     isolated: SparkSession | None = field(default=None, repr=False, compare=False)
     # Raw tables opened on first use.
     raw_loaders: dict = field(default_factory=dict, repr=False, compare=False)
+    # Whether the views are tables of a build (else they are plans over the fact).
+    stored_views: bool = False
 
     def __getitem__(self, name: str) -> DataFrame:
-        """The object ``name``; views are built on first access (some run a job)."""
+        """The object ``name``, planned on first access."""
         obj = self.tables[name]
         if callable(obj):
             obj = obj()

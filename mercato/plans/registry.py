@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mercato.functions.numeric import decimals_to_double
 from mercato.plans import reports
 from mercato.plans.model import Warehouse, lazy_warehouse
+from mercato.schemas import RAW_SCHEMAS
 from mercato.session import configure
 from mercato.sources.testdata import raw_from_testdata
 
@@ -295,6 +296,76 @@ def _latest_audit(wh, spark, sf_dir):
     return latest_audit(_access(spark, sf_dir), 100)
 
 
+@query("latest_audit_stored")
+def _latest_audit_stored(wh, spark, sf_dir):
+    """The decisions appended to a stored log in two batches, its newest rows read back."""
+    import uuid
+
+    from mercato.plans.audit import append_audit, latest_audit, read_audit
+    from mercato.session import scratch_path
+
+    path = scratch_path(spark, f"mercato/audit-log-{uuid.uuid4().hex}")
+    decisions = _access(spark, sf_dir)
+    append_audit(decisions.where(F.col("id") % 2 == 0), path)
+    append_audit(decisions.where(F.col("id") % 2 == 1), path)
+    return latest_audit(read_audit(spark, path), 100)
+
+
+# ---- landing and build ---------------------------------------------------------
+
+_BUILT: dict[tuple[int, str], Warehouse] = {}
+
+
+def built_for(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The given tables exported as CSV folders, landed, built and opened.
+
+    Everything is written under the session's shared checkpoint folder, once
+    per session and folder.
+    """
+    import uuid
+
+    from mercato.plans.build import build_from_csv, load_warehouse
+    from mercato.session import scratch_path
+    from mercato.sources.landing import write_csv_table
+
+    configure(spark)
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    if key not in _BUILT:
+        base = scratch_path(spark, f"mercato/landing-{uuid.uuid4().hex}")
+        for table, frame in raw_from_testdata(spark, sf_dir).items():
+            write_csv_table(frame, f"{base}/csv", table)
+        build_from_csv(spark, f"{base}/csv", f"{base}/warehouse")
+        _BUILT[key] = load_warehouse(spark, f"{base}/warehouse")
+    return _BUILT[key]
+
+
+for _table in RAW_SCHEMAS:
+    query(f"landed_{_table}")(lambda wh, spark, sf_dir, _t=_table: built_for(spark, sf_dir).raw_loaders[_t]())
+
+for _name in ("fct_order_items", "dim_customer", "dim_date", "dim_product", "dim_seller",
+              "vw_monthly_revenue", "vw_category_performance", "vw_seller_scorecard", "vw_delivery_sla"):
+    query(f"built_{_name}")(lambda wh, spark, sf_dir, _n=_name: built_for(spark, sf_dir)[_n])
+
+
+@query("built_top_sellers")
+def _built_top_sellers(wh, spark, sf_dir):
+    return reports.seller_scorecard(built_for(spark, sf_dir), 20)
+
+
+@query("key_violations")
+def _key_violations(wh, spark, sf_dir):
+    """Per dimension of the build: keys that are NULL or repeat."""
+    from functools import reduce
+
+    from mercato.schemas import PRIMARY_KEYS
+
+    built = built_for(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [
+        built[dim].groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        .where("k is null or n > 1").agg(F.count(F.lit(1)).alias("violations"))
+        .select(F.lit(dim).alias("dimension"), "violations") for dim, key in PRIMARY_KEYS.items()])
+
+
 # ---- result shaping for charts -----------------------------------------------
 
 @query("coerce_numeric")
@@ -314,6 +385,29 @@ def _sla_chart_rows(wh, spark, sf_dir):
     return drop_missing(wh["vw_delivery_sla"], "on_time_pct")
 
 
+@query("coerce_text_columns")
+def _coerce_text_columns(wh, spark, sf_dir):
+    """Columns that look like numbers: with Java suffixes, too wide for bigint, whole, with points."""
+    from mercato.functions.coerce import coerce_numeric
+    from mercato.sources.testdata import read_test_table
+
+    key = F.col("s_suppkey").cast("string")
+    return coerce_numeric(read_test_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.concat(key, F.lit("d")).alias("suffixed"),
+        F.concat(F.lit("12345678901234567890"), F.lpad(key, 9, "0")).alias("wide"),
+        key.alias("whole"), F.col("s_acctbal").cast("decimal(12,2)").cast("string").alias("points")))
+
+
+@query("trend_chart_rows")
+def _trend_chart_rows(wh, spark, sf_dir):
+    """The monthly trend as it travels (period as text), its period turned back into a date."""
+    from mercato.functions.dates import period_date
+
+    points = reports.revenue_trend(wh, "month")
+    return points.withColumn("period", F.col("period").cast("string")).withColumn(
+        "period", period_date(F.col("period")))
+
+
 # ---- streaming ---------------------------------------------------------------
 
 @query("access_audit_stream")

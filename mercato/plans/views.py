@@ -1,10 +1,11 @@
 """The four pre-aggregated views, as lazy DataFrames over the star schema.
 
 Views carry no ORDER BY (sorting is the report's job), so reading a view costs
-no range shuffle. Windows without PARTITION BY run only on aggregates whose
-size follows a calendar or a taxonomy (months, categories); the seller rank,
-whose input grows with the data, uses ``global_rank`` (one window only below
-a checked size, distributed beyond it).
+no range shuffle, and defining one runs no job. The only window without
+PARTITION BY over the views' own rows is the running total over months (a
+calendar); ranks are distributed (``global_rank``) and the revenue share uses
+a one-row total. A build writes the views as tables, so reading them there
+never touches the fact.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.numeric import exact_avg, pct, round2, safe_div
-from mercato.operators.ranking import global_rank, small_rank
+from mercato.operators.ranking import global_rank
 
 
 def is_delivered():
@@ -60,14 +61,17 @@ def category_aggregate(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
                 exact_avg(F.col("avg_review_score")).alias("avg_review_score")))
 
 
+def category_view(categories: DataFrame) -> DataFrame:
+    """The category view from the per-category measures."""
+    total = categories.agg(F.sum("revenue").alias("_total"))  # one row
+    return (global_rank(categories, "revenue", "revenue_rank").crossJoin(F.broadcast(total))
+            .select("category", "revenue", "items_sold", "orders",
+                    round2(F.col("avg_review_score")).alias("avg_review_score"), "revenue_rank",
+                    pct(F.col("revenue"), F.col("_total")).alias("revenue_share_pct")))
+
+
 def vw_category_performance(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
-    cat = category_aggregate(fact, dim_product)
-    total = F.sum("revenue").over(Window.partitionBy())
-    return cat.select(
-        "category", "revenue", "items_sold", "orders",
-        round2(F.col("avg_review_score")).alias("avg_review_score"),
-        small_rank("revenue").alias("revenue_rank"),
-        pct(F.col("revenue"), total).alias("revenue_share_pct"))
+    return category_view(category_aggregate(fact, dim_product))
 
 
 def seller_aggregate(fact: DataFrame, dim_seller: DataFrame) -> DataFrame:
@@ -90,18 +94,16 @@ def seller_aggregate(fact: DataFrame, dim_seller: DataFrame) -> DataFrame:
         round2(F.col("avg_delivery_days")).alias("avg_delivery_days"))
 
 
-def vw_seller_scorecard(fact: DataFrame, dim_seller: DataFrame,
-                        materialize_input: bool = True) -> DataFrame:
-    """Sellers with the distributed global revenue rank.
+def seller_view(sellers: DataFrame) -> DataFrame:
+    """The seller view from the per-seller measures."""
+    return global_rank(sellers, "revenue", "revenue_rank").select(
+        "seller_id", "seller_state", "revenue", "items_sold", "orders",
+        "avg_review_score", "avg_delivery_days", "revenue_rank")
 
-    ``materialize_input=False`` keeps the view purely lazy (no job when it is
-    defined) at the price of re-reading the fact in each rank branch when it
-    is queried; used where the view may never be read (ad-hoc catalogue).
-    """
-    ranked = global_rank(seller_aggregate(fact, dim_seller), "revenue", "revenue_rank",
-                         materialize_input=materialize_input)
-    return ranked.select("seller_id", "seller_state", "revenue", "items_sold", "orders",
-                         "avg_review_score", "avg_delivery_days", "revenue_rank")
+
+def vw_seller_scorecard(fact: DataFrame, dim_seller: DataFrame) -> DataFrame:
+    """Sellers with the distributed global revenue rank."""
+    return seller_view(seller_aggregate(fact, dim_seller))
 
 
 def sla_measures(df: DataFrame) -> list:

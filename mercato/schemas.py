@@ -86,8 +86,6 @@ AUDIT_SCHEMA = _struct(
     ("id", L), ("username", S), ("role", S), ("action", S), ("detail", S),
     ("status", S), ("created_at", NTZ))
 
-USERS_SCHEMA = _struct(("username", S), ("role", S), ("is_active", B))
-
 REQUESTS_SCHEMA = _struct(
     ("id", L), ("username", S), ("method", S), ("path", S), ("query_string", S),
     ("created_at", NTZ))

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -65,11 +65,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
     shared folder there). Only when it is unset, as in local tests, a scratch
     folder is created once per SparkContext and registered with
-    ``setCheckpointDir`` (the setting itself cannot change at run time).
+    ``setCheckpointDir`` (the setting itself cannot change at run time). Any
+    other master without the setting is an error: a folder of the driver's
+    machine would be invisible to the executors.
     """
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not conf_dir:
         key = id(sc._jsc)
         if key not in _FALLBACK_DIRS:
@@ -85,24 +89,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
-def materialize(df, name: str, with_count: bool = False):
-    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
-
-    Cuts the lineage: later branches of a plan (and retries after an executor
-    loss) read the written files instead of recomputing the upstream joins.
-    With ``with_count`` the row count observed on the write is returned too.
-    """
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
-
-    spark = df.sparkSession
-    path = scratch_path(spark, f"mercato/{name}-{uuid.uuid4().hex}")
-    obs = Observation(f"rows-{name}")
-    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    written = spark.read.parquet(path)
-    return (written, int(obs.get["n"])) if with_count else written
-
-
 # Aim for shuffle partitions of about this size before AQE coalesces them.
 SHUFFLE_PARTITION_BYTES = 256 * 1024 * 1024
 # Columnar Parquet bytes grow when rows are shuffled (decoded, row format).

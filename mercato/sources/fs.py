@@ -28,3 +28,9 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     """Total size of the files under ``path`` (file-system metadata only)."""
     fs, p = _fs(spark, path)
     return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete ``path`` and all below it; False if there was nothing."""
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p) and fs.delete(p, True))

@@ -9,8 +9,6 @@ multi-line; every other file is split across tasks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,18 +56,17 @@ def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return df.select(*cols)
 
 
+def write_csv_table(df: DataFrame, directory: str, table: str) -> None:
+    """Export one landing table as a folder of CSV parts in the source's format."""
+    columns = [f.name for f in RAW_SCHEMAS[table].fields]
+    (df.select(*columns).write.option("header", True).option("quote", '"').option("escape", '"')
+       .option("nullValue", "").option("emptyValue", '""')
+       .csv(f"{directory.rstrip('/')}/{RAW_FILES[table]}"))
+
+
 def read_raw_csv(spark: SparkSession, directory: str,
                  files: dict[str, str] = RAW_FILES) -> dict[str, DataFrame]:
     """The nine landing tables from ``directory`` after the presence check."""
     check_inputs(spark, directory, files)
     return {table: read_csv_table(spark, f"{directory.rstrip('/')}/{name}", table)
             for table, name in files.items()}
-
-
-@dataclass
-class LoadCounts:
-    per_table: dict[str, int]
-
-    @property
-    def total(self) -> int:
-        return sum(self.per_table.values())

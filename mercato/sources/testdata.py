@@ -8,8 +8,6 @@ The mapping uses plain arithmetic only, so an SQL oracle can repeat it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,7 +180,3 @@ def raw_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "sellers": raw_sellers(t["supplier"], t["nation"]),
         "product_category_name_translation": raw_category_translation(t["part"]),
     }
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -19,8 +19,8 @@ def test_catalogue_lists_exactly_the_analytics_objects(spark):
     notes = {r["table"]: r["note"] for r in cols.select("table", "note").distinct().collect()}
     assert notes["dim_date"] == "calendar"
     text = schema_text(session)
-    assert text.startswith("Schema `analytics` (read-only)")
-    assert "vw_delivery_sla (customer_state string" in text
+    assert "* vw_delivery_sla | on-time %" in text
+    assert "    - customer_state: string" in text and text.count("* ") == len(ANALYTICS_OBJECTS)
 
 
 def test_coercion_rules(spark):
@@ -36,6 +36,16 @@ def test_coercion_rules(spark):
     assert coerce_numeric(empty).dtypes == [("a", "string")]
 
 
+def test_suffixes_and_wide_numbers(spark):
+    df = spark.createDataFrame(
+        [("12d", "5F", "12345678901234567890123", "1e3", ".5", "inf"), ("1", "2", "7", "2", "3.", "1")],
+        "d string, f string, wide string, exponent string, point string, endless string")
+    out = coerce_numeric(df)
+    assert dict(out.dtypes) == {"d": "string", "f": "string", "wide": "double", "exponent": "double",
+                                "point": "double", "endless": "double"}
+    assert sorted(r["wide"] for r in out.collect()) == [7.0, 1.2345678901234568e22]
+
+
 def test_drop_missing(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None)], "s string, on_time_pct double")
     assert [r["s"] for r in drop_missing(df, "on_time_pct").collect()] == ["a"]

@@ -115,7 +115,7 @@ def test_cli_build_and_report(spark, scratch, capsys):
     export_csv(spark, raw, src)
     assert main(["build", "--src", src, "--root", scratch + "/wh"]) == 0
     out = capsys.readouterr().out
-    assert "raw rows total" in out and "published build" in out
+    assert "landed 10 rows in sellers" in out and "is published at" in out
     assert main(["report", "--root", scratch + "/wh", "top_categories", "--limit", "3"]) == 0
     assert "revenue_rank" in capsys.readouterr().out
     assert main(["build", "--src", scratch + "/nothing", "--root", scratch + "/wh2"]) == 1
@@ -124,7 +124,14 @@ def test_cli_build_and_report(spark, scratch, capsys):
                  "--explain"]) == 0
     assert "PartitionFilters" in capsys.readouterr().out
     assert main(["sql", "--root", scratch + "/wh", "SELECT count(*) AS n FROM dim_date"]) == 0
-    assert "|n " in capsys.readouterr().out
+    assert capsys.readouterr().out.startswith("n\n")
+    assert main(["report", "--root", scratch + "/wh", "revenue_trend", "--granularity", "day"]) == 0
+    days = len(capsys.readouterr().out.splitlines()) - 2
+    assert days == reports.revenue_trend(lazy_warehouse(raw), "day").count() > 20
+    with pytest.raises(ValueError, match="limit"):
+        main(["report", "--root", scratch + "/wh", "top_categories", "--limit", "0"])
+    assert main(["report", "--root", scratch + "/wh", "aov", "--out", scratch + "/aov"]) == 0
+    assert spark.read.parquet(scratch + "/aov/overall").count() == 1
     assert main(["sql", "--root", scratch + "/wh", "DROP TABLE dim_date"]) == 2
 
 
@@ -164,3 +171,31 @@ def test_built_warehouse_equals_lazy_plans(spark, scratch):
         for a, b in zip(make(built), make(lazy)):
             assert a.columns == b.columns, name
             assert rows(a) == rows(b), name
+
+
+def test_empty_tables_build_and_load(spark, scratch):
+    raw = {t: df.limit(0) if t in ("order_items", "order_reviews") else df
+           for t, df in raw_from_testdata(spark, SF_SMALL).items()}
+    build(spark, raw, scratch + "/wh")
+    wh = load_warehouse(spark, scratch + "/wh")
+    assert wh.fact.count() == 0 and dict(wh.fact.dtypes)["order_month"] == "date"
+    assert wh["vw_seller_scorecard"].count() == 0 and reports.revenue_trend(wh).count() == 0
+    assert wh["dim_seller"].count() == raw["sellers"].count()
+
+
+def test_retiring_builds(spark, scratch):
+    from mercato.plans.build import retire_builds
+
+    raw = raw_from_testdata(spark, SF_SMALL)
+    root = scratch + "/wh"
+    for build_id in ("1", "2", "3"):
+        build(spark, raw, root, analytics=False, build_id=build_id)
+    for failed in ("0", "25", "9"):  # unpublished: older than the newest, and one that may be running
+        spark.range(1).write.parquet(f"{root}/build={failed}/raw/x")
+    spark.range(1).write.parquet(f"{root}/build=3/_stage/x")
+    with pytest.raises(ValueError):
+        retire_builds(spark, root, 0)
+    gone = [os.path.relpath(p, root) for p in retire_builds(spark, root, 2)]
+    assert sorted(gone) == ["build=0", "build=1", "build=25", "build=3/_stage"]
+    assert published_builds(spark, root) == ["2", "3"] and os.path.exists(f"{root}/build=9")
+    assert load_warehouse(spark, root).raw_loaders["sellers"]().count() == raw["sellers"].count()

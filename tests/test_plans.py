@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mercato.plans import reports
 from mercato.plans.build import build, load_warehouse
+from mercato.plans.model import lazy_warehouse
 from mercato.plans.views import category_aggregate
 from mercato.sources.testdata import raw_from_testdata
 from tests.conftest import SF_SMALL
@@ -41,12 +42,45 @@ def test_bounded_trend_prunes_months_and_columns(spark, built):
     assert "EqualTo(order_status,delivered)" in plan
 
 
-def test_seller_view_reads_the_fact_once(spark, built):
+def test_stored_views_read_no_fact(spark, built):
     wh = load_warehouse(spark, built)
-    plan = plan_of(wh["vw_seller_scorecard"])
-    # the per-seller aggregate was written once; the ranking reads that copy only
-    assert "fct_order_items" not in plan
-    assert "rank-input" in plan
+    for name in ("vw_monthly_revenue", "vw_category_performance", "vw_seller_scorecard", "vw_delivery_sla"):
+        plan = plan_of(wh[name])
+        assert "fct_order_items" not in plan and name in plan
+
+
+def test_opening_the_adhoc_session_reads_no_data(spark, built):
+    from mercato.plans.adhoc import isolated_session, run_read_only
+
+    wh = load_warehouse(spark, built)
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    isolated_session(wh, spark)
+    run_read_only(wh, spark, "SELECT 1 AS one")
+    # the build's marker (one row), the screened text, and the listing of the
+    # fact's month folders; no table is scanned
+    jobs = set(tracker.getJobIdsForGroup(None)) - before
+    stages = [tracker.getStageInfo(s) for j in jobs for s in tracker.getJobInfo(j).stageIds]
+    assert len(jobs) <= 3 and sum(s.name.startswith("first at") for s in stages if s) == 2
+
+
+def test_repeat_customers_moves_no_line_by_customer(spark, built):
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        text = reports.repeat_customers(load_warehouse(spark, built))._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    lines = [line.strip(" :+-") for line in text.split("\n")]
+    fact = next(i for i, line in enumerate(lines) if "FileScan" in line and "item_revenue" in line)
+    first_exchange = next(i for i in range(fact, 0, -1) if lines[i].startswith("Exchange"))
+    assert "customer_id" in lines[first_exchange] and "order_id" in lines[first_exchange]
+    assert any("partial_sum" in line for line in lines[first_exchange:fact])
 
 
 def test_single_dimension_join_splits_a_hot_key(spark):
@@ -75,9 +109,8 @@ def test_single_dimension_join_splits_a_hot_key(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_top_k_moves_only_k_rows_per_partition(spark, built):
-    wh = load_warehouse(spark, built)
-    plan = plan_of(reports.seller_scorecard(wh, 20))
+def test_top_k_moves_only_k_rows_per_partition(spark):
+    plan = plan_of(reports.seller_scorecard(lazy_warehouse(raw_from_testdata(spark, SF_SMALL)), 20))
     assert re.search(r"TakeOrderedAndProject[^\n]*\n[^\n]*limit=20|TakeOrderedAndProject \(\d+\)", plan)
     assert "Arguments: 20," in plan
 

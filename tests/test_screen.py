@@ -127,6 +127,65 @@ def test_run_and_audit_outcomes(spark, wh):
                         "SELECT * FROM vw_delivery_sla a, raw.orders b", t)
     assert err.rows is None and err.audit[5] == "error"
     assert err.audit[4].startswith("SELECT * FROM vw_delivery_sla a, raw.orders b -> ")
+    assert "raw" in err.audit[4] and "\n" in err.audit[4]  # the whole message
+    viewer = run_and_audit(wh, spark, 4, "v", "viewer", "SELECT 1", t)
+    assert viewer.rows is None and viewer.audit[4:6] == ("SELECT 1 -> role may not use this route", "denied")
+
+
+def test_submitted_queries_are_authorised_and_stored(spark, wh, scratch):
+    import datetime as dt
+
+    from mercato.plans.adhoc import submit_query
+    from mercato.plans.audit import read_audit
+
+    users = spark.createDataFrame([("ana", "analyst", True), ("vic", "viewer", True), ("off", "admin", False)],
+                                  "username string, role string, is_active boolean")
+    t = dt.datetime(2024, 1, 1)
+    for i, (who, sql) in enumerate([("ana", "SELECT 1 AS x"), ("vic", "SELECT 1"), ("off", "SELECT 1"),
+                                    ("nobody", "SELECT 1"), ("ana", "DROP TABLE x"),
+                                    ("ana", "SELECT no_such_column FROM dim_date")]):
+        submit_query(wh, spark, users, scratch + "/audit", i, who, sql, t)
+    rows = {r["id"]: r for r in read_audit(spark, scratch + "/audit").collect()}
+    assert [rows[i]["status"] for i in range(6)] == ["allowed", "denied", "denied", "denied", "denied", "error"]
+    assert rows[2]["role"] is None and rows[1]["role"] == "viewer" and "no_such_column" in rows[5]["detail"]
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT TRANSFORM(year) USING 'id -u' AS (x STRING) FROM dim_date",
+    "SELECT * FROM (SELECT TRANSFORM(year) USING 'cat' AS (x STRING) FROM dim_date) t",
+    "WITH w AS (SELECT TRANSFORM(year) USING 'cat' AS (x STRING) FROM dim_date) SELECT * FROM w",
+    "SELECT s.* FROM dim_seller a, global_temp.secret_tab s",
+    "SELECT 1 FROM dim_seller WHERE seller_id IN (SELECT s.x FROM dim_seller a, global_temp.secret_tab s)",
+    "WITH w AS (SELECT s.x FROM dim_seller a, global_temp.secret_tab s) SELECT * FROM w",
+    "SELECT (SELECT max(s.x) FROM dim_seller a, global_temp.secret_tab s) AS x FROM dim_date",
+    "SELECT * FROM dim_seller a, secret_kept s",
+    "SELECT * FROM dim_seller a, default.secret_kept s",
+    "SELECT * FROM dim_date a, range(5) b",
+    "SELECT 1 FROM dim_date WHERE year IN (SELECT b.id FROM dim_date a, range(5) b)",
+    "SELECT * FROM dim_date a, explode(array(1, 2)) b",
+])
+def test_foreign_relations_and_commands_are_refused(spark, wh, sql):
+    spark.createDataFrame([("secret",)], "x string").createOrReplaceGlobalTempView("secret_tab")
+    if not spark.catalog.tableExists("secret_kept"):
+        spark.createDataFrame([("secret",)], "x string").write.saveAsTable("secret_kept")
+    with pytest.raises(GuardrailError):
+        run_read_only(wh, spark, sql)
+
+
+@pytest.mark.parametrize("sql,n", [
+    ("WITH w AS (SELECT year FROM dim_date), v AS (SELECT * FROM w) SELECT DISTINCT year FROM v WHERE year = 1997", 1),
+    ("SELECT year FROM dim_date WHERE date_key = (SELECT max(date_key) FROM dim_date)", 1),
+    ("SELECT a.seller_id FROM dim_seller a JOIN vw_seller_scorecard b ON a.seller_id = b.seller_id LIMIT 2", 2),
+    ("SELECT 1 AS one", 1),
+    ("SELECT x FROM dim_date LATERAL VIEW explode(array(1, 2)) t AS x LIMIT 3", 3),
+])
+def test_allowed_shapes_still_run(spark, wh, sql, n):
+    assert run_read_only(wh, spark, sql).frame.count() == n
+
+
+def test_row_cap_is_bounded(spark, wh):
+    with pytest.raises(ValueError):
+        run_read_only(wh, spark, "SELECT 1", max_rows=10 ** 9)
 
 
 def test_bound_parameters(spark, wh):
@@ -160,6 +219,10 @@ def test_unqualify_keeps_string_literals():
         "SELECT 'analytics.x' AS a, b FROM dim_date"
     assert unqualify("SELECT 'it''s analytics.y' FROM analytics.t JOIN analytics.u") == \
         "SELECT 'it''s analytics.y' FROM t JOIN u"
+    assert unqualify('SELECT "analytics.a" AS s, `analytics.b` FROM `analytics` . t, my_analytics.u') == \
+        'SELECT "analytics.a" AS s, `analytics.b` FROM t, my_analytics.u'
+    assert unqualify("SELECT 'a\\'analytics.b' FROM analytics.t -- analytics.c") == \
+        "SELECT 'a\\'analytics.b' FROM t -- analytics.c"
 
 
 def test_literal_with_qualifier_text_survives(spark, wh):

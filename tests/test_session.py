@@ -1,5 +1,7 @@
 """Session helpers: shuffle sizing and the checkpoint folder."""
 
+import pytest
+
 from mercato.session import SHUFFLE_PARTITION_BYTES, checkpoint_dir, sized_shuffles
 
 KEY = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -20,6 +22,24 @@ def test_checkpoint_dir_is_stable(spark):
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
 
 
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+
+
 def test_elapsed_time_ignores_the_session_time_zone(spark):
     import datetime as dt
 
