@@ -22,9 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mercato.llm import pretokens
-from mercato.llm.common import BoundedMemo, acyclic, documents
-
-_LOADED: dict[str, "ByteBpe"] = {}
+from mercato.llm.common import BoundedMemo, acyclic, documents, held
 
 
 class ByteBpe:
@@ -134,9 +132,7 @@ def _joined(entries) -> tuple[str, int, bytes]:
 
 def codec(path: str) -> ByteBpe:
     """The vocabulary, loaded once per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+    return held(("byte_bpe", path), lambda: ByteBpe(path))
 
 
 def _path(vocabulary: str | None) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mercato.session import checkpoint_dir, configure
 
 __all__ = ["BoundedMemo", "acyclic", "checkpointed", "connected_components", "documents",
-           "matching", "read"]
+           "held", "matching", "read"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,21 @@ def matching(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi")
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), column, how)
 
 
+_HELD: dict = {}
+
+
+def held(name, make):
+    """``make()``, kept in this Python worker until something else is held.
+
+    Workers outlive tasks and serve one operator after the other; holding the
+    tables of one at a time keeps their memory from adding up.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 @contextmanager
 def acyclic():
     """Pause the cycle collector while a task fills large memos of plain tuples

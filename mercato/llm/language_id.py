@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import documents
+from mercato.llm.common import documents, held
 
 ORDER = 4
 BITS = 6  # per symbol: an alphabet of 64
@@ -35,7 +35,7 @@ Z_REJECT = 8.0
 UNDETERMINED = "und"
 _SIZE = 1 << (BITS * ORDER)
 _TABLE: list[np.ndarray] = []
-_SCORERS: dict[str, "Scorer"] = {}
+SYMBOLS = 1 << 19  # counted or scored at a time
 _CACHED_ROWS = 1 << 20  # four-grams whose probabilities a worker remembers
 
 
@@ -81,7 +81,7 @@ def held_out(id_col: str) -> Column:
 def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n) over all learning rows, counted per task first."""
     def count(batches):
-        held: dict[str, list] = {}
+        counted: dict[str, list] = {}
 
         def merge(parts):
             keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -89,17 +89,26 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
             np.add.at(sums, inverse, np.concatenate([p[1] for p in parts]))
             return keys, sums
 
+        def close(lang):
+            parts = counted.setdefault(lang, [])
+            parts.append(np.unique(np.concatenate(open_grams.pop(lang)), return_counts=True))
+            if len(parts) >= 16:
+                counted[lang] = [merge(parts)]
+
+        open_grams: dict[str, list] = {}
+        sizes: dict[str, int] = {}
         for batch in batches:
-            by_lang: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(grams(text))
-            for lang, found in by_lang.items():
-                parts = held.setdefault(lang, [])
-                parts.append(np.unique(np.concatenate(found), return_counts=True))
-                if len(parts) >= 16:
-                    held[lang] = [merge(parts)]
-        for lang in sorted(held):
-            keys, sums = merge(held[lang])
+                found = grams(text)
+                open_grams.setdefault(lang, []).append(found)
+                sizes[lang] = sizes.get(lang, 0) + len(found)
+                if sizes[lang] >= SYMBOLS:
+                    close(lang)
+                    sizes[lang] = 0
+        for lang in list(open_grams):
+            close(lang)
+        for lang in sorted(counted):
+            keys, sums = merge(counted[lang])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)),
                  pa.array(sums)], names=["lang", "gram", "n"])
@@ -178,11 +187,11 @@ class Scorer:
         mean = np.zeros((len(texts), len(self.langs)))
         square = np.zeros_like(mean)
         live = np.flatnonzero(sizes)
-        # Texts are taken together up to a few million symbols at a time.
+        # Texts are taken together up to a bounded number of symbols.
         at = 0
         while at < len(live):
             ends = np.cumsum(sizes[live[at:]])
-            upto = at + max(1, int(np.searchsorted(ends, 2_000_000)))
+            upto = at + max(1, int(np.searchsorted(ends, SYMBOLS)))
             part = live[at:upto]
             rows = self._rows(np.concatenate([found[i] for i in part])).astype(np.float64)
             starts = np.cumsum(sizes[part]) - sizes[part]
@@ -204,10 +213,7 @@ class LanguageModel:
 
 
 def _scorer(name: str, shared) -> Scorer:
-    if name not in _SCORERS:
-        _SCORERS.clear()  # one set of models per worker
-        _SCORERS[name] = Scorer(shared.value)
-    return _SCORERS[name]
+    return held(("language_id", name), lambda: Scorer(shared.value))
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

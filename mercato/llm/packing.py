@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.llm import pretokens
-from mercato.llm.common import acyclic, checkpointed, documents
+from mercato.llm.common import acyclic, checkpointed, documents, held
 
 SEQUENCE_LENGTH = 1024
 CLOSING_ID = 0
 SALTS = 128
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
-_LOADED: dict[str, "IdBytes"] = {}
 
 
 class IdBytes:
@@ -63,9 +62,7 @@ class IdBytes:
 
 
 def _tokenizer(path: str) -> IdBytes:
-    if path not in _LOADED:
-        _LOADED[path] = IdBytes(path)
-    return _LOADED[path]
+    return held(("packing", path), lambda: IdBytes(path))
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mercato.llm import pretokens
-from mercato.llm.common import acyclic, documents
+from mercato.llm.common import acyclic, documents, held
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-_LOADED: dict[str, "PairMerger"] = {}
 
 
 class PairMerger:
@@ -85,9 +84,7 @@ class PairMerger:
 
 def merger(path: str) -> PairMerger:
     """The merge table, loaded once per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = PairMerger(path)
-    return _LOADED[path]
+    return held(("token_counts", path), lambda: PairMerger(path))
 
 
 def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
