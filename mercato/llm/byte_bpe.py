@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding in linear time.
 
-The bytes of a stretch are mapped to Latin-1 characters, and one Aho-Corasick
-pass (pyahocorasick) finds the longest vocabulary token that starts at every
-byte. The encoder walks from left to right with these longest matches; a token
+The bytes of a stretch are mapped to Latin-1 characters, and pyahocorasick finds
+the longest vocabulary token at the bytes that the encoder comes to. It walks
+from left to right with these longest matches; a token
 is accepted if it is compatible with the one before it, that is, if exact
 merging of the two tokens' bytes gives the two tokens again. Otherwise the next
 shorter token is tried, and where none is left the walk steps back and marks
@@ -37,11 +37,15 @@ class ByteBpe:
         for token in self.ranks:
             self.automaton.add_word(token.decode("latin-1"), len(token))
         self.automaton.make_automaton()
+        self.reach = max(map(len, self.ranks))
+        # The longest token that encodes as itself, of a matched path of the vocabulary.
+        self._longest = BoundedMemo(
+            lambda path: path if self._whole[path] else self._find_shorter(path))
         self._shorter = BoundedMemo(self._find_shorter)
         self._compatible = BoundedMemo(
             lambda pair: self._merge(pair[0] + pair[1]) == [pair[0], pair[1]])
         self._whole = BoundedMemo(lambda token: token in self.ranks and self._merge(token) == [token])
-        self.memo = pretokens.ChunkMemo(self._stretch, _joined, 300_000)
+        self.memo = pretokens.ChunkMemo(self._stretch, _joined, 600_000)
 
     def _merge(self, data: bytes) -> list[bytes]:
         """Exact merging of a short byte string: always the lowest-ranked pair."""
@@ -71,16 +75,13 @@ class ByteBpe:
         if rank is not None:
             return [rank]
         ranks, shorter, compatible = self.ranks, self._shorter, self._compatible
+        matched, longest, reach = self.automaton.longest_prefix, self._longest, self.reach
         n = len(data)
-        longest = [1] * n
-        for end, size in self.automaton.iter(data.decode("latin-1")):
-            start = end + 1 - size
-            if size > longest[start]:
-                longest[start] = size
+        text = data.decode("latin-1")
         dead = bytearray(n + 1)
         path: list[bytes] = [b""]
         at = 0
-        token = self._start(data, longest, 0)
+        token = longest[data[:matched(text[:reach])]]
         while at < n:
             last = path[-1]
             while token is not None and (dead[at + len(token)]
@@ -89,7 +90,8 @@ class ByteBpe:
             if token is not None:
                 path.append(token)
                 at += len(token)
-                token = self._start(data, longest, at) if at < n else None
+                if at < n:
+                    token = longest[data[at:at + matched(text[at:at + reach])]]
             elif at:
                 dead[at] = 1
                 at -= len(path.pop())
@@ -98,11 +100,6 @@ class ByteBpe:
                 raise ValueError("a byte is missing from the vocabulary")
         return [ranks[t] for t in path[1:]]
 
-    def _start(self, data: bytes, longest: list[int], at: int) -> bytes | None:
-        """The longest token at a byte that encodes as itself."""
-        token = data[at:at + longest[at]]
-        return token if self._whole[token] else self._shorter[token]
-
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for stretch in pretokens.split(text):
@@ -113,21 +110,23 @@ class ByteBpe:
         """The bytes of the tokens, joined."""
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _stretch(self, stretch: str) -> tuple[str, int, bytes]:
-        """(ids in decimal, each followed by a space; their number; decoded bytes)."""
+    def _stretch(self, stretch: str) -> tuple[str, bytes]:
+        """(ids in decimal, each followed by a space; the bytes decoded from them)."""
         ids = self.encode_stretch(stretch.encode("utf-8"))
-        return "".join([f"{i} " for i in ids]), len(ids), self.decode(ids)
+        return "".join([f"{i} " for i in ids]), self.decode(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids and the SHA-256 of the ids and of the decoded bytes."""
-        ids, n, decoded = self.memo.text(text)
-        return (n, hashlib.sha256(ids[:-1].encode("ascii")).hexdigest(),
+        ids, decoded = self.memo.text(text)
+        return (ids.count(" "), hashlib.sha256(ids[:-1].encode("ascii")).hexdigest(),
                 hashlib.sha256(decoded).hexdigest())
 
 
-def _joined(entries) -> tuple[str, int, bytes]:
-    return ("".join([e[0] for e in entries]), sum([e[1] for e in entries]),
-            b"".join([e[2] for e in entries]))
+def _joined(entries) -> tuple[str, bytes]:
+    if not entries:
+        return "", b""
+    ids, decoded = zip(*entries)
+    return "".join(ids), b"".join(decoded)
 
 
 def codec(path: str) -> ByteBpe:
