@@ -3,13 +3,15 @@
 The source export is CSV with a header row, doubled quotes inside quoted text,
 unquoted empty fields meaning NULL and quoted empty fields meaning the empty
 string. Any malformed value aborts the load (FAILFAST), as the source
-database's COPY does. Only the review file (quoted newlines) is read
-multi-line; every other file is split across tasks.
+database's COPY does. The review file has quoted newlines, which Spark's own
+reader only handles with a whole file in one task; here its lines are read by
+many tasks and put together to records by counting quotes (see
+:func:`multiline_records`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,17 +41,63 @@ def check_inputs(spark: SparkSession, directory: str,
         raise MissingInputError(missing)
 
 
+_FORMAT = {"quote": '"', "escape": '"', "nullValue": "", "emptyValue": EMPTY_MARKER, "mode": "FAILFAST"}
+
+
+def multiline_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, first) for every CSV record of the files under ``path``.
+
+    A line begins a record if an even number of quotes stands before it in its
+    file (an escaped quote is two). Quotes are counted per split; the splits'
+    totals (one row per split) give every split its starting parity and the
+    record that its first lines may continue. ``first`` marks a file's header.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.withColumn("quotes", quotes)
+    here = Window.partitionBy("file", "split").orderBy("at")
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    parity = (lines.groupBy("file", "split").agg(F.sum("quotes").alias("q"))
+              .select("file", "split", F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("q_before")))
+    before = F.coalesce(F.sum("quotes").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = (lines.join(parity, ["file", "split"])
+              .withColumn("starts", F.when((F.col("q_before") + before) % 2 == 0, 1).otherwise(0))
+              .withColumn("nth", F.sum("starts").over(here)))
+    opened = marked.groupBy("file", "split").agg(F.max("nth").alias("n")).select(
+        "file", "split", F.last(F.when(F.col("n") > 0, F.struct("split", F.col("n").alias("nth"))),
+                                ignorenulls=True).over(earlier).alias("open"))
+    own = F.struct("split", "nth")
+    keyed = marked.join(opened, ["file", "split"]).withColumn(
+        "key", F.when(F.col("nth") > 0, own).otherwise(F.col("open")))
+    records = keyed.groupBy("file", "key").agg(
+        F.array_sort(F.collect_list(F.struct("split", "at", "value"))).alias("parts"))
+    text = F.rtrim(F.array_join("parts.value", "\n"), F.lit("\r"))
+    return records.select("file", text.alias("record"),
+                          ((F.col("key.split") == 0) & (F.col("key.nth") == 1)).alias("first"))
+
+
+def _read_multiline(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    header = ",".join(schema.names)
+    records = multiline_records(spark, path).where("record <> ''")
+    # The header must name the schema's columns.
+    plain = F.replace("record", F.lit('"'), F.lit(""))
+    kept = records.where(~F.col("first") | F.when(plain == header, F.lit(False)).otherwise(
+        F.raise_error(F.concat(F.lit("unexpected CSV header in "), "file"))))
+    options = {**_FORMAT, "multiLine": "true"}
+    return kept.select(F.from_csv("record", schema.simpleString().removeprefix("struct<")[:-1]
+                                  .replace(":", " "), options).alias("r")).select("r.*")
+
+
 def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     schema = RAW_SCHEMAS[table]
-    reader = (spark.read.schema(schema)
-              .option("header", True)
-              .option("enforceSchema", False)      # header must name the schema's columns
-              .option("quote", '"').option("escape", '"')
-              .option("nullValue", "")
-              .option("emptyValue", EMPTY_MARKER)
-              .option("mode", "FAILFAST")
-              .option("multiLine", table in MULTILINE_TABLES))
-    df = reader.csv(path)
+    if table in MULTILINE_TABLES:
+        df = _read_multiline(spark, path, schema)
+    else:
+        # enforceSchema off: the header must name the schema's columns
+        df = spark.read.schema(schema).options(**_FORMAT, header="true", enforceSchema="false").csv(path)
     cols = [F.when(F.col(f.name) == EMPTY_MARKER, F.lit("")).otherwise(F.col(f.name))
             .alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
             for f in schema.fields]

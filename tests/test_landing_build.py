@@ -38,7 +38,7 @@ def test_review_file_reads_multiline(spark, scratch):
             'r1,o1,5,,"first line\nsecond ""quoted"" line",2017-01-01 00:00:00,\n'
             'r2,o2,4,"",,2017-01-02 00:00:00,2017-01-03 10:00:00\n')
     write(scratch + "/r.csv", body)
-    rows = read_csv_table(spark, scratch + "/r.csv", "order_reviews").collect()
+    rows = read_csv_table(spark, scratch + "/r.csv", "order_reviews").orderBy("review_id").collect()
     assert len(rows) == 2
     assert rows[0]["review_comment_message"] == 'first line\nsecond "quoted" line'
     assert rows[0]["review_comment_title"] is None
@@ -199,3 +199,40 @@ def test_retiring_builds(spark, scratch):
     assert sorted(gone) == ["build=0", "build=1", "build=25", "build=3/_stage"]
     assert published_builds(spark, root) == ["2", "3"] and os.path.exists(f"{root}/build=9")
     assert load_warehouse(spark, root).raw_loaders["sellers"]().count() == raw["sellers"].count()
+
+
+def test_reviews_are_read_by_many_tasks(spark, scratch):
+    """Equal to Spark's one-task multi-line reader, with records across many splits."""
+    import random
+
+    from mercato.schemas import RAW_SCHEMAS
+    from mercato.sources.landing import EMPTY_MARKER, read_csv_table
+
+    pick = random.Random(4)
+    bits = ["plain", 'a ""quoted"" word', "line one\nline two", "\n\n", "comma, here", "é漢", "", "x" * 300]
+    lines = [header("order_reviews")]
+    for i in range(400):
+        text = "".join(pick.choice(bits) for _ in range(pick.randint(0, 4)))
+        title = pick.choice(['""', "", '"t, 1"', "t"])
+        lines.append(f'r{i},o{i},{pick.randint(1, 5)},{title},"{text}",2018-01-02 03:04:05,2018-01-03 00:00:00')
+    os.makedirs(scratch + "/many")
+    write(scratch + "/many/a.csv", "\n".join(lines[:250]) + "\n")
+    write(scratch + "/many/b.csv", "\n".join([lines[0], *lines[250:]]))
+    reader = (spark.read.schema(RAW_SCHEMAS["order_reviews"]).option("header", True).option("multiLine", True)
+              .option("quote", '"').option("escape", '"').option("nullValue", "")
+              .option("emptyValue", EMPTY_MARKER).option("mode", "FAILFAST"))
+    want = sorted(tuple("" if v == EMPTY_MARKER else v for v in r)
+                  for r in reader.csv(scratch + "/many").collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "700")
+    try:
+        frame = read_csv_table(spark, scratch + "/many", "order_reviews")
+        got = sorted(tuple(r) for r in frame.collect())
+        splits = spark.read.text(scratch + "/many").rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    key = lambda r: r[0]
+    assert splits > 50 and len(got) == 400
+    assert sorted(got, key=key) == sorted(want, key=key)
