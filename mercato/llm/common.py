@@ -12,13 +12,27 @@ from pyspark.sql import functions as F
 
 from mercato.session import checkpoint_dir, configure
 
-__all__ = ["BoundedMemo", "acyclic", "checkpointed", "connected_components", "documents",
+__all__ = ["BoundedMemo", "acyclic", "bounded_batches", "checkpointed", "connected_components", "documents",
            "held", "matching", "read"]
 
 
+# Rows and bytes handed to a Python worker at a time, where the session does not say.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+            "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, so that long texts do not add up in a worker."""
+    said = spark.conf.getAll
+    for key, value in _BATCHES.items():
+        if key not in said:
+            spark.conf.set(key, value)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables, through Spark's reader (any store it can open)."""
     configure(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
@@ -33,6 +47,7 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
     recomputation, and every later branch sees the very same rows.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = os.path.join(checkpoint_dir(spark), "mercato-llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import documents, held
+from mercato.llm.common import bounded_batches, documents, held
 
 ORDER = 4
 BITS = 6  # per symbol: an alphabet of 64
@@ -35,7 +35,7 @@ Z_REJECT = 8.0
 UNDETERMINED = "und"
 _SIZE = 1 << (BITS * ORDER)
 _TABLE: list[np.ndarray] = []
-SYMBOLS = 1 << 19  # counted or scored at a time
+SYMBOLS = 1 << 18  # counted or scored at a time
 _CACHED_ROWS = 1 << 20  # four-grams whose probabilities a worker remembers
 
 
@@ -182,22 +182,32 @@ class Scorer:
 
     def entropies(self, texts: list[str | None]):
         """(symbols, cross-entropy per language, its mean square) for each text."""
-        found = [grams(t) for t in texts]
-        sizes = np.array([len(g) for g in found], np.int64)
+        sizes = np.zeros(len(texts), np.int64)
         mean = np.zeros((len(texts), len(self.langs)))
         square = np.zeros_like(mean)
-        live = np.flatnonzero(sizes)
-        # Texts are taken together up to a bounded number of symbols.
-        at = 0
-        while at < len(live):
-            ends = np.cumsum(sizes[live[at:]])
-            upto = at + max(1, int(np.searchsorted(ends, SYMBOLS)))
-            part = live[at:upto]
-            rows = self._rows(np.concatenate([found[i] for i in part])).astype(np.float64)
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def score():
+            if not waiting:
+                return
+            part = np.array([i for i, _ in waiting])
+            rows = self._rows(np.concatenate([g for _, g in waiting])).astype(np.float64)
             starts = np.cumsum(sizes[part]) - sizes[part]
             mean[part] = -np.add.reduceat(rows, starts, axis=0) / sizes[part][:, None]
             square[part] = np.add.reduceat(rows ** 2, starts, axis=0) / sizes[part][:, None]
-            at = upto
+            waiting.clear()
+
+        held_symbols = 0
+        for i, text in enumerate(texts):  # taken together up to a bounded number of symbols
+            found = grams(text)
+            sizes[i] = len(found)
+            if len(found):
+                waiting.append((i, found))
+                held_symbols += len(found)
+                if held_symbols >= SYMBOLS:
+                    score()
+                    held_symbols = 0
+        score()
         return sizes, mean, square
 
 
@@ -222,6 +232,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     out. The driver gets the summed four-gram counts (at most 2**24 per
     language) and one row per language for the calibration."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     table = counts(docs, id_col, text_col, lang_col).toPandas()
     models = {lang: kneser_ney(part["gram"].to_numpy(), part["n"].to_numpy())
               for lang, part in table.groupby("lang", sort=True)}
