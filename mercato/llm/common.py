@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from mercato.session import checkpoint_dir, configure
 
 __all__ = ["BoundedMemo", "acyclic", "bounded_batches", "checkpointed", "connected_components", "documents",
-           "held", "matching", "read"]
+           "held", "matching", "read", "tidied"]
 
 
 # Rows and bytes handed to a Python worker at a time, where the session does not say.
@@ -81,6 +82,21 @@ def held(name, make):
     return _HELD[name]
 
 
+def tidied(run):
+    """``run`` for ``mapInArrow``, giving freed memory back to the system at the
+    end of the task: workers outlive tasks, and their heaps would stay as large
+    as the largest task made them (glibc; nothing happens elsewhere)."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 @contextmanager
 def acyclic():
     """Pause the cycle collector while a task fills large memos of plain tuples

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import bounded_batches, documents, held
+from mercato.llm.common import bounded_batches, documents, held, tidied
 
 ORDER = 4
 BITS = 6  # per symbol: an alphabet of 64
@@ -116,7 +116,7 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     learned = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
                          & ~held_out(id_col))
     return (learned.select(F.col(lang_col).cast("string"), text_col)
-            .mapInArrow(count, "lang string, gram int, n long")
+            .mapInArrow(tidied(count), "lang string, gram int, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -258,7 +258,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     learned = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
                          & ~held_out(id_col))
     usual = (learned.select(F.col(lang_col).cast("string"), text_col)
-             .mapInArrow(own, "lang string, h double, sq double, n long")
+             .mapInArrow(tidied(own), "lang string, h double, sq double, n long")
              .groupBy("lang").agg(
                  F.avg("h").alias("mean"), F.coalesce(F.var_pop("h"), F.lit(0.0)).alias("between"),
                  (F.sum(F.expr("(sq - h * h) * n")) / F.sum("n")).alias("within")))
@@ -307,7 +307,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id",
 
     return docs.select(F.col(id_col).cast("long"), held_out(id_col).alias("held_out"),
                        text_col).mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+        tidied(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text",
@@ -321,7 +321,7 @@ def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text",
             rows = _judge(model, batch.column(at).to_pylist(), z_reject)
             yield batch.filter(pa.array([not r[2] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def op4_language_id(spark, sf_dir):

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import checkpointed, connected_components, documents, matching
+from mercato.llm.common import (checkpointed, connected_components, documents, held, matching,
+                                 tidied)
 
 WINDOW = 1 << 20  # bytes of text hashed at a time
 BLOCK = 1024  # members of a bucket compared at a time
@@ -328,7 +329,7 @@ def candidate_pairs(members: DataFrame, nodes: DataFrame, components: DataFrame
 
     return (work.repartition("bucket", "low", "high")
             .sortWithinPartitions("bucket", "low", "high", "block", "node")
-            .mapInArrow(compare, "a long, b long").distinct())
+            .mapInArrow(tidied(compare), "a long, b long").distinct())
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -348,7 +349,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataF
 
     return (pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("elements").alias("right")), "b")
-            .select("a", "b", "left", "right").mapInArrow(check, "a long, b long"))
+            .select("a", "b", "left", "right").mapInArrow(tidied(check), "a long, b long"))
 
 
 def row_key(id_col: str, text_col: str):
@@ -380,6 +381,7 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                         row_key(id_col, text_col).alias("row_key"))
 
     def describe(batches):
+        held("ngram_join", dict)  # let go of another operator's tables
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
@@ -396,7 +398,7 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 names=["doc_id", "row_key", "node", "size", "band"])
 
     described = checkpointed(texts.mapInArrow(
-        describe, "doc_id long, row_key long, node long, size long, band int"), "sets")
+        tidied(describe), "doc_id long, row_key long, node long, size long, band int"), "sets")
     by_band = {r["band"]: (r["n"], r["largest"]) for r in described.where("node is not null")
                .groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest")).collect()}
     largest = max((v[1] for v in by_band.values()), default=0)
@@ -405,6 +407,7 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         bands = [_with_single(b, single_percent) for b in bands]
 
     def index(batches):
+        held("ngram_join", dict)
         seen: set[int] = set()
         for batch in batches:
             keys, names = [], []
@@ -468,10 +471,10 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             if last is not None:
                 yield last
 
-    keyed = texts.select("text").mapInArrow(index, "key long, node long")
+    keyed = texts.select("text").mapInArrow(tidied(index), "key long, node long")
     members = checkpointed(
         keyed.repartition("key").sortWithinPartitions("key", "node")
-        .mapInArrow(bucket, "bucket long, block int, node long").distinct(), "buckets")
+        .mapInArrow(tidied(bucket), "bucket long, block int, node long").distinct(), "buckets")
 
     # Size and sketch of every node that is in a bucket, from one of its rows.
     firsts = (described.where("node is not null").groupBy("node")
@@ -504,7 +507,7 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def of_nodes(wanted, fill, schema, name):
         keys = firsts.join(wanted, "node", "left_semi").select("row_key")
-        return checkpointed(matching(texts, keys, "row_key").select("text").mapInArrow(fill, schema)
+        return checkpointed(matching(texts, keys, "row_key").select("text").mapInArrow(tidied(fill), schema)
                             .dropDuplicates(["node"]), name)
 
     nodes = of_nodes(in_bucket, sketches, "node long, size long, bits binary", "sketches")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.llm import pretokens
-from mercato.llm.common import acyclic, checkpointed, documents, held
+from mercato.llm.common import acyclic, checkpointed, documents, held, tidied
 
 SEQUENCE_LENGTH = 1024
 CLOSING_ID = 0
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 [pa.array(c, pa.int64()) for c in columns],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(cut, _PIECES)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidied(cut), _PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[int, list[int]]]:
@@ -172,7 +172,7 @@ def pack(cut: DataFrame, *, length: int = SEQUENCE_LENGTH, salts: int = SALTS) -
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
                        "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, _PACKED)
+    return ranked.mapInArrow(tidied(place), _PACKED)
 
 
 def packed_documents(docs: DataFrame, **options) -> DataFrame:
