@@ -219,16 +219,18 @@ def answer_question(wh: Warehouse, spark: SparkSession, question: str, generated
 
 
 def answer_and_audit(wh: Warehouse, spark: SparkSession, request_id: int, username: str,
-                     role: str, question: str, generated_sql: str, created_at,
+                     role: str | None, question: str, generated_sql: str, created_at,
                      max_rows: int | None = None) -> AuditedRun:
     """Answer one question and produce its audit row.
 
-    allowed: ``question => sql``; denied (screen) or error (engine or
-    generator): ``question -> message``.
+    allowed: ``question => sql``; denied (role, screen or plan) or error (engine
+    or generator): ``question -> message``.
     """
     def row(detail: str, status: str) -> tuple:
         return (request_id, username, role, "nl-query", detail, status, created_at)
 
+    if role not in PERMISSIONS["/nl-query"]:
+        return AuditedRun(None, row(f"{question} -> {NOT_PERMITTED}", "denied"))
     try:
         answer = answer_question(wh, spark, question, generated_sql, max_rows)
     except GuardrailError as exc:

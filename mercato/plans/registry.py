@@ -204,8 +204,8 @@ def _events(spark, sf_dir):
 
 ADHOC_SQL = ("SELECT order_id, order_item_id, item_revenue FROM analytics.fct_order_items "
              "ORDER BY item_revenue DESC, order_id, order_item_id;")
-GENERATED_SQL = ("```sql\nSELECT category, revenue FROM vw_category_performance "
-                 "ORDER BY revenue DESC LIMIT 5\n```")
+GENERATED_SQL = ("```sql\nSELECT category, items_sold, orders FROM analytics.vw_category_performance "
+                 "WHERE revenue_rank <= 3;\n```")
 
 
 @query("screen_queries")
@@ -237,7 +237,7 @@ def _adhoc_capped(wh, spark, sf_dir):
 def _nl_query_rows(wh, spark, sf_dir):
     from mercato.plans.adhoc import generated_query
 
-    return generated_query(wh, spark, "top five categories", GENERATED_SQL)["frame"]
+    return generated_query(wh, spark, "what do the three best categories sell", GENERATED_SQL)["frame"]
 
 
 # ---- access and audit --------------------------------------------------------

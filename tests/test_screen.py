@@ -205,6 +205,8 @@ def test_answer_and_audit(spark, wh):
     ok = answer_and_audit(wh, spark, 1, "a", "analyst", "top?", fenced, t)
     assert ok.audit[4:6] == ("top? => SELECT category FROM vw_category_performance LIMIT 3",
                              "allowed")
+    no = answer_and_audit(wh, spark, 4, "v", "viewer", "top?", fenced, t)
+    assert no.rows is None and no.audit[4:6] == ("top? -> role may not use this route", "denied")
     bad = answer_and_audit(wh, spark, 2, "a", "analyst", "drop?", "DROP TABLE x", t)
     assert bad.audit[4:6] == ("drop? -> " + S.NOT_READ_ONLY, "denied")
     err = answer_and_audit(wh, spark, 3, "a", "analyst", "join?",
