@@ -164,10 +164,11 @@ def test_submitted_queries_are_authorised_and_stored(spark, wh, scratch):
     "SELECT 1 FROM dim_date WHERE year IN (SELECT b.id FROM dim_date a, range(5) b)",
     "SELECT * FROM dim_date a, explode(array(1, 2)) b",
 ])
-def test_foreign_relations_and_commands_are_refused(spark, wh, sql):
+def test_foreign_relations_and_commands_are_refused(spark, wh, scratch, sql):
     spark.createDataFrame([("secret",)], "x string").createOrReplaceGlobalTempView("secret_tab")
     if not spark.catalog.tableExists("secret_kept"):
-        spark.createDataFrame([("secret",)], "x string").write.saveAsTable("secret_kept")
+        spark.createDataFrame([("secret",)], "x string").write.option(
+            "path", scratch + "/kept").saveAsTable("secret_kept")
     with pytest.raises(GuardrailError):
         run_read_only(wh, spark, sql)
 
