@@ -22,6 +22,9 @@ from mercato.llm.secret_scan import redacted, scan
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
+# Chunks remembered while packing: few, as executors come to this stage with the
+# memory that the stages before have grown them to.
+PACKING_MEMO = 20_000
 
 # Kneser-Ney scores, the random forest and the tokeniser are beyond SQL; the
 # pipeline is tested against its operators and brute force instead.
@@ -62,7 +65,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all kept documents, packed into sequences of 1,024 ids."""
-    return packed_documents(docs)
+    return packed_documents(docs, memo=PACKING_MEMO)
 
 
 STAGES = [

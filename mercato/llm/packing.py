@@ -30,6 +30,7 @@ from mercato.llm.common import acyclic, checkpointed, documents, held, tidied
 SEQUENCE_LENGTH = 1024
 CLOSING_ID = 0
 SALTS = 128
+MEMO = 500_000  # chunks whose ids a worker remembers, per generation
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
@@ -37,7 +38,7 @@ _PACKED = _PIECES + ", sequence_id long, offset long"
 class IdBytes:
     """Ids of a text as little-endian unsigned 32-bit integers, by ``tokenizers``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -48,7 +49,7 @@ class IdBytes:
         longest_first = sorted(self.added_ids, key=len, reverse=True)
         self.added = (re.compile(f"({'|'.join(map(re.escape, longest_first))})")
                       if longest_first else None)
-        self.memo = pretokens.ChunkMemo(self._stretch, b"".join)
+        self.memo = pretokens.ChunkMemo(self._stretch, b"".join, memo)
 
     def _stretch(self, stretch: str) -> bytes:
         shown = stretch.encode("utf-8").decode("latin-1").translate(self.alphabet)
@@ -61,19 +62,22 @@ class IdBytes:
                         for part in self.added.split(text))
 
 
-def _tokenizer(path: str) -> IdBytes:
-    return held(("packing", path), lambda: IdBytes(path))
+def _tokenizer(path: str, memo: int) -> IdBytes:
+    return held(("packing", path, memo), lambda: IdBytes(path, memo))
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
            vocabulary: str | None = None, length: int = SEQUENCE_LENGTH,
-           closing_id: int = CLOSING_ID) -> DataFrame:
-    """Every document's ids plus ``closing_id``, cut every ``length`` ids."""
+           closing_id: int = CLOSING_ID, memo: int = MEMO) -> DataFrame:
+    """Every document's ids plus ``closing_id``, cut every ``length`` ids.
+
+    ``memo`` trades a worker's memory for time; the result does not depend on it.
+    """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     closing = closing_id.to_bytes(4, "little")
 
     def cut(batches):
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(path, memo)
         for batch in batches:
             rows = []
             with acyclic():

@@ -59,7 +59,7 @@ class ChunkMemo(BoundedMemo):
     def __init__(self, of_stretch, join, limit: int = 500_000):
         super().__init__(self._chunk, limit)
         self.of_stretch, self.join = of_stretch, join
-        self.by_stretch = BoundedMemo(of_stretch, 100_000)
+        self.by_stretch = BoundedMemo(of_stretch, min(limit, 100_000))
 
     def _chunk(self, part: str):
         if part.isalpha():
