@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from mercato.llm.common import checkpointed, documents
 
 # What a candidate looks like.
-ASSIGNED = (r"(?i:password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth[_-]?key)"
-            r"s?[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'&,;]{8,})")
+NAMED = (r"(?i:password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth[_-]?key)"
+         r"(?i:s?(?:[_.-]?(?:key|value|base|string|[0-9]{1,9})){0,3})"
+         r"[\"']?[ \t]*+(?::=|[:=])[ \t]*+[\"']?")
 HEADER = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
-RUN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}+"
-CANDIDATE = f"{ASSIGNED}|{HEADER}|{RUN}"
+# A name may have parts before the credential word; it starts where a run of its characters does.
+ASSIGNED = rf"(?<![A-Za-z0-9_.+/-])[A-Za-z0-9_.+/-]*?{NAMED}([^\s\"'&,;]{{8,}})"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/=_\"'-]))?"
+CANDIDATE = f"{HEADER}|{ASSIGNED}|{RUN}"
 # Words of the surroundings.
-CREDENTIAL_WORDS = (r"(?i)\b(password|passwd|pwd|secret|token|credentials?|api[_ -]?key|access[_ -]?key"
-                    r"|auth|bearer|private)\b")
+CREDENTIAL_WORDS = (r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|credentials?|api[_ -]?key|access[_ -]?key"
+                    rf"|auth|bearer|private)(?![A-Za-z]))|{NAMED}$")
 INNOCENT_WORDS = (r"(?i)\b(example|sample|dummy|placeholder|changeme|test|fake|your|sha1|sha256|md5"
                   r"|checksum|digest|commit|revision|uuid|guid|hash|https?|www|isbn|doi)\b")
 INNOCENT_VALUE = r"(?i)example|sample|dummy|placeholder|change.?me|your|xxxx|\*\*\*\*|<|\$\{|0000000|1234567"
@@ -107,8 +110,8 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             F.left(F.get("gaps", i + 1), F.lit(24)).alias("after")))).alias("at", "c"))
     so_far = Window.partitionBy("row").orderBy("at")
     begin = F.sum(F.col("c.skipped") + F.length("c.match")).over(so_far) - F.length("c.match")
-    assigned = F.col("match").rlike(f"^(?:{ASSIGNED})$")
-    value = F.when(assigned, F.regexp_extract("match", ASSIGNED, 1)).otherwise(F.col("match"))
+    whole = rf"^(?:{ASSIGNED})\z"
+    value = F.when(F.col("match").rlike(whole), F.regexp_extract("match", whole, 1)).otherwise(F.col("match"))
     return (each.select("doc_id", "path", (F.col("at") + 1).alias("finding"), begin.alias("begin"),
                         "c.match", F.col("c.before").alias("gap"), "c.after")
             .withColumn("value", value)

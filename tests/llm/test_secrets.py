@@ -77,3 +77,35 @@ def test_extra_columns_do_not_matter(spark):
     frame = table(spark).withColumn("finding", F.lit("z")).withColumn("score", F.lit("z"))
     assert scan(frame, labelled=fixed_findings(spark)).count() == scan(
         table(spark), labelled=fixed_findings(spark)).count()
+
+
+# (text, value): assignments whose name has parts around the credential word.
+NAMED = [
+    ("spring_datasource_password: Vq8#tz!Lw29rKx\n", "Vq8#tz!Lw29rKx"),
+    ("POSTGRES_ROOT_PASSWORD=Vq8#tz!Lw29rKx\n", "Vq8#tz!Lw29rKx"),
+    ("export GH_TOKEN=ghp_Zk39aLmQ72xPvR08sTnWb5YcUe41JdHf6GoI\n", "ghp_Zk39aLmQ72xPvR08sTnWb5YcUe41JdHf6GoI"),
+    ("DB_PASSWORD=hR4nt9r2Hk7er2x\n", "hR4nt9r2Hk7er2x"),
+    (f"client_secret={KEY}\n", KEY),
+    ("app.mail/smtp-password            = Tn5vQ8wLzX2mP9rK\n", "Tn5vQ8wLzX2mP9rK"),
+    (f"authKey := \"{KEY}\"", KEY),
+    ("DJANGO_SECRET_KEY=pX7kQ2mV9tLw4RzN8b\n", "pX7kQ2mV9tLw4RzN8b"),
+    ("AWS_SESSION = q83vEjRWeJq7zN0KfT1xYw== # none", "q83vEjRWeJq7zN0KfT1xYw=="),
+]
+
+
+def with_texts(spark, scratch, texts):
+    """The given documents and ``texts`` (ids from 10,000,000) as a folder to query."""
+    docs = documents(spark, SF_ORACLE)
+    more = spark.createDataFrame([(10_000_000 + i, t, "en", "web", len(t)) for i, t in enumerate(texts)],
+                                 docs.schema)
+    docs.unionByName(more).write.parquet(f"{scratch}/documents.parquet")
+    return scratch
+
+
+def test_named_assignments_by_the_query(spark, scratch):
+    texts = ["Set it as follows:\n" + t for t, _ in NAMED]
+    rows = op1_secret_scan(spark, with_texts(spark, scratch, texts)).where("doc_id >= 10000000").collect()
+    found = {(r.doc_id - 10_000_000, r.start, r.length) for r in rows}
+    want = {(i, texts[i].index(v), len(v)) for i, (_, v) in enumerate(NAMED)}
+    assert found == want and len(rows) == len(NAMED)
+    assert {r.doc_id - 10_000_000 for r in rows if r.is_secret} >= set(range(len(NAMED) - 1))
