@@ -1,9 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-DataFrame operations only. Candidates are credential assignments, key headers
+DataFrame operations only. Candidates are credential assignments, key blocks
 and long runs of the characters that keys are written in. The forest sees a
 candidate's length, its character transitions, how much of it a dictionary
-covers, its path and its neighbouring words. It is trained on labelled
+covers, its path and its neighbouring words; a block of key material needs no
+forest. It is trained on labelled
 findings: a short fixed list and, of the scanned table itself, findings whose
 surroundings decide the label (a bounded number of them, by hash order).
 """
@@ -23,10 +24,19 @@ NAMED = (r"(?i:password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-
          r"(?i:s?(?:[_.-]?(?:key|value|base|string|[0-9]{1,9})){0,3})"
          r"[\"']?[ \t]*+(?::=|[:=])[ \t]*+[\"']?")
 HEADER = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+# A key block ends with its END line; without one, where its base64 lines end (line breaks may be
+# escaped, as in JSON).
+BLOCK = (HEADER + r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+         r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+"
+         r"(?:(?:\s|\\[nr])*+(?:[A-Za-z0-9+/=]{20,}+"
+         r"|[A-Za-z0-9+/=]++(?=[ \t]*+(?:[\r\n\"'\\]|$))))*+)")
+# Key material: a run of a block's body with small and capital letters and digits.
+MATERIAL = HEADER + r"[\s\S]*?" + "".join(
+    f"(?=[A-Za-z0-9+/]{{0,63}}{kind})" for kind in ("[a-z]", "[A-Z]", "[0-9]")) + "[A-Za-z0-9+/]{16,}"
 # A name may have parts before the credential word; it starts where a run of its characters does.
-ASSIGNED = rf"(?<![A-Za-z0-9_.+/-])[A-Za-z0-9_.+/-]*?{NAMED}([^\s\"'&,;]{{8,}})"
+ASSIGNED = rf"(?<![A-Za-z0-9_.+/-])[A-Za-z0-9_.+/-]*?{NAMED}({BLOCK}|[^\s\"'&,;]{{8,}})"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/=_\"'-]))?"
-CANDIDATE = f"{HEADER}|{ASSIGNED}|{RUN}"
+CANDIDATE = f"{BLOCK}|{ASSIGNED}|{RUN}"
 # Words of the surroundings.
 CREDENTIAL_WORDS = (r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|credentials?|api[_ -]?key|access[_ -]?key"
                     rf"|auth|bearer|private)(?![A-Za-z]))|{NAMED}$")
@@ -48,6 +58,8 @@ DICTIONARY = (
     "the their them then there they thing this time true type und update use user value very view was way "
     "well were what when where which who will with word work world would write year you").split()
 
+BEFORE, AFTER = 48, 24  # characters around a match that the forest sees
+SHORTEST = 12  # characters of the shortest match: a three-letter word, a sign and eight more
 MAX_LABELLED = 20_000  # labelled findings the forest is trained on, at most
 TREES, DEPTH, SEED = 40, 6, 17
 THRESHOLD = 0.5
@@ -94,7 +106,8 @@ _FINDING = "path string, before string, value string, after string, label double
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                path_col: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, finding (its number in the text, from 1),
-    start (its place, from 0), path, before, value, after, assigned."""
+    start (its place, from 0), path, before (the text left of it: 48 characters and
+    the name it is assigned to), value, after (the 24 characters right of it)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     cut = docs.select(
@@ -103,21 +116,37 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found = cut.select("row", "doc_id", "path",
                        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("matches"),
                        F.split("text", CANDIDATE, -1).alias("gaps")).where(F.size("matches") > 0)
+    # The text around a match, put together again from the gaps and the matches
+    # next to it: a match is SHORTEST long at least, so a few of them suffice.
+    gap, match = lambda i: F.get("gaps", i), lambda i: F.get("matches", i)
+    ends = lambda part, side, n: F.coalesce(side(part, F.lit(n)), F.lit(""))
+
+    def before(i):
+        near = [gap(i)]
+        for k in range(1, BEFORE // SHORTEST + 2):
+            near = [F.when(i >= k, gap(i - k)), F.when(i >= k, match(i - k)), *near]
+        return F.right(F.concat(*[ends(part, F.right, BEFORE) for part in near]), F.lit(BEFORE))
+
+    def after(i):
+        near = [gap(i + 1)]
+        for k in range(1, AFTER // SHORTEST + 2):
+            near += [match(i + k), gap(i + k + 1)]
+        return F.left(F.concat(*[ends(part, F.left, AFTER) for part in near]), F.lit(AFTER))
+
     each = found.select("row", "doc_id", "path", F.posexplode(F.transform(
         "matches", lambda m, i: F.struct(
-            m.alias("match"), F.length(F.get("gaps", i)).alias("skipped"),
-            F.right(F.get("gaps", i), F.lit(48)).alias("before"),
-            F.left(F.get("gaps", i + 1), F.lit(24)).alias("after")))).alias("at", "c"))
+            m.alias("match"), F.length(gap(i)).alias("skipped"),
+            before(i).alias("before"), after(i).alias("after")))).alias("at", "c"))
     so_far = Window.partitionBy("row").orderBy("at")
     begin = F.sum(F.col("c.skipped") + F.length("c.match")).over(so_far) - F.length("c.match")
     whole = rf"^(?:{ASSIGNED})\z"
     value = F.when(F.col("match").rlike(whole), F.regexp_extract("match", whole, 1)).otherwise(F.col("match"))
     return (each.select("doc_id", "path", (F.col("at") + 1).alias("finding"), begin.alias("begin"),
-                        "c.match", F.col("c.before").alias("gap"), "c.after")
+                        "c.match", F.col("c.before").alias("left"), "c.after")
             .withColumn("value", value)
             .withColumn("key", F.expr("left(match, length(match) - length(value))"))
             .select("doc_id", "finding", (F.col("begin") + F.length("key")).alias("start"), "path",
-                    F.concat("gap", "key").alias("before"), "value", "after"))
+                    F.concat("left", "key").alias("before"), "value", "after"))
 
 
 def _count(column: Column, pattern: str) -> Column:
@@ -188,10 +217,12 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
 
 def judged(found: DataFrame, model: RandomForestClassificationModel,
            threshold: float = THRESHOLD) -> DataFrame:
-    """Findings with score (0 to 1) and is_secret."""
+    """Findings with score (0 to 1) and is_secret. A private key's block with key
+    material is a secret (1) whatever surrounds it; all else the forest scores."""
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found))
     return (model.transform(vectors)
-            .withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+            .withColumn("score", F.when(F.col("value").rlike(f"^{MATERIAL}"), 1.0)
+                        .otherwise(F.get(vector_to_array("probability"), F.lit(1))))
             .withColumn("is_secret", F.col("score") >= threshold)
             .select(*found.columns, "score", "is_secret"))
 
