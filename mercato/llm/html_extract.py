@@ -3,8 +3,9 @@
 The standard library's parser streams tags and text; block tags end a line.
 Every line has a text-to-tag ratio. The ratios are smoothed with a Gaussian and
 cut at their standard deviation: lines above are core lines. The content region
-is the smallest part of the page's structure that holds nearly all core text
-(its article, if there is one), and every block in it counts, short ones too.
+is the article that holds nearly all core text or, if there is none, the smallest
+part of the page's structure that holds all of it; every block in it counts,
+short ones too.
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments
 are known by their tags, roles and class or id words and never count.
 """
@@ -49,10 +50,11 @@ DROPPED_WORDS = frozenset(
     "signup social sponsor sponsored subscribe toolbar topbar widget".split())
 COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
 _WORD = re.compile("[a-z]+")
+_COPYRIGHT = re.compile(r"(?i)(?:\u00a9|\(c\)|copyright\b|all rights reserved)")
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 
 SIGMA = 1.0  # of the Gaussian, in lines
-NEARLY_ALL = 0.8  # share of the core text that a smaller region must hold
+NEARLY_ALL = 0.8  # share of the core text that an article must hold
 LINKED = 0.8  # share of a menu line's text that is links
 MENU_LINES = 3
 
@@ -185,6 +187,11 @@ def _menus(lines) -> np.ndarray:
     return marked
 
 
+def _beside_text(line) -> bool:
+    """Whether a line is known to be no text: nearly only links, or a copyright."""
+    return not line[4] and (line[2] >= LINKED * len(line[0]) or bool(_COPYRIGHT.match(line[0])))
+
+
 def main_text(html: str) -> str:
     """The page's main text: its blocks joined by an empty line."""
     parser = _Lines()
@@ -206,35 +213,42 @@ def main_text(html: str) -> str:
             weight[line[3]] += length
     for c in range(len(weight) - 1, 0, -1):
         weight[parser.parents[c]] += weight[c]
-    # Down from the page to the smallest region that holds nearly all of it.
-    region = 0
     children: dict[int, list[int]] = {}
     for c in range(1, len(weight)):
         children.setdefault(parser.parents[c], []).append(c)
-    while region in children:
-        best = max(children[region], key=lambda c: weight[c])
-        if weight[best] < NEARLY_ALL * weight[0] or not weight[best]:
-            break
-        region = best
-    around = region
-    while around > 0 and parser.kinds[around] not in ("article", "main"):
-        around = parser.parents[around]
-    if around > 0:
-        region = around
+
+    def smallest(share):
+        """Down from the page to the smallest region that holds ``share`` of the core text."""
+        region = 0
+        while region in children:
+            best = max(children[region], key=lambda c: weight[c])
+            if weight[best] < share * weight[0] or not weight[best]:
+                break
+            region = best
+        return region
+
+    region = smallest(NEARLY_ALL)
+    while region > 0 and parser.kinds[region] not in ("article", "main"):
+        region = parser.parents[region]
+    if not region:
+        region = smallest(1.0)
     inside = np.zeros(len(weight), bool)
     inside[region] = True
     for c in range(1, len(weight)):
         inside[c] |= inside[parser.parents[c]] if parser.parents[c] >= 0 else False
     kept = np.array([inside[line[3]] for line in lines]) & ~menu
-    if parser.kinds[region] in ("page", "html", "body") and core.any():
-        # No structure to go by: from the first to the last core line, with the
-        # headings right before.
-        marked = np.flatnonzero(core)
-        first = marked[0]
+    if parser.kinds[region] not in ("article", "main") and kept.any():
+        # The headings right before belong to it; at its ends, links and a
+        # copyright line do not.
+        first = np.flatnonzero(kept)[0]
         while first > 0 and lines[first - 1][4]:
             first -= 1
-        kept[:first] = False
-        kept[marked[-1] + 1:] = False
+            kept[first] = True
+        places = list(np.flatnonzero(kept))
+        while places and _beside_text(lines[places[0]]) and not core[places[0]]:
+            kept[places.pop(0)] = False
+        while places and _beside_text(lines[places[-1]]) and not core[places[-1]]:
+            kept[places.pop()] = False
     return "\n\n".join(line[0] for line, keep in zip(lines, kept) if keep)
 
 

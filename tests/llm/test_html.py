@@ -57,3 +57,22 @@ def test_edges(spark):
     assert got == [("1", "u", "", 0), ("2", "u", "", 0), ("2", "u", "b", 1), ("2", "u", "b", 1),
                    ("3", "u", "word word", 499_999), ("None", "None", "a", 1)]
     assert extract(table.limit(0)).count() == 0
+
+
+REGIONS = [
+    # Title and lead stand in a block of their own.
+    (f"<div class=post><div class=head><h1>T</h1><p>Lead. {LONG}</p></div><div class=body>"
+     + f"<p>{LONG}</p>" * 8 + "</div></div>", "\n\n".join(["T", f"Lead. {LONG}"] + [LONG] * 8)),
+    (f"<div><h1>T</h1></div><div><p>{LONG}</p><p>{LONG}</p></div>", f"T\n\n{LONG}\n\n{LONG}"),
+    # Short lines at the ends of a page without structure are text.
+    (f"<body><p>Hm.</p><p>- Oh?</p><p>- Ah.</p><p>- Yes?</p><p>- No!</p>" + f"<p>{LONG}</p>" * 5
+     + "<p>- So?</p><p>- Yes.</p><p>- No.</p><p>- Why?</p><p>The end.</p>"
+     "<p><a href=x>Home</a></p><p>&copy; 2020 us</p></body>",
+     "\n\n".join(["Hm.", "- Oh?", "- Ah.", "- Yes?", "- No!"] + [LONG] * 5
+                 + ["- So?", "- Yes.", "- No.", "- Why?", "The end."])),
+]
+
+
+@pytest.mark.parametrize("page,text", REGIONS)
+def test_regions_without_article(page, text):
+    assert main_text(page) == text
