@@ -7,7 +7,11 @@ is the article that holds nearly all core text or, if there is none, the smalles
 part of the page's structure that holds all of it; every block in it counts,
 short ones too.
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-are known by their tags, roles and class or id words and never count.
+are known by their tags, roles and class or id words and never count. Inside the
+region a class or id alone is no proof, as generators make them from headings:
+there a named block goes only if it has little text for its tags or is nearly
+only links, or if its class says reader comments or adverts. Lists of links
+inside the region count.
 """
 
 from __future__ import annotations
@@ -48,6 +52,9 @@ DROPPED_WORDS = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice notices overlay pager "
     "pagination popup promo promotion related replies reply respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar topbar widget".split())
+# Of these, the ones that say it also of a block inside the text, as a class.
+CLEAR_WORDS = frozenset(
+    "ad ads advert advertisement advertisements advertising adverts comment comments disqus".split())
 COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
 _WORD = re.compile("[a-z]+")
 _COPYRIGHT = re.compile(r"(?i)(?:\u00a9|\(c\)|copyright\b|all rights reserved)")
@@ -55,18 +62,20 @@ _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 
 SIGMA = 1.0  # of the Gaussian, in lines
 NEARLY_ALL = 0.8  # share of the core text that an article must hold
+FEW = 10  # characters a tag that a named block inside the region has at least
 LINKED = 0.8  # share of a menu line's text that is links
 MENU_LINES = 3
 
 
 class _Lines(HTMLParser):
-    """Turns parser events into lines: [text, tags, link characters, container, heading]."""
+    """Turns parser events into lines: (text, tags, link characters, container, heading, named block)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parents = [-1]       # container -> the container around it
         self.kinds = ["page"]     # container -> tag
-        self.stack = []           # open elements: (tag, container, dropped, comment, heading)
+        self.blocks = [None]      # named block -> (the one around it, container, in_text, whole, clear)
+        self.stack = []           # open elements: (tag, container, dropped, comment, heading, block)
         self.lines = []
         self._fresh()
 
@@ -74,13 +83,13 @@ class _Lines(HTMLParser):
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _state(self):
-        return self.stack[-1] if self.stack else ("page", 0, False, False, False)
+        return self.stack[-1] if self.stack else ("page", 0, False, False, False, 0)
 
     def end_line(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            _, container, _, _, heading = self._state()
-            self.lines.append((text, self.tags, self.linked, container, heading))
+            _, container, _, _, heading, block = self._state()
+            self.lines.append((text, self.tags, self.linked, container, heading, block))
             self._fresh()
         else:
             self.parts = []  # tags without text count for the next line
@@ -97,43 +106,56 @@ class _Lines(HTMLParser):
             self._close("p")
         for other in CLOSES.get(tag, ()):
             self._close(other, until=("ul", "ol", "dl", "table", "article", "main"))
-        _, container, dropped, comment, heading = self._state()
-        own, own_comment = self._beside(tag, attrs)
+        _, container, dropped, comment, heading, block = self._state()
+        own, own_comment, named = self._beside(tag, attrs)
         comment = comment or own_comment
         if own:
             dropped = True
         elif tag in ("article", "main") and not comment:
-            dropped = False  # the text itself, even where a form or so is put around the page
+            dropped, block = False, 0  # the text itself, even where a form or so is put around the page
         if tag in CONTAINERS:
             self.parents.append(container)
             self.kinds.append(tag)
             container = len(self.kinds) - 1
-        self.stack.append((tag, container, dropped, comment, heading or tag in HEADINGS))
+        if named:
+            self.blocks.append((block, container, *named))
+            block = len(self.blocks) - 1
+        self.stack.append((tag, container, dropped, comment, heading or tag in HEADINGS, block))
 
     def _beside(self, tag, attrs):
-        """(whether the element stands beside the text, whether for reader comments)."""
+        """(whether the element stands beside the text, whether for reader comments, and, if only
+        its class or id says that it does: whether in an article, as a whole word, clearly)."""
         if tag in DROPPED:
-            return True, False
+            return True, False, None
         if tag in ("html", "body"):
-            return False, False
+            return False, False, None
         in_text = any(e[0] in ("article", "main") for e in self.stack)
         if tag == "header":
-            return not in_text, False
-        found = set()
+            return not in_text, False, None
+        found, whole, classes = set(), set(), set()
         for name, value in attrs:
             if name == "hidden" or (name == "style" and value
                                     and "display:none" in value.replace(" ", "").lower()):
-                return True, False
+                return True, False, None
             if name == "role" and value and value.strip().lower() in DROPPED_ROLES:
-                return True, False
+                return True, False, None
             if name in ("class", "id") and value:
                 found.update(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+                whole.update(value.lower().split())
+                if name == "class":
+                    classes.update(value.lower().split())
         if not found or tag in HEADINGS:
-            return False, False
+            return False, False, None
         comment = bool(found & COMMENT_WORDS)
         if tag in ("article", "main"):
-            return comment, comment
-        return bool(found & DROPPED_WORDS) or ("header" in found and not in_text), comment
+            return comment, comment, None
+        if "header" in found and not in_text:
+            return True, comment, None
+        if not found & DROPPED_WORDS or (in_text and tag not in BLOCK):
+            return False, False, None
+        # Words split out of a name count where no article says what the text is.
+        clear = bool(classes & CLEAR_WORDS if in_text else found & CLEAR_WORDS)
+        return False, comment, (in_text, bool(whole & DROPPED_WORDS) or not in_text, clear)
 
     def _close(self, tag, until=()):
         for i in range(len(self.stack) - 1, -1, -1):
@@ -187,6 +209,17 @@ def _menus(lines) -> np.ndarray:
     return marked
 
 
+def _named(lines, blocks, cut) -> np.ndarray:
+    """Marks the named blocks that their ratio or links show to be no text as well."""
+    sums = np.zeros((len(blocks), 3))
+    for line in lines:
+        sums[line[5]] += len(line[0]), line[1], line[2]
+    for b in range(len(blocks) - 1, 0, -1):
+        sums[blocks[b][0]] += sums[b]
+    chars, tags, linked = sums.T
+    return (chars < min(cut, FEW) * np.maximum(tags, 1)) | (linked >= LINKED * chars)
+
+
 def _beside_text(line) -> bool:
     """Whether a line is known to be no text: nearly only links, or a copyright."""
     return not line[4] and (line[2] >= LINKED * len(line[0]) or bool(_COPYRIGHT.match(line[0])))
@@ -198,14 +231,22 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines, blocks = parser.lines, parser.blocks
     if not lines:
         return ""
+    # Lines of named blocks outside articles help to find no region.
+    beside = np.zeros(len(blocks), bool)
+    for b in range(1, len(blocks)):
+        beside[b] = beside[blocks[b][0]] or not blocks[b][2]
+    beside = beside[[line[5] for line in lines]]
     lengths = np.array([len(line[0]) for line in lines], float)
     menu = _menus(lines)
     ratios = np.where(menu, 0.0, lengths / np.maximum([line[1] for line in lines], 1))
-    smooth = smoothed(ratios)
-    core = (smooth >= min(smooth.std(), smooth.max())) & ~menu
+    smooth, core, cut = np.zeros(len(lines)), np.zeros(len(lines), bool), 0.0
+    if not beside.all():
+        smooth[~beside] = smoothed(ratios[~beside])
+        cut = min(smooth[~beside].std(), smooth.max())
+        core = (smooth >= cut) & ~menu & ~beside
     # Core text inside every container, summed up the structure.
     weight = np.zeros(len(parser.kinds))
     for line, length, counts in zip(lines, lengths, core):
@@ -236,18 +277,39 @@ def main_text(html: str) -> str:
     inside[region] = True
     for c in range(1, len(weight)):
         inside[c] |= inside[parser.parents[c]] if parser.parents[c] >= 0 else False
-    kept = np.array([inside[line[3]] for line in lines]) & ~menu
+    kept = np.array([inside[line[3]] for line in lines])
+    # Named blocks of the region need to look it, too; elsewhere the name says it.
+    loose = parser.kinds[region] in ("page", "html", "body")
+    proved = _named(lines, blocks, cut)
+    gone = np.zeros(len(blocks), bool)
+    for b in range(1, len(blocks)):
+        around, container, in_text, whole, clear = blocks[b]
+        if in_text or (inside[container] and not loose):
+            gone[b] = gone[around] or clear or (whole and proved[b])
+        else:
+            gone[b] = True
+    kept &= ~gone[[line[5] for line in lines]]
+    if loose:
+        # Without structure to go by, a menu before or after the core text is
+        # none of it, unless a heading announces the list.
+        places = np.flatnonzero(core)
+        for i in np.flatnonzero(menu):
+            if not len(places) or i < places[0]:
+                kept[i] = False
+            elif i > places[-1]:
+                kept[i] &= kept[i - 1] and (lines[i - 1][4] or menu[i - 1])
     if parser.kinds[region] not in ("article", "main") and kept.any():
         # The headings right before belong to it; at its ends, links and a
         # copyright line do not.
         first = np.flatnonzero(kept)[0]
-        while first > 0 and lines[first - 1][4]:
+        while first > 0 and lines[first - 1][4] and not beside[first - 1]:
             first -= 1
             kept[first] = True
         places = list(np.flatnonzero(kept))
-        while places and _beside_text(lines[places[0]]) and not core[places[0]]:
+        ends = lambda i: _beside_text(lines[i]) and not core[i] and not menu[i]
+        while places and ends(places[0]):
             kept[places.pop(0)] = False
-        while places and _beside_text(lines[places[-1]]) and not core[places[-1]]:
+        while places and ends(places[-1]):
             kept[places.pop()] = False
     return "\n\n".join(line[0] for line, keep in zip(lines, kept) if keep)
 

@@ -76,3 +76,29 @@ REGIONS = [
 @pytest.mark.parametrize("page,text", REGIONS)
 def test_regions_without_article(page, text):
     assert main_text(page) == text
+
+
+LINKS = "<ul><li><a href=a>One source</a><li><a href=b>Two sources</a><li><a href=c>Three sources</a></ul>"
+NAMED = [
+    # Names made from headings, and a list of links, are parts of the article.
+    (f"<article><h1>T</h1><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>{LONG} (d)</p></section>"
+     f"<div id='related-work'><p>{LONG} (r)</p></div><section id=search><p>{LONG} (s)</p></section>"
+     f"<p id=menu>{LONG} (m)</p><div class=notice>{LONG} (n)</div><h2>Sources</h2>{LINKS}</article>",
+     "\n\n".join(["T", LONG, "Discussion"] + [f"{LONG} ({x})" for x in "drsmn"]
+                 + ["Sources", "One source", "Two sources", "Three sources"])),
+    # A name with links or hardly any text is still no part, nor are reader comments.
+    (f"<article><p>{LONG}</p><div class=related>{LINKS}</div><div class=share><b>Mail</b> <b>it</b></div>"
+     f"<div class='comments'><p>{LONG} said a reader</p></div><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+    (f"<pre><article><p>{LONG} <span class='token comment'># one</span></p></article>", f"{LONG} # one"),
+    # The same in a region without an article; outside of it, names and menus say enough.
+    (f"<body><div class=links>{LINKS}</div><div class=text><p>{LONG}</p><section id=search><p>{LONG} (s)</p>"
+     f"</section><h2>Sources</h2>{LINKS}</div><div id=sidebar><p>{LONG}</p></div></body>",
+     f"{LONG}\n\n{LONG} (s)\n\nSources\n\nOne source\n\nTwo sources\n\nThree sources"),
+    (f"<body>{LINKS}<p>{LONG}</p><p>{LONG}</p><div id=sidebar><p>{LONG}</p></div>{LINKS}</body>",
+     f"{LONG}\n\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("page,text", NAMED)
+def test_named_blocks_and_links_inside_the_text(page, text):
+    assert main_text(page) == text
