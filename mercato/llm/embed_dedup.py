@@ -127,15 +127,16 @@ def _roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
                     label_col: str = "label", threshold: float = THRESHOLD,
                     tile: int = TILE) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per vector.
+    """vec_id, n_links, component_id, kept: one row per id.
 
-    Two vectors link if their labels are equal and their cosine in double
+    Two vectors of different ids link if their labels are equal and their cosine in double
     precision is at least ``threshold``. A null label, a null, empty or zero
     vector, a null or non-finite component, or a null id links with nothing
     (its row has 0 links and is its own component; a null id has a null
     component and is kept). Vectors of different dimension do not link.
-    Repeated rows are rows of one vector: the id comes once. Other columns
-    are ignored; an empty table gives an empty result.
+    Rows that repeat id, label and vector count once. Rows that repeat an id
+    with another label or vector are vectors of that id: all of them are
+    compared, and the id has the links of all. Other columns are ignored; an empty table gives an empty result.
     """
     vec = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"),
@@ -143,8 +144,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = (rows.where("vec_id is not null and label is not null and size(vec) > 0")
               .where(finite & F.exists("vec", lambda x: x != 0))
-              .dropDuplicates(["vec_id"]).select("label", "vec_id", "vec"))
-    made = checkpointed(tiles(usable.repartitionByRange("label", "vec_id"), tile), "tiles")
+              .dropDuplicates(["label", "vec_id", "vec"]).select("label", "vec_id", "vec"))
+    # The hash spreads the rows of an id that comes very often.
+    spread = usable.repartitionByRange("label", "vec_id", F.xxhash64("vec"))
+    made = checkpointed(tiles(spread, tile), "tiles")
     keys = made.select("label", "dim", "tile")
     pairs = (keys.withColumnRenamed("tile", "a_tile")
              .join(keys.withColumnRenamed("tile", "b_tile"), ["label", "dim"])
@@ -159,6 +162,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
                 a, b = _tile(row, "a"), _tile(row, "b")
                 same = row["a_tile"] == row["b_tile"]
                 i, j = linked(a, b, threshold, same)
+                other = a["ids"][i] != b["ids"][j]
+                i, j = i[other], j[other]
                 if not len(i):
                     continue
                 ids = a["ids"] if same else np.concatenate([a["ids"], b["ids"]])

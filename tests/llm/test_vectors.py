@@ -124,3 +124,13 @@ def test_repeated_rows_are_one_vector(spark):
                                   "vec_id long, embedding array<float>, label int")
     got = sorted(tuple(r) for r in near_duplicates(frame).collect())
     assert got == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_rows_that_differ_under_one_id_all_link(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (5, [0.0, 1.0], 0), (5, [1.0, 0.0], 1), (5, [1.0, 0.01], 0),
+            (3, [1.0, 0.02], 0), (7, [0.02, 1.0], 0), (9, [1.0, 0.02], 1), (11, [-1.0, 0.0], 0)]
+    for part in (rows, rows[::-1]):
+        frame = spark.createDataFrame(part, "vec_id long, embedding array<float>, label int")
+        for tile in (2, 1024):
+            got = sorted(tuple(r) for r in near_duplicates(frame, tile=tile).collect())
+            assert got == [(3, 2, 3, True), (5, 4, 3, False), (7, 1, 3, False), (9, 1, 3, False), (11, 0, 11, True)]
