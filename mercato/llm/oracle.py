@@ -138,9 +138,65 @@ SELECT doc_id, n_words, n_base, first_word, last_word, coalesce(base_labels, '')
 FROM per_text LEFT JOIN base USING (r) LEFT JOIN every_label USING (r) LEFT JOIN best USING (r)
 """
 
+OP11 = rf"""
+WITH cut AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+scale AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS all_terms
+          FROM cut WHERE len(w) > 0),
+item_terms AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE item_id IS NOT NULL),
+counts AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM cut)
+    WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight
+    FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), scale),
+lengths AS (SELECT r, doc_id, 10 + ((90 * len(w) * n_docs) // all_terms) AS m FROM cut, scale
+            WHERE doc_id IS NOT NULL),
+scored AS (
+    SELECT item_id, r, doc_id,
+           CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM item_terms JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (r)
+    GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank,
+       doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+OP12 = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+           CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE a.vec_id % 50 = 0),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
 ORACLE = {
     "op2_ngram_join": OP2,
     "op5_topk_search": OP5,
     "op6_embedding_dedup": OP6,
     "op8_license_scan": OP8,
+    "op11_ranked_search": OP11,
+    "op12_hard_negatives": OP12,
 }
