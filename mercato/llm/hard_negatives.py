@@ -37,7 +37,7 @@ LOW, HIGH = 50, 95  # a window: percent of the positive's score
 PACK = 4096  # candidates with lists of their own
 ANCHOR_PACK = 512
 CELL = 8  # packs of either kind that meet in a cell of the grid, about
-STEP = 8  # rows read of every list at first; doubled each time
+STEP = 32  # rows read of every list at first; doubled each time
 HELD_PACKS = 64  # packs of anchors whose best rows a task keeps at a time
 
 
@@ -94,31 +94,42 @@ class Lists:
         self.ids, self.vecs = ids, vecs
         self.codes: dict[str, int] = {}
         self.labels = np.array([self.codes.setdefault(x, len(self.codes)) for x in labels], np.int64)
-        self.order = np.argsort(vecs, axis=0, kind="stable").T.copy()
+        self.order = np.argsort(vecs, axis=0, kind="stable").T.astype(np.int32, order="C")
         self.values = np.take_along_axis(vecs, self.order.T, 0).T.copy()
+        self.most = float(np.abs(vecs).max(initial=0)) * vecs.shape[1]
+        self.narrow = vecs.astype(np.float32) if self.most < 2.0 ** 24 else vecs
+
+    def scores(self, anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        most = self.most * float(np.abs(anchor).max(initial=0))
+        if most < 2.0 ** 24:  # all sums are exact in single precision
+            return (self.narrow[rows] @ anchor.astype(np.float32)).astype(np.int64)
+        if most < 2.0 ** 53:
+            return (self.vecs[rows] @ anchor).astype(np.int64)
+        return exact_products(anchor[None, :], self.vecs[rows])[0]
 
     def read(self, anchor: np.ndarray):
         """Rows not met before, their scores, and the threshold below which all
         further rows score at most (None: there are none), step by step."""
         n = len(self.ids)
         up, down = np.flatnonzero(anchor > 0), np.flatnonzero(anchor < 0)
-        lists = np.concatenate([self.order[up, ::-1], self.order[down]])
-        values = np.concatenate([self.values[up, ::-1], self.values[down]])
+        if not len(up) and not len(down):  # nothing to read by: every score is 0
+            yield np.arange(n), np.zeros(n, np.int64), None
+            return
         signed = np.concatenate([anchor[up], anchor[down]])
         met = np.zeros(n, bool)
         depth, step = 0, STEP
-        if not len(lists):  # nothing to read by: every score is 0
-            yield np.arange(n), np.zeros(n, np.int64), None
-            return
         while depth < n:
+            end = min(n, depth + step)
             fresh = np.zeros(n, bool)
-            fresh[lists[:, depth:depth + step].ravel()] = True
+            fresh[self.order[up, n - end:n - depth].ravel()] = True
+            fresh[self.order[down, depth:end].ravel()] = True
             fresh &= ~met
             met |= fresh
-            depth, step = min(n, depth + step), 2 * step
+            depth, step = end, 2 * step
             rows = np.flatnonzero(fresh)
-            threshold = None if depth == n or met.all() else _bound(signed, values[:, depth])
-            yield rows, exact_products(anchor[None, :], self.vecs[rows])[0], threshold
+            threshold = None if depth == n or met.all() else _bound(
+                signed, np.concatenate([self.values[up, n - 1 - depth], self.values[down, depth]]))
+            yield rows, self.scores(anchor, rows), threshold
             if threshold is None:
                 return
 
@@ -137,8 +148,15 @@ class Kept:
         self.k, self.scores, self.ids = k, np.empty(0, np.int64), np.empty(0, np.int64)
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        least = self.least()
+        if least is not None:
+            at = scores >= least
+            scores, ids = scores[at], ids[at]
         if not len(ids):
             return
+        if len(scores) > 8 * self.k:  # what ties with the k-th stays in
+            at = scores >= np.partition(scores, -self.k)[-self.k]
+            scores, ids = scores[at], ids[at]
         scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
         order = np.lexsort((ids, -scores))[:self.k]
         self.scores, self.ids = scores[order], ids[order]
@@ -163,14 +181,18 @@ def best_positives(lists: Lists, anchor: np.ndarray, vec_id: int, label: str, ke
 
 def best_negatives(lists: Lists, anchor: np.ndarray, label: str, windows: list, kept: list[Kept]) -> int:
     """Offers each window's ``kept`` the rows of other labels inside it."""
-    done = 0
+    done, own = 0, lists.codes.get(label, -1)
     for rows, scores, threshold in lists.read(anchor):
         done += len(rows)
-        at = lists.labels[rows] != lists.codes.get(label, -1)
+        # no window takes a score below its own bound or below the k-th it has
+        lows = [low if best.least() is None else max(low, best.least())
+                for (low, _), best in zip(windows, kept)]
+        at = np.flatnonzero(scores >= min(lows))
+        at = at[lists.labels[rows[at]] != own]
         scores, ids = scores[at], lists.ids[rows[at]]
         over = True
-        for (low, high), best in zip(windows, kept):
-            inside = (scores >= low) & (scores <= high)
+        for (low, high), floor, best in zip(windows, lows, kept):
+            inside = (scores >= floor) & (scores <= high)
             best.offer(scores[inside], ids[inside])
             least = best.least()
             over &= threshold is not None and (threshold < low or least is not None and threshold < least)
