@@ -138,20 +138,18 @@ class BoundedMemo(dict):
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products (int64) of the rows of ``a`` and ``b``, whole numbers held in
-    doubles. Small ones are multiplied as doubles, which hold their sums exactly;
-    larger ones as 64-bit integers, and those that could pass 64 bits on the way
-    as Python's integers. A product beyond 64 bits is an OverflowError."""
+    """Inner products of the rows of ``a`` and ``b``, whole numbers held in
+    doubles. Small ones are multiplied as doubles, which hold their sums exactly,
+    larger ones as 64-bit integers. Where a product could pass 64 bits the
+    result holds Python's integers (and a later cast to long is an error if one
+    does)."""
     most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
     if most < 2.0 ** 53:
         return (a @ b.T).astype(np.int64)
     if most < 2.0 ** 63:
         return a.astype(np.int64) @ b.astype(np.int64).T
-    whole = lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
-    wide = whole(a) @ whole(b).T
-    if any(abs(v) >= 2 ** 63 for v in wide.ravel()):
-        raise OverflowError("an inner product exceeds 64 bits")
-    return wide.astype(np.int64)
+    whole = lambda x: np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+    return whole(a) @ whole(b).T
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:

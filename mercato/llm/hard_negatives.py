@@ -148,7 +148,7 @@ class Kept:
         self.k, self.scores, self.ids = k, np.empty(0, np.int64), np.empty(0, np.int64)
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        least = self.least()
+        scores, least = scores.astype(np.int64), self.least()
         if least is not None:
             at = scores >= least
             scores, ids = scores[at], ids[at]

@@ -17,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import checkpointed, read
+from mercato.llm.common import checkpointed, exact_products, read
 
 SCALE = 256
 K = 5
 QUERY_EVERY = 50
-MOST = 2.0 ** 31 - 1  # components are clipped to this size after scaling
 PACK = 4096  # vectors in one forward index
 BLOCK = 256  # vectors under one bound
 QUERY_PACK = 512
@@ -42,20 +41,19 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def packs(vectors: DataFrame, size: int) -> DataFrame:
     """One row per ``size`` vectors of one dimension in vec_id order: their ids
-    and their quantised components (little-endian integers)."""
+    and their quantised components (whole numbers as doubles)."""
     def build(batches):
         held: dict[int, list] = {}
 
         def row(dim):
             ids, rows = zip(*held.pop(dim))
-            return dim, np.array(ids, "<i8").tobytes(), np.array(rows, "<i4").tobytes()
+            return dim, np.array(ids, "<i8").tobytes(), np.array(rows, "<f8").tobytes()
 
         for batch in batches:
             out = []
             for vec_id, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 dim = len(vec)
-                held.setdefault(dim, []).append(
-                    (vec_id, np.clip(np.floor(SCALE * np.array(vec)), -MOST, MOST)))
+                held.setdefault(dim, []).append((vec_id, np.floor(SCALE * np.array(vec))))
                 if len(held[dim]) == size:
                     out.append(row(dim))
             if out:
@@ -74,14 +72,6 @@ def _pack_batch(rows):
         names=["dim", "ids", "vecs"])
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of the rows of a and b."""
-    most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
-    if most < 2.0 ** 53:  # sums of integers that a double holds exactly
-        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a.astype(np.int64) @ b.T.astype(np.int64)
-
-
 class Best:
     """The k best (score, vec_id) of every query of a pack, ties to smaller ids."""
 
@@ -92,7 +82,7 @@ class Best:
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """Merge scores[i, j] of vector ids[j] for the query rows[i]."""
-        scores = np.where(ids[None, :] == self.query_ids[rows][:, None], _NONE, scores)
+        scores = np.where(ids[None, :] == self.query_ids[rows][:, None], _NONE, scores).astype(np.int64)
         if scores.shape[1] > self.k:
             # scores that tie with the k-th stay in: sort only what reaches it
             kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
@@ -119,7 +109,7 @@ class Best:
         highest = np.maximum.reduceat(vectors, starts, axis=0)
         lowest = np.minimum.reduceat(vectors, starts, axis=0)
         up, down = np.maximum(self.queries, 0), np.minimum(self.queries, 0)
-        bounds = _products(up, highest) + _products(down, lowest)
+        bounds = exact_products(up, highest) + exact_products(down, lowest)
         order = np.argsort(-bounds, axis=1, kind="stable")
         scored = 0
         for nth in range(len(starts)):
@@ -131,7 +121,7 @@ class Best:
             for b in np.unique(chosen[alive]):
                 rows = np.flatnonzero(alive & (chosen == b))
                 part = slice(starts[b], starts[b] + block)
-                self.offer(rows, _products(self.queries[rows], vectors[part]), ids[part])
+                self.offer(rows, exact_products(self.queries[rows], vectors[part]), ids[part])
                 scored += len(rows)
         return scored
 
@@ -148,8 +138,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id",
     is left out. Rows with a null id, a null or empty vector, or a null or
     non-finite component take no part; vectors meet queries of their own
     dimension only; repeated rows are candidates each, a repeated query id is
-    asked once; components beyond 2**31 - 1 after scaling are clipped; other
-    columns are ignored; an empty side gives an empty result.
+    asked once; a score beyond 64 bits is an error; other columns are ignored;
+    an empty side gives an empty result.
     """
     def indexed(frame, size):
         return packs(frame.sortWithinPartitions("vec_id"), size)
@@ -171,9 +161,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id",
                     continue
                 if (dim, q_ids) not in best:
                     best[dim, q_ids] = Best(np.frombuffer(q_ids, "<i8"), np.frombuffer(
-                        pair["q_vecs"], "<i4").reshape(-1, dim), k)
+                        pair["q_vecs"], "<f8").reshape(-1, dim), k)
                 best[dim, q_ids].search(np.frombuffer(pair["ids"], "<i8"), np.frombuffer(
-                    pair["vecs"], "<i4").reshape(-1, dim), block)
+                    pair["vecs"], "<f8").reshape(-1, dim), block)
         for found in best.values():
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.rows()],
                                              names=["query_id", "vec_id", "score"])

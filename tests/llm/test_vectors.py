@@ -47,6 +47,19 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    """Products of 2**31 and more, also where a vector's product with itself passes 64 bits."""
+    rows = [(50, [1e8, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 1e8]), (100, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in top_k(frame, frame.where("vec_id % 50 = 0"), k=2).collect())
+    whole = {i: [int(256 * x) for x in np.array(v, np.float32).astype(float)] for i, v in rows}
+    want = []
+    for q in (50, 100):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:2]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want) and max(s for *_, s in got) > 2 ** 41
+
+
 def test_top_k_edges(spark):
     frame = spark.createDataFrame([(50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]),
                                    (100, [-1.0, 3e38])], "vec_id long, embedding array<float>")
