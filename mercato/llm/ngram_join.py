@@ -8,7 +8,7 @@ than d, some segment differs by no more than it allows. A segment that allows
 nothing is indexed by the hash of its elements; one that allows a single
 difference by that and by its one-deletion neighbourhood. How many segments of
 either kind a band gets is a choice by cost: rows to index against pairs of
-unrelated sets that meet by chance, for the number of sets in the band.
+sets that meet, which are counted beforehand on a few segments of each cut.
 
 Sets that share an index key form a bucket. Buckets with the same members are
 one. Inside a bucket, sizes and parity sketches (bit i is the parity of the
@@ -35,14 +35,13 @@ from mercato.llm.common import (checkpointed, connected_components, documents, h
 WINDOW = 1 << 20  # bytes of text hashed at a time
 BLOCK = 1024  # members of a bucket compared at a time
 RATIO = 1.5  # upper over lower size of a band
-# Costs: a pair compared in a bucket, in index rows; the share of a band whose
-# sets have a common part, and that part's share of a set.
-PAIR_COST = 0.04
-RELATED = 1 / 3
-SHARED = 0.3
+PAIR_COST = 0.04  # of a pair compared in a bucket, in index rows
+# Shares of the allowance that may fall to one-deletion segments.
+SHARES = (0.0, 0.5, 1.0)
+PROBED = 2  # segments of either kind whose meetings are counted
+PROBED_KEYS = 8  # one in so many of a one-deletion segment's keys
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = []
 
 
 # ---- sets of n-gram hashes -----------------------------------------------------
@@ -54,25 +53,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        odd = int(_ODD)
-        steps = np.full(size, odd, np.uint64)
-        back = np.full(size, pow(odd, -1, 1 << 64), np.uint64)
-        steps[0] = back[0] = 1
-        _POWERS[:] = [np.multiply.accumulate(steps), np.multiply.accumulate(back)]
-    return _POWERS[0], _POWERS[1]
-
-
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of every word, A-Z lower-cased; words end at ASCII white
-    space. A word's hash is a polynomial in its bytes, taken from prefix sums."""
+    space. A word's hash is the mixed sum of a mixed value for every byte at its
+    place in the word, taken from prefix sums."""
     data = text.encode("utf-8").lower()
     found, at = [], 0
     while at < len(data):
@@ -80,12 +68,14 @@ def word_hashes(text: str) -> np.ndarray:
         while upto < len(data) and not _SPACE[data[upto]]:
             upto += 1
         part = np.frombuffer(data, np.uint8, upto - at, at)
-        step, back = _powers(len(part))
         edge = np.diff(np.concatenate(([0], ~_SPACE[part], [0])).astype(np.int8))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        begin = np.zeros(len(part), np.int64)
+        begin[start] = start
+        place = (np.arange(len(part)) - np.maximum.accumulate(begin)).astype(np.uint64)
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * step[:len(part)], out=sums[1:])
-        found.append(mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)))
+        np.cumsum(mix(_BYTE[part] + place * _ODD), out=sums[1:])
+        found.append(mix(sums[end] - sums[start] + (end - start).astype(np.uint64) * _ODD))
         at = upto
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
@@ -140,56 +130,114 @@ class Band:
         ends = np.cumsum(width)[:-1] / width.sum() * 2.0 ** 64
         return ends.astype(np.uint64)
 
+    @functools.cached_property
+    def probed(self) -> list[tuple]:
+        """The first segments of either kind: (kind, segment, place in its kind,
+        lower and upper end)."""
+        ends = [np.uint64(0), *self.bounds, None]
+        return [(kind, first + i, i, ends[first + i], ends[first + i + 1])
+                for kind, first, n in ((0, 0, self.exact), (1, self.exact, self.single))
+                for i in range(min(n, PROBED))]
+
     @property
     def spare(self) -> int:
         """Empty segments that a pair may share without needing them."""
         return self.exact + 2 * self.single - self.apart - 1
 
 
-def allocate(low: int, high: int, apart: int, sets: int) -> tuple[int, int]:
-    """(segments that allow no difference, segments that allow one) with the
-    least cost for ``sets`` sets; their allowances add up to more than ``apart``
-    plus the empty segments that are likely to be shared."""
-    best = None
-    size = math.sqrt(low * max(high, 1))
-    for share in (0.0, 0.25, 0.5, 0.75, 1.0):
+def cuts(low: int, apart: int) -> list[tuple[int, int]]:
+    """Possible cuts of a band, one per share: (segments that allow no
+    difference, segments that allow one); their allowances add up to more than
+    ``apart`` plus the empty segments that are likely to be shared."""
+    made = []
+    for share in SHARES:
         single = int(share * (apart + 1) / 2)
         exact = apart + 1 - 2 * single
         if exact:
             segment = low / (exact + 2 * single)
             empty = exact * math.exp(-segment)
             exact += math.ceil(empty + 4 * math.sqrt(empty)) if segment < 30 else 0
-        one = size / max(1, exact + 2 * single)
-        rows = exact + single * (2 * one + 1)
-        met = (exact * SHARED ** one
-               + single * min(1.0, 2 * one * SHARED ** max(0.0, 2 * one - 1)))
-        cost = sets * rows + PAIR_COST * (RELATED * sets) ** 2 / 2 * met
-        if best is None or cost < best[0]:
-            best = (cost, exact, single)
-    return best[1], best[2]
-
-
-def band_edges(largest: int) -> list[tuple[int, int]]:
-    edges, low = [], 1
-    while low <= largest:
-        high = max(low, int(low * RATIO))
-        edges.append((low, high))
-        low = high + 1
-    return edges
-
-
-def bands_for(similarity: Similarity, sets: dict[int, int], largest: int) -> list[Band]:
-    """Bands for all sizes up to ``largest``; ``sets`` is the number by band."""
+        made.append((exact, single))
+    return made
+
+
+@functools.cache
+def possible_bands(similarity: Similarity, number: int) -> list[Band]:
+    """The band of this number under every possible cut."""
+    low, high = _band_sizes(number)
+    apart = similarity.apart(high + high * similarity.den // similarity.num)
+    bits = max(64, 1 << (10 * max(1, apart) - 1).bit_length())
+    return [Band(low, high, apart, exact, single, bits) for exact, single in cuts(low, apart)]
+
+
+def chosen_bands(similarity: Similarity, largest: int, sets: dict[int, int],
+                 met: dict[int, float]) -> list[Band]:
+    """Bands for all sizes up to ``largest`` with the cheapest cut each; ``sets``
+    is the number by band, ``met`` the pairs that meet by tag (see probes)."""
     made = []
-    for i, (low, high) in enumerate(band_edges(largest)):
-        apart = similarity.apart(high + high * similarity.den // similarity.num)
-        near = sets.get(i, 0) + sets.get(i + 1, 0)
-        exact, single = allocate(low, high, apart, near)
-        bits = max(64, 1 << (10 * max(1, apart) - 1).bit_length())
-        made.append(Band(low, high, apart, exact, single, bits))
+    for number in range(_band_number(largest) + 1 if largest else 0):
+        near = sets.get(number, 0) + sets.get(number + 1, 0)
+
+        def cost(option: int) -> float:
+            band = possible_bands(similarity, number)[option]  # noqa: B023
+            one = math.sqrt(band.low * band.high) / max(1, band.exact + 2 * band.single)
+            pairs = sum(met.get(_tag(number, option, kind), 0.0) for kind in (0, 1))  # noqa: B023
+            return near * (band.exact + band.single * (2 * one + 1)) + PAIR_COST * pairs  # noqa: B023
+
+        made.append(possible_bands(similarity, number)[min(range(len(SHARES)), key=cost)])
     return made
 
 
+def _tag(number: int, option: int, kind: int) -> int:
+    return (number * len(SHARES) + option) * 2 + kind
+
+
+def probes(elements: np.ndarray, similarity: Similarity) -> tuple[list[int], list[int]]:
+    """Keys of a few segments under every possible cut, with the tag of band,
+    cut and kind of segment. Segments of a kind are alike (the universe is one
+    of hashes), so pairs that share a key on some show how many do on all."""
+    keys, tags = [], []
+    size = len(elements)
+    number = _band_number(size)
+    smallest = -(-size * similarity.num // similarity.den)
+    while number >= 0 and _band_sizes(number)[1] >= smallest:
+        for option, band in enumerate(possible_bands(similarity, number)):
+            if not band.apart:
+                continue
+            for kind, segment, place, lower, upper in band.probed:
+                a = int(elements.searchsorted(lower))
+                b = size if upper is None else int(elements.searchsorted(upper))
+                part = mix(elements[a:b] + _ODD)
+                whole = part.sum(keepdims=True, dtype=np.uint64)
+                if kind:
+                    found = mix(np.concatenate([whole, whole - part]) ^ np.uint64(segment))
+                    found = found[found % np.uint64(PROBED_KEYS) == 0]
+                else:
+                    found = mix(whole) if b > a else whole[:0]
+                keys += found.view(np.int64).tolist()
+                tags += [_tag(number, option, kind) * PROBED + place] * len(found)
+        number -= 1
+    return keys, tags
+
+
+def meetings(described: DataFrame, similarity: Similarity) -> dict[int, float]:
+    """Pairs of different sets that would meet in the buckets of every possible
+    cut, by tag, from the probes of all sets (a row per band, cut and kind)."""
+    probed = described.where("node is not null").select(
+        "node", F.explode(F.arrays_zip("probes", "tags")).alias("p"))
+    each = (probed.select("node", "p.probes", "p.tags").distinct()
+            .groupBy("tags", "probes").agg(F.count(F.lit(1)).cast("double").alias("n"))
+            .groupBy(F.expr(f"tags div {PROBED}").alias("tag"))
+            .agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")))
+    met = {}
+    for row in each.collect():
+        band, kind = row["tag"] // 2, row["tag"] % 2
+        cut = possible_bands(similarity, band // len(SHARES))[band % len(SHARES)]
+        n = cut.single if kind else cut.exact
+        met[row["tag"]] = row["pairs"] * n / min(n, PROBED) * (PROBED_KEYS if kind else 1)
+    return met
+
+
 def schemes(size: int, bands: list[Band], similarity: Similarity) -> list[int]:
     """The bands in which a set of this size is indexed: its own, and those of
     smaller sets it can link with."""
@@ -388,21 +436,24 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 elements = gram_set(text, k)
                 size = len(elements)
                 if not size:
-                    rows.append((None, 0, 0))
+                    rows.append((None, 0, 0, [], []))
                     continue
-                rows.append((_node(elements), size, _band_number(size)))
-            node, size, band = zip(*rows) if rows else ((), (), ())
+                rows.append((_node(elements), size, _band_number(size), *probes(elements, similarity)))
+            node, size, band, keys, tags = zip(*rows) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(node, pa.int64()),
-                 pa.array(size, pa.int64()), pa.array(band, pa.int32())],
-                names=["doc_id", "row_key", "node", "size", "band"])
+                 pa.array(size, pa.int64()), pa.array(band, pa.int32()),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(tags, pa.list_(pa.int32()))],
+                names=["doc_id", "row_key", "node", "size", "band", "probes", "tags"])
 
     described = checkpointed(texts.mapInArrow(
-        tidied(describe), "doc_id long, row_key long, node long, size long, band int"), "sets")
+        tidied(describe), "doc_id long, row_key long, node long, size long, band int, "
+        "probes array<long>, tags array<int>"), "sets")
     by_band = {r["band"]: (r["n"], r["largest"]) for r in described.where("node is not null")
                .groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest")).collect()}
     largest = max((v[1] for v in by_band.values()), default=0)
-    bands = bands_for(similarity, {b: v[0] for b, v in by_band.items()}, largest)
+    bands = chosen_bands(similarity, largest, {b: v[0] for b, v in by_band.items()},
+                         meetings(described, similarity))
     if single_percent is not None:
         bands = [_with_single(b, single_percent) for b in bands]
 
@@ -555,14 +606,19 @@ def _close(key, block, held, made: set[int]):
     return _rows(name, 0, held)
 
 
+@functools.cache
+def _band_sizes(number: int) -> tuple[int, int]:
+    """Smallest and largest size of the sets of a band."""
+    low = 1 if not number else _band_sizes(number - 1)[1] + 1
+    return low, max(low, int(low * RATIO))
+
+
 def _band_number(size: int) -> int:
     """Number of the band whose sizes include ``size``."""
-    number, low = 0, 1
-    while True:
-        high = max(low, int(low * RATIO))
-        if size <= high:
-            return number
-        number, low = number + 1, high + 1
+    number = 0
+    while size > _band_sizes(number)[1]:
+        number += 1
+    return number
 
 
 def _with_single(band: Band, percent: int) -> Band:

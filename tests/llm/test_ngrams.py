@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from mercato.llm import ngram_join
-from mercato.llm.ngram_join import (Similarity, allocate, bands_for, gram_set, index_keys, schemes,
-                                    similarity_groups, word_hashes)
+from mercato.llm.ngram_join import (SHARES, Similarity, chosen_bands, gram_set, index_keys, possible_bands,
+                                    schemes, similarity_groups, word_hashes)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -119,11 +119,12 @@ def test_hashes_follow_words_not_places(monkeypatch):
 
 
 @pytest.mark.parametrize("num", [70, 80, 90])
-@pytest.mark.parametrize("sets", [10, 10 ** 6, 10 ** 10])
-def test_linked_sets_share_a_key(num, sets):
+@pytest.mark.parametrize("cut", range(len(SHARES)))
+def test_linked_sets_share_a_key(num, cut):
     similarity = Similarity(num, 100)
     pick = np.random.default_rng(num)
-    bands = bands_for(similarity, {i: sets for i in range(40)}, 3000)
+    bands = [possible_bands(similarity, number)[cut] for number in range(20)]
+    assert bands[-1].high > 3000
     for size in (1, 2, 5, 9, 10, 11, 19, 20, 33, 60, 100, 240, 999, 2400):
         for _ in range(15):
             a = np.unique(pick.integers(0, 2 ** 63, size, dtype=np.uint64) * np.uint64(2))
@@ -143,7 +144,42 @@ def test_linked_sets_share_a_key(num, sets):
             assert keys[0] & keys[1], (len(a), len(b))
 
 
-def test_allocation_follows_cost():
-    few, many = allocate(60, 90, 40, 100), allocate(60, 90, 40, 10 ** 11)
-    assert few[1] == 0 and many[1] > 0
-    assert few[0] + 2 * few[1] > 40 and many[0] + 2 * many[1] > 40
+def test_the_cut_follows_the_pairs_that_meet():
+    similarity = Similarity(80, 100)
+    sets = {number: 1000 for number in range(14)}
+    plain = chosen_bands(similarity, 400, sets, {})
+    assert all(band.single == 0 for band in plain)
+    crowded = {ngram_join._tag(number, 0, 0): 1e12 for number in range(14)}
+    cut = chosen_bands(similarity, 400, sets, crowded)
+    assert all(band.single > 0 for band in cut if band.apart > 2)
+    assert all(band.exact + 2 * band.single > band.apart for band in plain + cut)
+    assert chosen_bands(similarity, 0, {}, {}) == []
+
+
+def test_meetings_are_estimated_from_few_segments(spark, monkeypatch):
+    """Sets that share half of their elements meet about as often as a full index says."""
+    similarity = Similarity(80, 100)
+    pick = np.random.default_rng(3)
+    draw = lambda n: pick.integers(0, 2 ** 63, n, dtype=np.uint64) * np.uint64(2)
+    common = draw(30)
+    sets = [np.unique(np.concatenate([common, draw(10)])) for _ in range(300)]
+    rows = [(i, *ngram_join.probes(s, similarity)) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node long, probes array<long>, tags array<int>")
+    met = ngram_join.meetings(frame, similarity)
+    number = ngram_join._band_number(40)
+    band = possible_bands(similarity, number)[0]
+    found = {}
+    for s in sets:
+        for key in index_keys(s, number, band).tolist():
+            found[key] = found.get(key, 0) + 1
+    full = sum(n * (n - 1) // 2 for n in found.values())
+    assert full / 20 < met[ngram_join._tag(number, 0, 0)] < full * 20
+
+
+def test_words_that_equal_a_polynomial_everywhere_do_not_link(spark):
+    """A Thue-Morse word and its complement: equal under any polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    assert word_hashes(one)[0] != word_hashes(other)[0]
+    got = groups(spark, [(1, one), (2, other), (3, one)], k=3, num=90, den=100)
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
