@@ -11,6 +11,8 @@ surroundings decide the label (a bounded number of them, by hash order).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mercato.llm.common import checkpointed, documents
+from mercato.session import scratch_path
 
 # What a candidate looks like.
 NAMED = (r"(?i:password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth[_-]?key)"
@@ -212,7 +215,13 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
         fixed_findings(labelled.sparkSession))
     rows = checkpointed(with_features(rows).select("label", *FEATURES), "labelled")
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(vectors)
+    fitted = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(vectors)
+    # A fitted model holds its training summary and through it the session, which
+    # cannot be sent to tasks once the session has observed a query; one read back
+    # holds the trees alone.
+    path = scratch_path(labelled.sparkSession, f"mercato-llm/forest-{uuid.uuid4().hex}")
+    fitted.write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def judged(found: DataFrame, model: RandomForestClassificationModel,

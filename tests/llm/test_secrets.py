@@ -147,3 +147,14 @@ def test_surroundings_are_the_text_itself(spark):
         text, end = texts[r.doc_id], r.start + len(r.value)
         assert text[:r.start].endswith(r.before) and len(r.before) >= min(48, r.start)
         assert r.after == text[end:end + 24]
+
+
+def test_scan_after_an_observation(spark):
+    """The forest can be sent to tasks in a session that has observed a query."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation("rows_before_the_scan")
+    spark.range(10).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 10
+    assert op1_secret_scan(spark, SF_SMALL).count() > 0
