@@ -157,4 +157,4 @@ def test_scan_after_an_observation(spark):
     seen = Observation("rows_before_the_scan")
     spark.range(10).observe(seen, F.count(F.lit(1)).alias("n")).collect()
     assert seen.get["n"] == 10
-    assert op1_secret_scan(spark, SF_SMALL).count() > 0
+    assert op1_secret_scan(spark, SF_ORACLE).count() > 0
