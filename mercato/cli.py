@@ -4,6 +4,7 @@
     python -m mercato.cli report --root /shared/warehouse revenue_trend --granularity week
     python -m mercato.cli sql --root /shared/warehouse "SELECT * FROM vw_delivery_sla"
     python -m mercato.cli audit --path /shared/audit --limit 100
+    python -m mercato.cli compact --path /shared/audit
     python -m mercato.cli retire --root /shared/warehouse --keep 2
 """
 
@@ -77,6 +78,8 @@ def _sql(args, spark) -> int:
     from mercato.plans.build import load_warehouse
 
     wh = load_warehouse(spark, args.root)
+    if args.user:
+        return _submitted(args, spark, wh)
     try:
         result = run_read_only(wh, spark, args.statement, args.max_rows)
     except GuardrailError as exc:
@@ -86,10 +89,39 @@ def _sql(args, spark) -> int:
     return 0
 
 
+def _submitted(args, spark, wh) -> int:
+    """The statement as its user's request: authorised, run and recorded."""
+    import datetime as dt
+
+    from mercato.plans.adhoc import submit_query
+
+    if not (args.users and args.audit and args.request_id is not None):
+        print("--user needs --users, --audit and --request-id")
+        return 2
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    run = submit_query(wh, spark, spark.read.parquet(args.users), args.audit, args.request_id, args.user,
+                       args.statement, now, args.max_rows)
+    if run.rows is None:
+        print(f"{run.audit[5]}: {run.audit[4]}")
+        return 2
+    for row in run.rows:
+        print("\t".join("" if v is None else str(v) for v in row))
+    return 0
+
+
 def _audit(args, spark) -> int:
-    from mercato.plans.audit import latest_audit, read_audit
+    from mercato.plans.audit import newest_audit
+
+    _deliver(newest_audit(spark, args.path, args.limit), None)
+    return 0
+
+
+def _compact(args, spark) -> int:
+    from mercato.plans import audit_log
 
-    _deliver(latest_audit(read_audit(spark, args.path), args.limit), None)
+    found = audit_log.compact(spark, args.path)
+    gone = audit_log.expire(spark, args.path, args.keep)
+    print(f"snapshot {found.version} has {len(found.files)} file(s); {len(gone)} replaced file(s) deleted")
     return 0
 
 
@@ -122,10 +154,17 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--root", required=True)
     q.add_argument("statement")
     q.add_argument("--max-rows", type=int)
+    q.add_argument("--user", help="run as this user: checked against --users, recorded in --audit")
+    q.add_argument("--users", help="table of username, role, is_active (Parquet)")
+    q.add_argument("--audit", help="the audit dataset")
+    q.add_argument("--request-id", type=int, help="id of the request, which is its audit row's id")
     q.add_argument("--out", help="folder for the whole (capped) result as Parquet")
     a = sub.add_parser("audit", help="print the newest rows of an audit dataset")
     a.add_argument("--path", required=True)
     a.add_argument("--limit", type=int, default=100)
+    c = sub.add_parser("compact", help="compact an audit dataset and drop expired snapshots")
+    c.add_argument("--path", required=True)
+    c.add_argument("--keep", type=int, default=2, help="snapshots to keep (at least 1)")
     t = sub.add_parser("retire", help="delete superseded, failed and staged parts of builds")
     t.add_argument("--root", required=True)
     t.add_argument("--keep", type=int, default=2, help="published builds to keep (at least 1)")
@@ -135,7 +174,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = get_spark()
     commands = {"build": _build, "report": _report, "sql": _sql, "audit": _audit,
-                "retire": _retire}
+                "retire": _retire, "compact": _compact}
     return commands[args.command](args, spark)
 
 

@@ -238,3 +238,15 @@ def answer_and_audit(wh: Warehouse, spark: SparkSession, request_id: int, userna
     except Exception as exc:  # noqa: BLE001 - analysis or runtime error
         return AuditedRun(None, row(f"{question} -> {_message(exc)}", "error"))
     return AuditedRun(answer["rows"], row(f"{question} => {answer['sql']}", "allowed"))
+
+
+def submit_question(wh: Warehouse, spark: SparkSession, users: DataFrame, audit_path: str,
+                    request_id: int, username: str, question: str, generated_sql: str, created_at,
+                    max_rows: int | None = None) -> AuditedRun:
+    """The generated-SQL route as a whole: look the user up, answer, store the audit row."""
+    from mercato.plans.audit import append_rows
+
+    run = answer_and_audit(wh, spark, request_id, username, active_role(users, username), question,
+                           generated_sql, created_at, max_rows)
+    append_rows(spark, [run.audit], audit_path)
+    return run

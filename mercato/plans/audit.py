@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mercato.operators.access import access_decisions  # noqa: F401  (re-export)
 from mercato.operators.screen import screen_queries
+from mercato.plans import audit_log
 from mercato.schemas import AUDIT_SCHEMA
 
 AUDIT_COLUMNS = [f.name for f in AUDIT_SCHEMA.fields]
@@ -51,12 +52,6 @@ def screen_and_audit(log: DataFrame, users: DataFrame, sql_col: str = "sql") ->
     return query_audit(screen_queries(log.join(active, "username"), sql_col), sql_col)
 
 
-def error_audit_row(id_: int, username: str, role: str, action: str, text: str,
-                    message: str, created_at) -> tuple:
-    """The audit row of a statement that passed the screen but failed to run."""
-    return (id_, username, role, action, f"{text} -> {message}", "error", created_at)
-
-
 def login_audit(attempts: DataFrame, users: DataFrame) -> DataFrame:
     """One row per login attempt.
 
@@ -83,14 +78,8 @@ def latest_audit(audit: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def append_audit(audit: DataFrame, path: str) -> None:
-    """Append a batch of audit rows to the audit dataset (Parquet, by day).
-
-    Rebalanced by day, so a day gets a few advisory-sized files per batch.
-    """
-    (audit.select(*AUDIT_COLUMNS)
-          .withColumn("day", F.to_date("created_at"))
-          .hint("rebalance", "day")
-          .write.mode("append").partitionBy("day").parquet(path))
+    """Append a batch of audit rows to the stored log (see ``audit_log``)."""
+    audit_log.append(audit.select(*AUDIT_COLUMNS), path)
 
 
 def append_rows(spark, rows: list[tuple], path: str) -> None:
@@ -99,4 +88,16 @@ def append_rows(spark, rows: list[tuple], path: str) -> None:
 
 
 def read_audit(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*AUDIT_COLUMNS)
+    """All rows of the stored log, created_at with its zone; empty if there is none."""
+    return audit_log.read(spark, path)
+
+
+def newest_audit(spark, path: str, limit: int = 100) -> DataFrame:
+    """The newest ``limit`` rows by id, from the files that can hold them."""
+    return audit_log.newest(spark, path, limit)
+
+
+def without_zone(audit: DataFrame) -> DataFrame:
+    """Audit rows with created_at as UTC without a zone, as the requests have it."""
+    local = F.col("created_at").cast("timestamp_ntz")
+    return audit.withColumn("created_at", F.convert_timezone(F.current_timezone(), F.lit("UTC"), local))

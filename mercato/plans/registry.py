@@ -301,14 +301,59 @@ def _latest_audit_stored(wh, spark, sf_dir):
     """The decisions appended to a stored log in two batches, its newest rows read back."""
     import uuid
 
-    from mercato.plans.audit import append_audit, latest_audit, read_audit
+    from mercato.plans.audit import append_audit, newest_audit, without_zone
     from mercato.session import scratch_path
 
     path = scratch_path(spark, f"mercato/audit-log-{uuid.uuid4().hex}")
     decisions = _access(spark, sf_dir)
     append_audit(decisions.where(F.col("id") % 2 == 0), path)
     append_audit(decisions.where(F.col("id") % 2 == 1), path)
-    return latest_audit(read_audit(spark, path), 100)
+    return without_zone(newest_audit(spark, path, 100))
+
+
+@query("audit_log_compacted")
+def _audit_log_compacted(wh, spark, sf_dir):
+    """The decisions appended in four batches, compacted, and read back whole."""
+    import uuid
+
+    from mercato.plans import audit_log
+    from mercato.plans.audit import without_zone
+    from mercato.session import scratch_path
+
+    path = scratch_path(spark, f"mercato/audit-log-{uuid.uuid4().hex}")
+    decisions = _access(spark, sf_dir)
+    for part in range(4):
+        audit_log.append(decisions.where(F.col("id") % 4 == part), path, writer="batches", batch=part)
+    audit_log.compact(spark, path, most_files=2)
+    audit_log.expire(spark, path, keep=1)
+    return without_zone(audit_log.read(spark, path))
+
+
+@query("audit_log_zones")
+def _audit_log_zones(wh, spark, sf_dir):
+    """One log whose older half has no zone: all rows, created_at in microseconds (UTC)."""
+    import uuid
+
+    from mercato.plans import audit_log
+    from mercato.session import scratch_path
+
+    path = scratch_path(spark, f"mercato/audit-log-{uuid.uuid4().hex}")
+    decisions = _access(spark, sf_dir)
+    old = decisions.where(F.col("id") % 2 == 0).withColumn("day", F.to_date("created_at"))
+    old.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    audit_log.adopt(spark, path)
+    audit_log.append(audit_log.zoned(decisions.where(F.col("id") % 2 == 1)), path)
+    return audit_log.read(spark, path).withColumn("created_at", F.unix_micros("created_at"))
+
+
+@query("query_audit_with_errors")
+def _query_audit_with_errors(wh, spark, sf_dir):
+    """Statements some of which pass the screen and fail in the engine."""
+    from mercato.plans.statement_audit import audit_statements
+    from mercato.sources.activity import failing_log_from_events, users_from_events
+
+    ev = _events(spark, sf_dir)
+    return audit_statements(wh, spark, failing_log_from_events(ev), users_from_events(ev))
 
 
 # ---- landing and build ---------------------------------------------------------
@@ -415,7 +460,7 @@ def _access_audit_stream(wh, spark, sf_dir):
     """Events as a file stream -> access decisions -> exactly-once audit sink."""
     import uuid
 
-    from mercato.plans.audit import read_audit
+    from mercato.plans.audit import read_audit, without_zone
     from mercato.session import scratch_path
     from mercato.sources.activity import requests_from_events, users_from_events
     from mercato.streaming.audit_stream import decisions_stream, file_stream, start_audit_stream
@@ -426,7 +471,7 @@ def _access_audit_stream(wh, spark, sf_dir):
                                  spark)
     audit_path = scratch_path(spark, f"mercato/audit-{uuid.uuid4().hex}")
     start_audit_stream(decisions, audit_path).awaitTermination()
-    return read_audit(spark, audit_path)
+    return without_zone(read_audit(spark, audit_path))
 
 
 @query("query_audit_stream")
@@ -434,7 +479,7 @@ def _query_audit_stream(wh, spark, sf_dir):
     """Events as a file stream -> submitted statements -> screen -> audit sink."""
     import uuid
 
-    from mercato.plans.audit import read_audit
+    from mercato.plans.audit import read_audit, without_zone
     from mercato.session import scratch_path
     from mercato.sources.activity import query_log_from_events, users_from_events
     from mercato.streaming.audit_stream import file_stream, query_audit_stream, start_audit_stream
@@ -444,4 +489,4 @@ def _query_audit_stream(wh, spark, sf_dir):
     audited = query_audit_stream(query_log_from_events(stream), users_from_events(static_events))
     audit_path = scratch_path(spark, f"mercato/query-audit-{uuid.uuid4().hex}")
     start_audit_stream(audited, audit_path).awaitTermination()
-    return read_audit(spark, audit_path)
+    return without_zone(read_audit(spark, audit_path))

@@ -61,6 +61,21 @@ STATEMENTS = (
     "SELECT reflect('java.lang.System', 'getenv') FROM dim_date",
 )
 
+# Statements of which some fail when they are analysed ({e} is the event's type).
+FALLIBLE = (
+    "SELECT {e} FROM analytics.dim_product",
+    "SELECT category, revenue FROM vw_category_performance WHERE category <> '{e}'",
+    "SELECT {e}_rank(category) FROM dim_product",
+    "SELECT category, sum(revenue) AS revenue FROM vw_category_performance",
+    "SELECT order_month FROM vw_monthly_revenue WHERE order_month >",
+    "SELECT * FROM raw.{e}",
+    "SELECT count(*) AS n, '{e}' AS kind FROM dim_date;",
+    "SELECT date_key FROM dim_date WHERE is_weekend + 1 = 2",
+    "SELECT a.state FROM dim_customer a JOIN dim_seller b ON a.state = b.state WHERE state = '{e}'",
+    "SELECT state FROM vw_delivery_sla, raw.{e}",
+    "SELECT seller_id, revenue FROM vw_seller_scorecard ORDER BY {e}",
+)
+
 # How generated statements may arrive (fenced or bare).
 FENCES = (("```sql\n", "\n```"), ("```\n", "\n```"), ("", ""), ("  ", " ;\n"))
 
@@ -104,6 +119,14 @@ def query_log_from_events(events: DataFrame) -> DataFrame:
         F.col("ts").alias("created_at"))
 
 
+def failing_log_from_events(events: DataFrame) -> DataFrame:
+    """Statements over the event's type, as valid and as wrong as users write them."""
+    e = F.col("event_id")
+    text = F.replace(_pick(FALLIBLE, e), F.lit("{e}"), F.col("event_type"))
+    return events.select(e.cast("long").alias("id"), _user().alias("username"), text.alias("sql"),
+                         F.col("ts").alias("created_at"))
+
+
 def generated_log_from_events(events: DataFrame) -> DataFrame:
     """Questions with generated SQL text, fenced in the ways generators answer."""
     e = F.col("event_id")

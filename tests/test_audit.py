@@ -93,3 +93,52 @@ def test_a_day_gets_few_files(spark, scratch):
     append_audit(access_decisions(req, users(spark), permissions_frame(spark)), scratch + "/a")
     files = [f for _, _, fs in os.walk(scratch + "/a") for f in fs if f.endswith(".parquet")]
     assert len(files) == 1
+
+
+def test_reading_a_log_that_does_not_exist_is_empty(spark, scratch):
+    assert read_audit(spark, scratch + "/none").count() == 0
+
+
+# ---- statements with errors, and both routes as a whole ---------------------------
+
+def small_warehouse(spark):
+    from mercato.plans.registry import warehouse_for
+    from tests.conftest import SF_SMALL
+
+    return warehouse_for(spark, SF_SMALL)
+
+
+def test_a_batch_of_statements_and_its_bound(spark):
+    import pytest
+
+    from mercato.plans.statement_audit import TooManyStatements, audit_statements
+
+    wh = small_warehouse(spark)
+    texts = ["SELECT 1", "SELECT nothing FROM dim_date", "DROP TABLE x", "SELECT 1;", "SELECT 1", None,
+             "SELECT date_key FROM dim_date WHERE", "SELECT * FROM dim_date, parquet.`/etc`"]
+    log = spark.createDataFrame([(i, "a", t, T0) for i, t in enumerate(texts)] + [(90, "v", "SELECT 1", T0)],
+                                "id long, username string, sql string, created_at timestamp_ntz")
+    got = {r["id"]: (r["status"], r["detail"]) for r in audit_statements(wh, spark, log, users(spark)).collect()}
+    assert got[0] == got[4] == ("allowed", "SELECT 1") and got[3] == ("allowed", "SELECT 1;")
+    assert got[1] == ("error", "SELECT nothing FROM dim_date -> 42703 UNRESOLVED_COLUMN.WITH_SUGGESTION")
+    assert got[2][0] == "denied" and got[5][0] == "denied" and got[7][0] != "allowed" and 90 not in got
+    assert len(got) == len(texts)
+    with pytest.raises(TooManyStatements):
+        audit_statements(wh, spark, log, users(spark), max_statements=2)
+
+
+def test_both_routes_store_their_rows(spark, scratch):
+    from mercato.plans.adhoc import submit_query, submit_question
+    from mercato.plans.audit import newest_audit
+
+    wh, path = small_warehouse(spark), scratch + "/log"
+    submit_query(wh, spark, users(spark), path, 1, "a", "SELECT 1 AS one", T0)
+    submit_query(wh, spark, users(spark), path, 2, "v", "SELECT 1", T0)
+    submit_query(wh, spark, users(spark), path, 3, "a", "SELECT nothing FROM dim_date", T0)
+    submit_question(wh, spark, users(spark), path, 4, "a", "one?", "```sql\nSELECT 1 AS one\n```", T0)
+    submit_question(wh, spark, users(spark), path, 5, "v", "one?", "SELECT 1", T0)
+    submit_question(wh, spark, users(spark), path, 6, "a", "none?", "SELECT nothing FROM dim_date", T0)
+    got = {r["id"]: (r["action"], r["status"], r["role"]) for r in newest_audit(spark, path).collect()}
+    assert got == {1: ("query", "allowed", "analyst"), 2: ("query", "denied", "viewer"),
+                   3: ("query", "error", "analyst"), 4: ("nl-query", "allowed", "analyst"),
+                   5: ("nl-query", "denied", "viewer"), 6: ("nl-query", "error", "analyst")}

@@ -51,3 +51,19 @@ def test_query_audit_stream(spark, scratch):
     got = {r["id"]: (r["status"], r["detail"]) for r in read_audit(spark, scratch + "/audit").collect()}
     assert got == {1: ("allowed", "SELECT 1"),
                    2: ("denied", "DROP TABLE x -> only SELECT/WITH (read-only) queries are allowed")}
+
+
+def test_stream_is_compacted_as_it_goes(spark, scratch):
+    """Every second batch compacts; each request stays in the log once."""
+    from mercato.plans import audit_log
+
+    users = spark.createDataFrame([("v", "viewer", True)], "username string, role string, is_active boolean")
+    inbox, audit, ckpt = scratch + "/in", scratch + "/audit", scratch + "/ckpt"
+    for batch in range(6):
+        spark.createDataFrame([(batch, "v", "GET", "/metrics/aov", "", T0)], REQUESTS_SCHEMA).coalesce(1) \
+            .write.parquet(f"{inbox}/batch={batch}")
+    stream = file_stream(spark, inbox, REQUESTS_SCHEMA, max_files_per_trigger=1)
+    start_audit_stream(decisions_stream(stream, users, spark), audit, ckpt, compact_every=6).awaitTermination()
+    found = audit_log.snapshot(spark, audit)
+    assert found.last_batch(ckpt) == 5 and len(found.files) <= audit_log.MOST_FILES
+    assert sorted(r["id"] for r in read_audit(spark, audit).collect()) == list(range(6))
