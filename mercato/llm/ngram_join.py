@@ -557,9 +557,13 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 [pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "elements"])
 
     def of_nodes(wanted, fill, schema, name):
+        # A key finds one row unless rows repeat (id and text); only then is there
+        # something to drop, and the wide rows are shuffled for it.
         keys = firsts.join(wanted, "node", "left_semi").select("row_key")
-        return checkpointed(matching(texts, keys, "row_key").select("text").mapInArrow(tidied(fill), schema)
-                            .dropDuplicates(["node"]), name)
+        made = checkpointed(matching(texts, keys, "row_key").select("text").mapInArrow(tidied(fill), schema),
+                            name)
+        once = made.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+        return made if once else checkpointed(made.dropDuplicates(["node"]), name)
 
     nodes = of_nodes(in_bucket, sketches, "node long, size long, bits binary", "sketches")
     pairs = checkpointed(candidate_pairs(members, nodes, None, similarity), "pairs")
