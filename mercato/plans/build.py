@@ -5,6 +5,7 @@ Layout under ``root`` (a shared folder on the cluster)::
     root/build=<id>/raw/<table>/            Parquet copy of each landing table
     root/build=<id>/<dim>/                  the four dimensions
     root/build=<id>/fct_order_items/order_month=.../   the fact, by month
+    root/build=<id>/order_days/order_month=.../        delivered lines by order and date
     root/build=<id>/<view>/                 the four views, aggregated once
     root/build=<id>/_stage/                 inputs of later steps, dropped at the end
     root/build=<id>/_published/             written last: marks a complete build
@@ -28,8 +29,9 @@ from pyspark.sql import types as T
 
 from mercato.operators.keys import assert_primary_key
 from mercato.plans.model import Warehouse, model_tables, order_level
+from mercato.plans.rollup import ORDER_DAYS, monthly_from_days, order_days
 from mercato.plans.views import (category_aggregate, category_view, seller_aggregate, seller_view,
-                                 vw_delivery_sla, vw_monthly_revenue)
+                                 vw_delivery_sla)
 from mercato.schemas import DIMENSIONS, FACT, PRIMARY_KEYS
 from mercato.session import sized_shuffles
 from mercato.sources.fs import child_dirs, delete, exists, path_bytes
@@ -100,8 +102,9 @@ def _staged(df: DataFrame, path: str) -> DataFrame:
     return _read(df.sparkSession, path, df.schema)
 
 
-def _write_views(tables: dict[str, DataFrame], path: str) -> None:
-    """Aggregate the fact once per view; ranks read the written aggregates."""
+def _write_views(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Aggregate the fact once per view; ranks read the written aggregates and
+    the monthly view the order-level rollup, which is returned."""
     fact = tables[FACT]
 
     def categories():
@@ -112,23 +115,30 @@ def _write_views(tables: dict[str, DataFrame], path: str) -> None:
         measures = _staged(seller_aggregate(fact, tables["dim_seller"]), f"{path}/{STAGE}/sellers")
         _write(seller_view(measures), f"{path}/vw_seller_scorecard")
 
-    run_all({
+    def months():
+        days = order_days(fact)
+        _write_by_month(days, f"{path}/{ORDER_DAYS}", "order_date")
+        days = _read(fact.sparkSession, f"{path}/{ORDER_DAYS}", days.schema)
+        _write(monthly_from_days(days), f"{path}/vw_monthly_revenue")
+        return days
+
+    return run_all({
+        "vw_monthly_revenue": months,
         "vw_category_performance": categories,
         "vw_seller_scorecard": sellers,
-        "vw_monthly_revenue": lambda: _write(vw_monthly_revenue(fact), f"{path}/vw_monthly_revenue"),
         "vw_delivery_sla": lambda: _write(vw_delivery_sla(fact, tables["dim_customer"]),
                                           f"{path}/vw_delivery_sla"),
-    })
+    })["vw_monthly_revenue"]
 
 
-def _write_fact(df: DataFrame, path: str) -> None:
+def _write_by_month(df: DataFrame, path: str, time: str) -> None:
     # Rebalance by month (AQE splits big months, merges small ones) so each
     # month is written as a few advisory-sized files, not one per task; rows
     # sorted by purchase time inside each file give tight row-group ranges
     # for the timestamp predicates of bounded trends.
     out = (df.hint("rebalance", "order_month")
-             .sortWithinPartitions("order_month", "order_purchase_timestamp"))
-    _write(out, f"{path}/{FACT}", partition_by="order_month")
+             .sortWithinPartitions("order_month", time))
+    _write(out, path, partition_by="order_month")
 
 
 def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
@@ -155,14 +165,15 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
             tables = model_tables(landed, order_info)
             tasks = {dim: (lambda dim=dim: _write_dimension(spark, tables[dim], dim, path))
                      for dim in DIMENSIONS}
-            tasks[FACT] = lambda: _write_fact(tables[FACT], path)
+            tasks[FACT] = lambda: _write_by_month(tables[FACT], f"{path}/{FACT}",
+                                                  "order_purchase_timestamp")
             run_all(tasks)
             written = {name: _read(spark, f"{path}/{name}", tables[name].schema) for name in tasks}
-            _write_views(written, path)
+            written[ORDER_DAYS] = _write_views(written, path)
     marker = {"build_id": build_id, "analytics": analytics, "raw_rows": sum(counts.values()),
               # the schemas readers open the tables with, so nothing is inferred
               "schemas": json.dumps({**{f"raw/{t}": landed[t].schema.jsonValue() for t in raw},
-                                     **({n: tables[n].schema.jsonValue() for n in written}
+                                     **({n: tables.get(n, df).schema.jsonValue() for n, df in written.items()}
                                         if analytics else {}),
                                      **({n: spark.read.parquet(f"{path}/{n}").schema.jsonValue()
                                          for n in VIEWS} if analytics else {})})}
@@ -225,8 +236,11 @@ def load_warehouse(spark: SparkSession, root: str, build_id: str | None = None)
     names = [*DIMENSIONS, FACT, *VIEWS] if marker["analytics"] else []
     tables: dict = {name: (lambda name=name: _read(spark, f"{path}/{name}", schemas[name])
                            .select(*schemas[name].names)) for name in names}
+    rollup = None
+    if ORDER_DAYS in schemas:  # builds before it have none
+        rollup = lambda: _read(spark, f"{path}/{ORDER_DAYS}", schemas[ORDER_DAYS])
     return Warehouse(
-        tables=tables, raw={}, stored_views=marker["analytics"],
+        rollup=rollup, tables=tables, raw={}, stored_views=marker["analytics"],
         loader=lambda session: load_warehouse(session, root, build_id),
         raw_loaders={name.removeprefix("raw/"): (lambda name=name: _read(
             spark, f"{path}/{name}", schemas[name])) for name in schemas if name.startswith("raw/")})

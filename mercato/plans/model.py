@@ -140,6 +140,8 @@ class Warehouse:
     raw_loaders: dict = field(default_factory=dict, repr=False, compare=False)
     # Whether the views are tables of a build (else they are plans over the fact).
     stored_views: bool = False
+    # The stored order-level rollup (opened on first use), where a build has one.
+    rollup: DataFrame | Callable | None = field(default=None, repr=False, compare=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         """The object ``name``, planned on first access."""
@@ -153,6 +155,13 @@ class Warehouse:
     def fact(self) -> DataFrame:
         return self["fct_order_items"]
 
+    @property
+    def order_days(self) -> DataFrame | None:
+        """The stored order-level rollup, or None (plans then read the fact)."""
+        if callable(self.rollup):
+            self.rollup = self.rollup()
+        return self.rollup
+
     @property
     def payments(self) -> DataFrame:
         if "order_payments" not in self.raw:

@@ -392,6 +392,19 @@ for _name in ("fct_order_items", "dim_customer", "dim_date", "dim_product", "dim
     query(f"built_{_name}")(lambda wh, spark, sf_dir, _n=_name: built_for(spark, sf_dir)[_n])
 
 
+# Reports over the build's order-level rollup.
+for _name, _report in {
+    "revenue_trend_day": lambda wh: reports.revenue_trend(wh, "day"),
+    "revenue_trend_week": lambda wh: reports.revenue_trend(wh, "week"),
+    "revenue_trend_month_bounded": lambda wh: reports.revenue_trend(wh, "month", "1996-03-15", "1998-06-30"),
+    "aov_overall": reports.aov_overall,
+    "aov_by_category": reports.aov_by_category,
+    "aov_by_payment_type": reports.aov_by_payment_type,
+    "order_days": lambda wh: wh.order_days,
+}.items():
+    query(f"built_{_name}")(lambda wh, spark, sf_dir, _r=_report: _r(built_for(spark, sf_dir)))
+
+
 @query("built_top_sellers")
 def _built_top_sellers(wh, spark, sf_dir):
     return reports.seller_scorecard(built_for(spark, sf_dir), 20)

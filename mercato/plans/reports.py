@@ -17,6 +17,7 @@ from mercato.functions.dates import check_granularity, period_start
 from mercato.functions.numeric import money_ratio, pct
 from mercato.operators.ranking import top_k_ranked
 from mercato.plans.model import Warehouse
+from mercato.plans.rollup import first_in_period, per_period, summed
 from mercato.plans.views import (delivered_lines, is_delivered, seller_aggregate, sla_final,
                                  sla_measures, with_running_growth)
 
@@ -45,11 +46,29 @@ def revenue_trend(wh: Warehouse, granularity: str = "month", date_from=None,
     """Revenue and orders per day/week/month with running total and growth.
 
     Bounds are inclusive dates. Beside the exact timestamp predicate the same
-    bound is stated on ``order_month`` (the fact's partition column), so a
-    fact stored by month is pruned to the months in range.
+    bound is stated on ``order_month`` (the partition column), so a fact or an
+    order-level rollup stored by month is pruned to the months in range.
     """
     check_granularity(granularity)
     date_from, date_to = _as_date(date_from), _as_date(date_to)
+    days = wh.order_days
+    if days is None:
+        per = _trend_from_lines(wh.fact, granularity, date_from, date_to)
+    else:
+        if date_from is not None:
+            days = days.where((F.col("order_date") >= F.lit(date_from))
+                              & (F.col("order_month") >= F.lit(date_from.replace(day=1))))
+        if date_to is not None:
+            days = days.where((F.col("order_date") <= F.lit(date_to))
+                              & (F.col("order_month") <= F.lit(date_to.replace(day=1))))
+        per = per_period(days, granularity, date_from)
+    return (with_running_growth(per, "period")
+            .orderBy(F.col("period").asc_nulls_last())
+            .select("period", "revenue", "orders", "running_total_revenue", "mom_growth_pct"))
+
+
+def _trend_from_lines(fact: DataFrame, granularity: str, date_from, date_to) -> DataFrame:
+    """period, revenue, orders from the lines of the fact."""
     ts = F.col("order_purchase_timestamp")
     cond = is_delivered()
     if date_from is not None:
@@ -58,13 +77,10 @@ def revenue_trend(wh: Warehouse, granularity: str = "month", date_from=None,
     if date_to is not None:
         cond = cond & (ts < F.lit(date_to + dt.timedelta(days=1)).cast("timestamp_ntz"))
         cond = cond & (F.col("order_month") <= F.lit(date_to.replace(day=1)))
-    per = (wh.fact.where(cond)
-           .groupBy(period_start(ts, granularity).alias("period"))
-           .agg(F.sum("item_revenue").alias("revenue"),
-                F.count_distinct("order_id").alias("orders")))
-    return (with_running_growth(per, "period")
-            .orderBy(F.col("period").asc_nulls_last())
-            .select("period", "revenue", "orders", "running_total_revenue", "mom_growth_pct"))
+    return (fact.where(cond)
+            .groupBy(period_start(ts, granularity).alias("period"))
+            .agg(F.sum("item_revenue").alias("revenue"),
+                 F.count_distinct("order_id").alias("orders")))
 
 
 def top_categories(wh: Warehouse, limit: int = DEFAULT_TOP_CATEGORIES) -> DataFrame:
@@ -92,19 +108,26 @@ def seller_scorecard(wh: Warehouse, limit: int = DEFAULT_TOP_SELLERS) -> DataFra
 
 def aov_overall(wh: Warehouse) -> DataFrame:
     """Average order value over all delivered orders (always one row)."""
-    agg = delivered_lines(wh.fact).agg(F.sum("item_revenue").alias("revenue"),
-                                       F.count_distinct("order_id").alias("orders"))
+    days = wh.order_days
+    if days is None:
+        agg = delivered_lines(wh.fact).agg(F.sum("item_revenue").alias("revenue"),
+                                           F.count_distinct("order_id").alias("orders"))
+    else:
+        agg = days.agg(summed(days, "revenue"), F.count_if(first_in_period()).alias("orders"))
     return agg.select("revenue", "orders",
                       money_ratio(F.col("revenue"), F.col("orders")).alias("aov"))
 
 
 def aov_by_category(wh: Warehouse) -> DataFrame:
     """AOV per category; an order counts once in every category it touches."""
-    lines = delivered_lines(wh.fact).select("product_id", "order_id", "item_revenue")
-    agg = (lines.join(wh["dim_product"].select("product_id", "category"), "product_id")
-           .groupBy("category")
-           .agg(F.sum("item_revenue").alias("revenue"),
-                F.count_distinct("order_id").alias("orders")))
+    if wh.stored_views:  # the stored view has both measures
+        agg = wh["vw_category_performance"]
+    else:
+        lines = delivered_lines(wh.fact).select("product_id", "order_id", "item_revenue")
+        agg = (lines.join(wh["dim_product"].select("product_id", "category"), "product_id")
+               .groupBy("category")
+               .agg(F.sum("item_revenue").alias("revenue"),
+                    F.count_distinct("order_id").alias("orders")))
     return (agg.orderBy(F.col("revenue").desc_nulls_first(), "category")
             .select("category", money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
                     "orders", "revenue"))
@@ -114,15 +137,22 @@ def aov_by_payment_type(wh: Warehouse) -> DataFrame:
     """AOV per primary payment type (payment_sequential = 1).
 
     Revenue is first reduced to one row per order; the join with the primary
-    payment then runs on the aggregate's own order_id partitioning.
+    payment then runs on the aggregate's own order_id partitioning. The stored
+    rollup is joined as it is: an order counts by its first row.
     """
-    order_rev = (delivered_lines(wh.fact).groupBy("order_id")
-                 .agg(F.sum("item_revenue").alias("order_revenue")))
+    days = wh.order_days
+    if days is None:
+        order_rev = (delivered_lines(wh.fact).groupBy("order_id")
+                     .agg(F.sum("item_revenue").alias("order_revenue"))
+                     .withColumn("counted", F.lit(True)))
+    else:
+        order_rev = days.select("order_id", F.col("revenue").alias("order_revenue"),
+                                first_in_period().alias("counted"))
     primary = (wh.payments.where(F.col("payment_sequential") == 1)
                .select("order_id", "payment_type"))
     agg = (order_rev.join(primary, "order_id").groupBy("payment_type")
            .agg(F.sum("order_revenue").alias("revenue"),
-                F.count(F.lit(1)).alias("orders")))
+                F.count_if("counted").alias("orders")))
     return (agg.orderBy(F.col("revenue").desc_nulls_first(), "payment_type")
             .select("payment_type", money_ratio(F.col("revenue"), F.col("orders")).alias("aov"),
                     "orders", "revenue"))
