@@ -166,7 +166,7 @@ def possible_bands(similarity: Similarity, number: int) -> list[Band]:
     """The band of this number under every possible cut."""
     low, high = _band_sizes(number)
     apart = similarity.apart(high + high * similarity.den // similarity.num)
-    bits = max(64, 1 << (4 * max(1, apart) - 1).bit_length())
+    bits = max(64, 1 << (8 * max(1, apart) - 1).bit_length())
     return [Band(low, high, apart, exact, single, bits) for exact, single in cuts(low, apart)]
 
 
