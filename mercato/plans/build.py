@@ -12,7 +12,12 @@ Layout under ``root`` (a shared folder on the cluster)::
 
 A build is all-or-nothing: readers only see builds carrying ``_published``,
 and it is written after every table (and every key check) succeeded, so a
-failed build leaves the previous one in place. Each written table also cuts
+failed build leaves the previous one in place. Two builds at once do not both
+publish: a build notes the newest version under ``root.versions/`` when it
+starts and claims the next one, by a file that only one writer can make, before
+it writes ``_published``; the other raises BuildConflict and stays invisible.
+The newest build is the one with the largest version, whatever its id (builds
+made before versions existed come first, by id). Each written table also cuts
 the lineage: reports read Parquet, never the CSV parse or the build joins.
 """
 
@@ -33,14 +38,19 @@ from mercato.plans.rollup import ORDER_DAYS, monthly_from_days, order_days
 from mercato.plans.views import (category_aggregate, category_view, seller_aggregate, seller_view,
                                  vw_delivery_sla)
 from mercato.schemas import DIMENSIONS, FACT, PRIMARY_KEYS
-from mercato.session import sized_shuffles
-from mercato.sources.fs import child_dirs, delete, exists, path_bytes
+from mercato.session import sized_session
+from mercato.sources.fs import (FileExists, child_dirs, child_files, create_new, delete, exists,
+                                path_bytes, read_text)
 
 PUBLISHED = "_published"
 STAGE = "_stage"
 VIEWS = ("vw_monthly_revenue", "vw_category_performance", "vw_seller_scorecard", "vw_delivery_sla")
 
 
+class BuildConflict(RuntimeError):
+    """Another build was published since this one started."""
+
+
 @dataclass
 class BuildResult:
     build_id: str
@@ -141,6 +151,24 @@ def _write_by_month(df: DataFrame, path: str, time: str) -> None:
     _write(out, path, partition_by="order_month")
 
 
+def _versions(spark: SparkSession, root: str) -> dict[str, int]:
+    """The version that each build has claimed."""
+    folder = f"{root.rstrip('/')}.versions"
+    return {json.loads(read_text(spark, f"{folder}/{name}"))["build_id"]: int(name.removesuffix(".json"))
+            for name in sorted(child_files(spark, folder)) if name.endswith(".json")}
+
+
+def _claim(spark: SparkSession, root: str, version: int, build_id: str) -> None:
+    """Make ``version`` this build's; only one build can."""
+    path = f"{root.rstrip('/')}.versions/{version:020d}.json"
+    try:
+        create_new(spark, path, json.dumps({"build_id": build_id}))
+    except FileExists:
+        winner = json.loads(read_text(spark, path))["build_id"]
+        raise BuildConflict(f"build {build_id} under {root} is not published: build {winner} "
+                            "was, since this one started") from None
+
+
 def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
           analytics: bool = True, build_id: str | None = None) -> BuildResult:
     """Materialise a complete warehouse build under ``root`` and publish it.
@@ -150,26 +178,31 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     """
     build_id = build_id or new_build_id()
     path = f"{root.rstrip('/')}/build={build_id}"
+    base = max(_versions(spark, root).values(), default=0)
     counts = land_raw(raw, path)
-    landed = {t: spark.read.parquet(f"{path}/raw/{t}") for t in raw}
     if analytics:
-        # the fact joins lines, orders and reviews: size its shuffles from them
+        # The fact joins lines, orders and reviews: its shuffles are sized from
+        # them, in a session of this build's own, so builds at once do not mix.
         join_bytes = sum(path_bytes(spark, f"{path}/raw/{t}")
                          for t in ("order_items", "orders", "order_reviews"))
-        with sized_shuffles(spark, join_bytes):
-            # The order-level table (one row per order) is written first, so the
-            # fact is one join of two scans: AQE then splits the partition of an
-            # order holding a large share of all lines.
-            order_info = _staged(order_level(landed["orders"], landed["order_reviews"]),
-                                 f"{path}/{STAGE}/order_info")
-            tables = model_tables(landed, order_info)
-            tasks = {dim: (lambda dim=dim: _write_dimension(spark, tables[dim], dim, path))
-                     for dim in DIMENSIONS}
-            tasks[FACT] = lambda: _write_by_month(tables[FACT], f"{path}/{FACT}",
-                                                  "order_purchase_timestamp")
-            run_all(tasks)
-            written = {name: _read(spark, f"{path}/{name}", tables[name].schema) for name in tasks}
-            written[ORDER_DAYS] = _write_views(written, path)
+        own = sized_session(spark, join_bytes)
+    else:
+        own = spark
+    landed = {t: own.read.parquet(f"{path}/raw/{t}") for t in raw}
+    if analytics:
+        # The order-level table (one row per order) is written first, so the
+        # fact is one join of two scans: AQE then splits the partition of an
+        # order holding a large share of all lines.
+        order_info = _staged(order_level(landed["orders"], landed["order_reviews"]),
+                             f"{path}/{STAGE}/order_info")
+        tables = model_tables(landed, order_info)
+        tasks = {dim: (lambda dim=dim: _write_dimension(own, tables[dim], dim, path))
+                 for dim in DIMENSIONS}
+        tasks[FACT] = lambda: _write_by_month(tables[FACT], f"{path}/{FACT}",
+                                              "order_purchase_timestamp")
+        run_all(tasks)
+        written = {name: _read(own, f"{path}/{name}", tables[name].schema) for name in tasks}
+        written[ORDER_DAYS] = _write_views(written, path)
     marker = {"build_id": build_id, "analytics": analytics, "raw_rows": sum(counts.values()),
               # the schemas readers open the tables with, so nothing is inferred
               "schemas": json.dumps({**{f"raw/{t}": landed[t].schema.jsonValue() for t in raw},
@@ -177,6 +210,7 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
                                         if analytics else {}),
                                      **({n: spark.read.parquet(f"{path}/{n}").schema.jsonValue()
                                          for n in VIEWS} if analytics else {})})}
+    _claim(spark, root, base + 1, build_id)
     spark.createDataFrame([marker], "build_id string, analytics boolean, raw_rows long, schemas string") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/{PUBLISHED}")
     delete(spark, f"{path}/{STAGE}")
@@ -187,13 +221,14 @@ def retire_builds(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     """Delete superseded and failed builds and leftover staging folders.
 
     The newest ``keep`` published builds stay. An unpublished build older than
-    the newest published one has failed and goes; a newer one may be running
-    and stays. Returns the deleted paths.
+    the newest published one has failed, or would lose to it, and goes; a newer
+    one may be running, and one that has claimed its version may be about to
+    publish: they stay. Returns the deleted paths.
     """
     if keep < 1:
         raise ValueError("at least one published build must be kept")
     published = published_builds(spark, root)
-    kept = set(published[-keep:])
+    kept, claimed = set(published[-keep:]), _versions(spark, root)
     gone = []
     for name in sorted(child_dirs(spark, root)):
         build_id = name.removeprefix("build=")
@@ -202,7 +237,7 @@ def retire_builds(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
             continue
         if build_id in kept:
             path = f"{path}/{STAGE}"
-        elif build_id > published[-1]:
+        elif build_id not in published and (build_id > published[-1] or build_id in claimed):
             continue
         if delete(spark, path):
             gone.append(path)
@@ -210,10 +245,13 @@ def retire_builds(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
 
 
 def published_builds(spark: SparkSession, root: str) -> list[str]:
+    """Ids of the published builds, oldest version first."""
     ids = [name.split("=", 1)[1] for name in child_dirs(spark, root)
            if name.startswith("build=")]
-    return sorted(i for i in ids
-                  if exists(spark, f"{root.rstrip('/')}/build={i}/{PUBLISHED}/_SUCCESS"))
+    versions = _versions(spark, root)
+    return sorted((i for i in ids
+                   if exists(spark, f"{root.rstrip('/')}/build={i}/{PUBLISHED}/_SUCCESS")),
+                  key=lambda i: (versions.get(i, 0), i))
 
 
 def load_warehouse(spark: SparkSession, root: str, build_id: str | None = None) -> Warehouse:

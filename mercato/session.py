@@ -118,3 +118,22 @@ def sized_shuffles(spark: SparkSession, input_bytes: int):
             spark.conf.unset(_INITIAL_PARTITIONS)
         else:
             spark.conf.set(_INITIAL_PARTITIONS, previous)
+
+
+def sized_session(spark: SparkSession, input_bytes: int) -> SparkSession:
+    """A session like ``spark`` whose shuffles start with enough partitions for
+    ``input_bytes`` of Parquet input.
+
+    Raises AQE's initial partition number (never lowers it) so that each
+    shuffle partition of a large job fits an executor's memory; AQE still
+    coalesces the small ones. The settings of ``spark`` are copied and stay as
+    they are, so jobs that run at once in it are not affected.
+    """
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    wanted = math.ceil(input_bytes * SHUFFLE_EXPANSION / SHUFFLE_PARTITION_BYTES)
+    current = int(spark.conf.get(_INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set(_INITIAL_PARTITIONS, str(max(wanted, current)))
+    return session

@@ -236,3 +236,77 @@ def test_reviews_are_read_by_many_tasks(spark, scratch):
     key = lambda r: r[0]
     assert splits > 50 and len(got) == 400
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_two_builds_at_once_one_is_published(spark, scratch, monkeypatch):
+    """The one that claims first wins, whether it started first or last."""
+    from mercato.plans import build as module
+
+    raw = raw_from_testdata(spark, SF_SMALL)
+    land = module.land_raw
+
+    def race(root, first, last):
+        """Build ``last`` wholly while build ``first`` is landing."""
+        def landing(tables, path):
+            counts = land(tables, path)
+            monkeypatch.setattr(module, "land_raw", land)
+            build(spark, raw, root, analytics=False, build_id=last)
+            return counts
+
+        monkeypatch.setattr(module, "land_raw", landing)
+        with pytest.raises(module.BuildConflict, match=f"build {last} was"):
+            build(spark, raw, root, build_id=first)
+
+    for first, last in (("1", "2"), ("2", "1")):
+        root = f"{scratch}/wh{first}"
+        race(root, first, last)
+        assert published_builds(spark, root) == [last]
+        with pytest.raises(FileNotFoundError):
+            load_warehouse(spark, root, first)
+        # the loser starts again, on top of the winner: newest whatever its id
+        build(spark, raw, root, analytics=False, build_id="0")
+        assert published_builds(spark, root) == [last, "0"]
+        assert load_warehouse(spark, root).raw_loaders["sellers"]().count() == raw["sellers"].count()
+
+
+def test_one_claim_of_many_succeeds(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from mercato.plans.build import BuildConflict, _claim, _versions
+
+    def claim(i):
+        try:
+            _claim(spark, scratch + "/wh", 1, str(i))
+            return str(i)
+        except BuildConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [w for w in pool.map(claim, range(16)) if w]
+    assert len(won) == 1 and _versions(spark, scratch + "/wh") == {won[0]: 1}
+
+
+def test_claimed_build_is_not_retired(spark, scratch):
+    """A build between its claim and its marker stays; builds without a version are the oldest."""
+    from mercato.plans.build import _claim, retire_builds
+
+    raw, root = raw_from_testdata(spark, SF_SMALL), scratch + "/wh"
+    spark.range(1).write.parquet(f"{root}/build=9/_published")  # of before versions
+    spark.range(1).write.parquet(f"{root}/build=0/raw/x")
+    _claim(spark, root, 1, "0")
+    build(spark, raw, root, analytics=False, build_id="5")
+    assert published_builds(spark, root) == ["9", "5"]
+    gone = [os.path.relpath(p, root) for p in retire_builds(spark, root, 1)]
+    assert gone == ["build=9"] and os.path.exists(f"{root}/build=0/raw/x")
+
+
+def test_build_leaves_the_session_settings(spark, scratch):
+    from mercato.session import SHUFFLE_PARTITION_BYTES, sized_session
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.getAll
+    own = sized_session(spark, 1000 * SHUFFLE_PARTITION_BYTES)
+    other = sized_session(spark, 0)
+    assert int(own.conf.get(name)) == 3000 and int(other.conf.get(name)) < 3000
+    assert own.conf.get("spark.sql.ansi.enabled") == spark.conf.get("spark.sql.ansi.enabled")
+    assert own.conf.get("spark.sql.session.timeZone") == "UTC" and spark.conf.getAll == before
