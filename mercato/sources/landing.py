@@ -51,6 +51,10 @@ def multiline_records(spark: SparkSession, path: str) -> DataFrame:
     file (an escaped quote is two). Quotes are counted per split; the splits'
     totals (one row per split) give every split its starting parity and the
     record that its first lines may continue. ``first`` marks a file's header.
+
+    A record of one line, whose next line in the split begins another, stays
+    where its split was counted; only the lines of longer records and the last
+    line of a split are shuffled by record.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
@@ -65,18 +69,24 @@ def multiline_records(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("quotes").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     marked = (lines.join(parity, ["file", "split"])
               .withColumn("starts", F.when((F.col("q_before") + before) % 2 == 0, 1).otherwise(0))
-              .withColumn("nth", F.sum("starts").over(here)))
+              .withColumn("nth", F.sum("starts").over(here))
+              .withColumn("single", (F.col("starts") == 1)
+                          & F.coalesce(F.lead("starts").over(here) == 1, F.lit(False))))
     opened = marked.groupBy("file", "split").agg(F.max("nth").alias("n")).select(
         "file", "split", F.last(F.when(F.col("n") > 0, F.struct("split", F.col("n").alias("nth"))),
                                 ignorenulls=True).over(earlier).alias("open"))
     own = F.struct("split", "nth")
-    keyed = marked.join(opened, ["file", "split"]).withColumn(
+    keyed = marked.where(~F.col("single")).join(opened, ["file", "split"]).withColumn(
         "key", F.when(F.col("nth") > 0, own).otherwise(F.col("open")))
     records = keyed.groupBy("file", "key").agg(
         F.array_sort(F.collect_list(F.struct("split", "at", "value"))).alias("parts"))
-    text = F.rtrim(F.array_join("parts.value", "\n"), F.lit("\r"))
-    return records.select("file", text.alias("record"),
-                          ((F.col("key.split") == 0) & (F.col("key.nth") == 1)).alias("first"))
+
+    def record(text, at_split, nth):
+        return ["file", F.rtrim(text, F.lit("\r")).alias("record"),
+                ((F.col(at_split) == 0) & (F.col(nth) == 1)).alias("first")]
+
+    return (marked.where("single").select(*record(F.col("value"), "split", "nth"))
+            .unionByName(records.select(*record(F.array_join("parts.value", "\n"), "key.split", "key.nth"))))
 
 
 def _read_multiline(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -104,11 +114,20 @@ def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return df.select(*cols)
 
 
+# A compressed part is read by one task, so its rows are bounded.
+PART_ROWS = 500_000
+
+
 def write_csv_table(df: DataFrame, directory: str, table: str) -> None:
-    """Export one landing table as a folder of CSV parts in the source's format."""
+    """Export one landing table as a folder of CSV parts in the source's format.
+
+    Parts are gzip files of at most PART_ROWS rows: a large table becomes many
+    parts, which are read side by side.
+    """
     columns = [f.name for f in RAW_SCHEMAS[table].fields]
     (df.select(*columns).write.option("header", True).option("quote", '"').option("escape", '"')
        .option("nullValue", "").option("emptyValue", '""')
+       .option("compression", "gzip").option("maxRecordsPerFile", PART_ROWS)
        .csv(f"{directory.rstrip('/')}/{RAW_FILES[table]}"))
 
 
