@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.operators.keys import assert_primary_key
-from mercato.plans.model import Warehouse, model_tables, order_level
+from mercato.plans.model import (Warehouse, joined_lines, model_tables, order_level,
+                                 with_measures)
 from mercato.plans.rollup import ORDER_DAYS, monthly_from_days, order_days
 from mercato.plans.views import (category_aggregate, category_view, seller_aggregate, seller_view,
                                  vw_delivery_sla)
 from mercato.schemas import DIMENSIONS, FACT, PRIMARY_KEYS
-from mercato.session import sized_session
+from mercato.session import SHUFFLE_EXPANSION, sized_session
 from mercato.sources.fs import (FileExists, child_dirs, child_files, create_new, delete, exists,
                                 path_bytes, read_text)
 
@@ -47,6 +48,12 @@ STAGE = "_stage"
 VIEWS = ("vw_monthly_revenue", "vw_category_performance", "vw_seller_scorecard", "vw_delivery_sla")
 
 
+# A joined row in memory, and the shuffled bytes of a partition that one task
+# sorts (a fact row takes six to eight times its shuffled size in memory).
+JOINED_ROW_BYTES = 128
+SORTED_BYTES = 32 * 1024 * 1024
+
+
 class BuildConflict(RuntimeError):
     """Another build was published since this one started."""
 
@@ -67,7 +74,7 @@ def new_build_id() -> str:
 
 
 def _write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
@@ -141,14 +148,23 @@ def _write_views(tables: dict[str, DataFrame], path: str) -> DataFrame:
     })["vw_monthly_revenue"]
 
 
-def _write_by_month(df: DataFrame, path: str, time: str) -> None:
+def _by_month(df: DataFrame, time: str) -> DataFrame:
     # Rebalance by month (AQE splits big months, merges small ones) so each
     # month is written as a few advisory-sized files, not one per task; rows
     # sorted by purchase time inside each file give tight row-group ranges
     # for the timestamp predicates of bounded trends.
-    out = (df.hint("rebalance", "order_month")
-             .sortWithinPartitions("order_month", time))
-    _write(out, path, partition_by="order_month")
+    return (df.hint("rebalance", "order_month")
+              .sortWithinPartitions("order_month", time))
+
+
+def _write_by_month(df: DataFrame, path: str, time: str) -> None:
+    _write(_by_month(df, time), path, partition_by="order_month")
+
+
+def fact_by_month(order_items: DataFrame, order_info: DataFrame) -> DataFrame:
+    """The fact as it is written: joined lines are moved and sorted by month,
+    and the measures, which follow from each row, are added after that."""
+    return with_measures(_by_month(joined_lines(order_items, order_info), "order_purchase_timestamp"))
 
 
 def _versions(spark: SparkSession, root: str) -> dict[str, int]:
@@ -183,9 +199,11 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     if analytics:
         # The fact joins lines, orders and reviews: its shuffles are sized from
         # them, in a session of this build's own, so builds at once do not mix.
-        join_bytes = sum(path_bytes(spark, f"{path}/raw/{t}")
-                         for t in ("order_items", "orders", "order_reviews"))
-        own = sized_session(spark, join_bytes)
+        # Well packed Parquet says little of the rows in memory: they count too.
+        joined = ("order_items", "orders", "order_reviews")
+        join_bytes = max(sum(path_bytes(spark, f"{path}/raw/{t}") for t in joined),
+                         sum(counts[t] for t in joined) * JOINED_ROW_BYTES // SHUFFLE_EXPANSION)
+        own = sized_session(spark, join_bytes, SORTED_BYTES)
     else:
         own = spark
     landed = {t: own.read.parquet(f"{path}/raw/{t}") for t in raw}
@@ -198,8 +216,8 @@ def build(spark: SparkSession, raw: dict[str, DataFrame], root: str,
         tables = model_tables(landed, order_info)
         tasks = {dim: (lambda dim=dim: _write_dimension(own, tables[dim], dim, path))
                  for dim in DIMENSIONS}
-        tasks[FACT] = lambda: _write_by_month(tables[FACT], f"{path}/{FACT}",
-                                              "order_purchase_timestamp")
+        tasks[FACT] = lambda: _write(fact_by_month(landed["order_items"], order_info), f"{path}/{FACT}",
+                                     partition_by="order_month")
         run_all(tasks)
         written = {name: _read(own, f"{path}/{name}", tables[name].schema) for name in tasks}
         written[ORDER_DAYS] = _write_views(written, path)

@@ -95,8 +95,8 @@ def order_level(orders: DataFrame, reviews: DataFrame) -> DataFrame:
     return o.join(order_review_scores(reviews), "order_id", "left")
 
 
-def fact_from_lines(order_items: DataFrame, order_info: DataFrame) -> DataFrame:
-    """Order lines joined with their order's row, plus the derived measures.
+def joined_lines(order_items: DataFrame, order_info: DataFrame) -> DataFrame:
+    """Order lines with their order's row and month, without derived measures.
 
     When ``order_info`` is read from storage (as the build does), this is one
     join of two scans, so AQE splits the partition of an order that holds a
@@ -104,15 +104,19 @@ def fact_from_lines(order_items: DataFrame, order_info: DataFrame) -> DataFrame:
     """
     oi = order_items.select("order_id", "order_item_id", "product_id", "seller_id",
                             "price", "freight_value")
+    return oi.join(order_info, "order_id", "inner").withColumn(
+        "order_month", F.trunc(F.to_date("order_purchase_timestamp"), "month"))
+
+
+def with_measures(joined: DataFrame) -> DataFrame:
+    """The fact: ``joined_lines`` plus the measures derived from each row alone."""
     purchase = F.col("order_purchase_timestamp")
     delivered = F.col("order_delivered_customer_date")
     estimate = F.col("order_estimated_delivery_date")
-    joined = oi.join(order_info, "order_id", "inner")
     return joined.select(
         "order_id", "order_item_id", "product_id", "seller_id", "customer_id",
         "order_status", "order_purchase_timestamp",
-        F.to_date(purchase).alias("order_date"),
-        F.trunc(F.to_date(purchase), "month").alias("order_month"),
+        F.to_date(purchase).alias("order_date"), "order_month",
         "order_approved_at", "order_delivered_customer_date",
         "order_estimated_delivery_date", "price", "freight_value",
         (F.col("price") + F.col("freight_value")).alias("item_revenue"),
@@ -126,6 +130,11 @@ def fact_from_lines(order_items: DataFrame, order_info: DataFrame) -> DataFrame:
         "avg_review_score")
 
 
+def fact_from_lines(order_items: DataFrame, order_info: DataFrame) -> DataFrame:
+    """Order lines joined with their order's row, plus the derived measures."""
+    return with_measures(joined_lines(order_items, order_info))
+
+
 @dataclass
 class Warehouse:
     """The analytics objects plus the one raw table a report reads directly."""

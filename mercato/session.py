@@ -93,6 +93,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 SHUFFLE_PARTITION_BYTES = 256 * 1024 * 1024
 # Columnar Parquet bytes grow when rows are shuffled (decoded, row format).
 SHUFFLE_EXPANSION = 3
+_ADVISORY_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -120,14 +121,15 @@ def sized_shuffles(spark: SparkSession, input_bytes: int):
             spark.conf.set(_INITIAL_PARTITIONS, previous)
 
 
-def sized_session(spark: SparkSession, input_bytes: int) -> SparkSession:
+def sized_session(spark: SparkSession, input_bytes: int, most_bytes: int | None = None) -> SparkSession:
     """A session like ``spark`` whose shuffles start with enough partitions for
     ``input_bytes`` of Parquet input.
 
     Raises AQE's initial partition number (never lowers it) so that each
     shuffle partition of a large job fits an executor's memory; AQE still
-    coalesces the small ones. The settings of ``spark`` are copied and stay as
-    they are, so jobs that run at once in it are not affected.
+    coalesces the small ones, to ``most_bytes`` each at most (without it: to
+    the session's advisory size). The settings of ``spark`` are copied and stay
+    as they are, so jobs that run at once in it are not affected.
     """
     session = spark.newSession()
     for key, value in spark.conf.getAll.items():
@@ -136,4 +138,9 @@ def sized_session(spark: SparkSession, input_bytes: int) -> SparkSession:
     wanted = math.ceil(input_bytes * SHUFFLE_EXPANSION / SHUFFLE_PARTITION_BYTES)
     current = int(spark.conf.get(_INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set(_INITIAL_PARTITIONS, str(max(wanted, current)))
+    if most_bytes is not None:
+        given = spark.conf.get(_ADVISORY_BYTES)
+        number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", given.strip().lower()).groups()
+        size = int(number) * 1024 ** "bkmgtp".index(unit[:1] or "b")
+        session.conf.set(_ADVISORY_BYTES, str(min(size, most_bytes)))
     return session
