@@ -41,19 +41,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates: the one with the smallest
     id (null ids last; of rows that repeat an id, by a hash of the text; of
     equal rows, one). Documents without words are no duplicates."""
+    total = docs.count()
     groups = checkpointed(similarity_groups(
-        docs, k=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100), "groups").where("group is not null")
+        docs, k=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100), "groups", total).where("group is not null")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     first = (groups.groupBy("group").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").select("group", F.col("k.row_key").alias("first_key")))
     gone = groups.join(first, "group").where("row_key <> first_key").select(
         F.col("row_key").alias("__key"))
-    kept = matching(docs.withColumn("__key", row_key("doc_id", "text")), gone, "__key", "left_anti")
+    kept = matching(docs.withColumn("__key", row_key("doc_id", "text")), gone, "__key", "left_anti",
+                    total)
     repeated = checkpointed(groups.groupBy(F.col("row_key").alias("__key")).agg(
-        F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "repeated")
+        F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "repeated", total)
     if not repeated.isEmpty():
-        kept = matching(kept, repeated, "__key", "left_anti").unionByName(
-            matching(kept, repeated, "__key").dropDuplicates(["__key"]))
+        kept = matching(kept, repeated, "__key", "left_anti", total).unionByName(
+            matching(kept, repeated, "__key", rows=total).dropDuplicates(["__key"]))
     return kept.select(*docs.columns)
 
 

@@ -9,13 +9,14 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.session import checkpoint_dir, configure
 
 __all__ = ["BoundedMemo", "acyclic", "bounded_batches", "checkpointed", "connected_components", "documents",
-           "exact_products", "held", "matching", "read", "tidied"]
+           "exact_products", "few_files", "held", "matching", "read", "tidied"]
 
 
 # Rows and bytes handed to a Python worker at a time, where the session does not say.
@@ -42,12 +43,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
+ROWS_PER_FILE = 20_000
+
+
+def few_files(df: DataFrame, rows: int, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """``df`` in no more partitions than about ``rows`` rows need (a guess will
+    do: every row stays). Each file that a task writes can cost a process of its
+    own (``chmod``, on stores without native calls), which for a moment counts
+    as much memory as the executor that starts it."""
+    return df.coalesce(max(1, -(-rows // per_file)))
+
+
+def checkpointed(df: DataFrame, name: str, rows: int | None = None,
+                 per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write ``df`` under the cluster's shared checkpoint folder and read it back.
 
     Lineage ends at the written files, so an executor lost later costs no
-    recomputation, and every later branch sees the very same rows.
+    recomputation, and every later branch sees the very same rows. ``rows``:
+    about how many there are, where that is known (see few_files).
     """
+    if rows is not None:
+        df = few_files(df, rows, per_file)
     spark = df.sparkSession
     bounded_batches(spark)
     path = os.path.join(checkpoint_dir(spark), "mercato-llm", f"{name}-{uuid.uuid4().hex}")
@@ -59,11 +75,13 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def matching(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+def matching(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi",
+             rows: int | None = None) -> DataFrame:
     """Rows of ``df`` whose ``column`` is (``left_semi``) or is not
     (``left_anti``) in the one-column table ``ids``. The ids are counted first:
-    up to BROADCAST_IDS they are broadcast, so that ``df`` is not shuffled."""
-    ids = checkpointed(ids.distinct(), "ids")
+    up to BROADCAST_IDS they are broadcast, so that ``df`` is not shuffled.
+    ``rows``: about how many ids there are at most, where that is known."""
+    ids = checkpointed(ids.distinct(), "ids", rows)
     few = ids.count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), column, how)
 
@@ -92,6 +110,7 @@ def tidied(run):
             yield from run(batches)
         finally:
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            pa.default_memory_pool().release_unused()
             if trim is not None:
                 trim(0)
 
@@ -152,7 +171,7 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return whole(a) @ whole(b).T
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
     """(id, component): the smallest id reachable over undirected links.
 
     Only ids that occur in a link are returned. Each round points every
@@ -162,7 +181,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     with very many links is reduced by the map-side minimum, and the joins
     back are plain sort-merge joins that AQE may split. Each round is written
     to the shared checkpoint folder; only one (count, checksum) row per round
-    reaches the driver.
+    reaches the driver. ``rows``: about how many links there are, where that is
+    known.
     """
     def state(df):
         row = df.agg(F.count(F.lit(1)).alias("n"),
@@ -172,7 +192,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = (links.select(F.greatest(a, b).cast("long").alias("hi"),
                           F.least(a, b).cast("long").alias("lo"))
              .where("hi > lo").distinct())
-    edges = checkpointed(edges, "cc")
+    edges = checkpointed(edges, "cc", rows)
     seen = state(edges)
     while seen[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
@@ -184,7 +204,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         small = (large.join(least, "hi").where("lo <> m")
                  .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                  .unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
-        edges = checkpointed(small, "cc")
+        edges = checkpointed(small, "cc", seen[0])
         now = state(edges)
         if now == seen:
             break

@@ -35,7 +35,8 @@ Z_REJECT = 8.0
 UNDETERMINED = "und"
 _SIZE = 1 << (BITS * ORDER)
 _TABLE: list[np.ndarray] = []
-SYMBOLS = 1 << 18  # counted or scored at a time
+SYMBOLS = 1 << 18  # counted at a time
+SCORED = 1 << 16  # scored at a time
 _CACHED_ROWS = 1 << 20  # four-grams whose probabilities a worker remembers
 
 
@@ -163,22 +164,24 @@ class Scorer:
     def __init__(self, models: dict[str, list[dict]]):
         self.langs = sorted(models)
         self.models = [models[lang] for lang in self.langs]
-        self.index = np.full(_SIZE, -1, np.int32)
+        # Row of a four-gram, from 1; 0: none. Few parts of the table are ever written, and
+        # those that are not take no memory.
+        self.index = np.zeros(_SIZE, np.int32)
         self.table = np.empty((0, len(self.langs)), np.float32)
 
     def _rows(self, keys: np.ndarray) -> np.ndarray:
         at = self.index[keys]
-        if (at < 0).any():
-            new = np.unique(keys[at < 0]).astype(np.int64)
+        if not at.all():
+            new = np.unique(keys[at == 0]).astype(np.int64)
             if len(self.table) + len(new) > max(_CACHED_ROWS, len(new)):
-                self.index.fill(-1)
+                self.index = np.zeros(_SIZE, np.int32)
                 self.table = self.table[:0]
                 new = np.unique(keys).astype(np.int64)
             found = np.stack([log_probabilities(m, new) for m in self.models], axis=1)
-            self.index[new] = np.arange(len(self.table), len(self.table) + len(new))
+            self.index[new] = np.arange(1, len(new) + 1) + len(self.table)
             self.table = np.concatenate([self.table, found.astype(np.float32)])
             at = self.index[keys]
-        return self.table[at]
+        return self.table[at - 1]
 
     def entropies(self, texts: list[str | None]):
         """(symbols, cross-entropy per language, its mean square) for each text."""
@@ -204,7 +207,7 @@ class Scorer:
             if len(found):
                 waiting.append((i, found))
                 held_symbols += len(found)
-                if held_symbols >= SYMBOLS:
+                if held_symbols >= SCORED:
                     score()
                     held_symbols = 0
         score()

@@ -40,6 +40,9 @@ PAIR_COST = 0.04  # of a pair compared in a bucket, in index rows
 SHARES = (0.0, 0.5, 1.0)
 PROBED = 2  # segments of either kind whose meetings are counted
 PROBED_KEYS = 8  # one in so many of a one-deletion segment's keys
+# For the number of files alone: buckets a set is usually in, pairs of sets in a file.
+BUCKETS = 8
+PAIRS_PER_FILE = 5_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -452,6 +455,7 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     by_band = {r["band"]: (r["n"], r["largest"]) for r in described.where("node is not null")
                .groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest")).collect()}
     largest = max((v[1] for v in by_band.values()), default=0)
+    total = sum(v[0] for v in by_band.values())
     bands = chosen_bands(similarity, largest, {b: v[0] for b, v in by_band.items()},
                          meetings(described, similarity))
     if single_percent is not None:
@@ -525,7 +529,7 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     keyed = texts.select("text").mapInArrow(tidied(index), "key long, node long")
     members = checkpointed(
         keyed.repartition("key").sortWithinPartitions("key", "node")
-        .mapInArrow(tidied(bucket), "bucket long, block int, node long").distinct(), "buckets")
+        .mapInArrow(tidied(bucket), "bucket long, block int, node long").distinct(), "buckets", total * BUCKETS)
 
     # Size and sketch of every node that is in a bucket, from one of its rows.
     firsts = (described.where("node is not null").groupBy("node")
@@ -560,22 +564,23 @@ def similarity_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         # A key finds one row unless rows repeat (id and text); only then is there
         # something to drop, and the wide rows are shuffled for it.
         keys = firsts.join(wanted, "node", "left_semi").select("row_key")
-        made = checkpointed(matching(texts, keys, "row_key").select("text").mapInArrow(tidied(fill), schema),
-                            name)
+        made = checkpointed(matching(texts, keys, "row_key", rows=total).select("text")
+                            .mapInArrow(tidied(fill), schema), name)
         once = made.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
         return made if once else checkpointed(made.dropDuplicates(["node"]), name)
 
     nodes = of_nodes(in_bucket, sketches, "node long, size long, bits binary", "sketches")
-    pairs = checkpointed(candidate_pairs(members, nodes, None, similarity), "pairs")
+    pairs = checkpointed(candidate_pairs(members, nodes, None, similarity), "pairs", members.count())
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = of_nodes(ends, elements_of, "node long, elements binary", "elements")
-    links = checkpointed(verified(pairs, sets, similarity), "links")
-    reached = connected_components(links, "a", "b")
+    links = checkpointed(verified(pairs, sets, similarity), "links", pairs.count(), PAIRS_PER_FILE)
+    reached = connected_components(links, "a", "b", links.count())
     # Only nodes with a possible partner can gain a link.
     again = members.join(ends, "node", "left_semi")
     left = candidate_pairs(again, nodes, reached, similarity).join(pairs, ["a", "b"], "left_anti")
     more = checkpointed(verified(left, sets, similarity), "links")
-    groups = connected_components(links.unionByName(more), "a", "b")
+    links = links.unionByName(more)
+    groups = connected_components(links, "a", "b", links.count())
 
     named = (firsts.join(groups.withColumnRenamed("id", "node"), "node", "left")
              .withColumn("component", F.coalesce("component", "node")))

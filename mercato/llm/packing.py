@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.llm import pretokens
-from mercato.llm.common import acyclic, checkpointed, documents, held, tidied
+from mercato.llm.common import acyclic, checkpointed, documents, few_files, held, tidied
 
 SEQUENCE_LENGTH = 1024
 CLOSING_ID = 0
@@ -176,7 +176,7 @@ def pack(cut: DataFrame, *, length: int = SEQUENCE_LENGTH, salts: int = SALTS) -
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
                        "sequence_id", "offset"])
 
-    return ranked.mapInArrow(tidied(place), _PACKED)
+    return few_files(ranked.mapInArrow(tidied(place), _PACKED), sum(histogram.values()))
 
 
 def packed_documents(docs: DataFrame, **options) -> DataFrame:

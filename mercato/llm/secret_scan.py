@@ -103,7 +103,7 @@ LABELLED = [
     ("path.txt", "in ", "usr/local/share/applications", " there", 0),
     ("tests/fixtures/key.txt", "token = \"", "test_token_value_for_unit_tests", "\"", 0),
 ]
-_FINDING = "path string, before string, value string, after string, label double"
+_FINDING_FIELDS = "path: string, before: string, value: string, after: string, label: double"
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -186,7 +186,14 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def fixed_findings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*row[:4], float(row[4])) for row in LABELLED], _FINDING)
+    """LABELLED, dealt out in order. Literals, as rows given by Python would start
+    Python processes on the executors that stay for the rest of the session."""
+    slices = spark.sparkContext.defaultParallelism
+    run = max(1, len(LABELLED) // slices)
+    each = F.array(*[F.struct(*map(F.lit, (*row[:4], float(row[4])))).cast(f"struct<{_FINDING_FIELDS}>")
+                     for row in LABELLED])
+    return (spark.range(0, -(-len(LABELLED) // run), 1, slices)
+            .select(F.inline(F.slice(each, F.col("id").cast("int") * run + 1, F.lit(run)))))
 
 
 def labelled_findings(found: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
@@ -248,7 +255,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     each; other columns are ignored; an empty table gives an empty result.
     """
     found = checkpointed(candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col),
-                         "candidates")
+                         "candidates", docs.count())
     model = train(labelled_findings(found) if labelled is None else labelled)
     return judged(found, model, threshold)
 
@@ -258,7 +265,7 @@ def redacted(docs: DataFrame, findings: DataFrame, *, id_col: str = "doc_id",
     """``docs`` with every found secret replaced by ``mark``, columns as before."""
     secrets = (findings.where("is_secret").groupBy(F.col("doc_id").alias("__of"))
                .agg(F.array_sort(F.collect_set("value")).alias("__secrets")))
-    secrets = checkpointed(secrets, "secrets")
+    secrets = checkpointed(secrets, "secrets", findings.count())
     few = secrets.count() <= BROADCAST_DOCUMENTS
     joined = docs.join(F.broadcast(secrets) if few else secrets.hint("merge"),
                        F.col(id_col).eqNullSafe(F.col("__of")), "left")

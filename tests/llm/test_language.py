@@ -1,11 +1,14 @@
 """Language ID: held-out accuracy, no leaks, rejection, the model's sums."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mercato.llm.common import documents
-from mercato.llm.language_id import (BITS, accepted, grams, identify, kneser_ney,
+from mercato.llm.language_id import (BITS, Scorer, accepted, grams, identify, kneser_ney,
                                      log_probabilities, op4_language_id, train)
 from tests.conftest import SF_ORACLE
 
@@ -68,3 +71,22 @@ def test_probabilities_sum_to_one():
     for context in {int(k) >> BITS for k in keys} | {12345}:
         wanted = (context << BITS) + np.arange(1 << BITS)
         assert abs(np.exp2(log_probabilities(model, wanted)).sum() - 1) < 1e-9
+
+
+def test_scorer_keeps_no_memory_for_grams_it_has_not_seen():
+    texts = ["the quick brown fox", "jumps over the lazy dog", "über größe 12 !", None, "the quick"]
+    keys = np.concatenate([grams(t) for t in texts])
+    found, n = np.unique(keys, return_counts=True)
+    scorer = Scorer({"en": kneser_ney(found, n)})
+    sizes, mean, square = scorer.entropies(texts)
+    assert (scorer.index != 0).sum() == len(found) == len(scorer.table)
+    for i, text in enumerate(texts):
+        bits = -log_probabilities(scorer.models[0], grams(text).astype(np.int64)).astype(np.float32)
+        assert sizes[i] == len(bits)
+        assert not len(bits) or np.allclose([mean[i, 0], square[i, 0]], [bits.mean(), (bits ** 2).mean()], 1e-5)
+    script = ("import re; from mercato.llm.language_id import Scorer; s = Scorer({}); s.index[5] = 1;"
+              "print(re.search(r'VmRSS:\\s+(\\d+)', open('/proc/self/status').read())[1])")
+    base = script.replace("s = Scorer({}); s.index[5] = 1;", "")
+    used = [int(subprocess.run([sys.executable, "-c", x], capture_output=True, check=True, text=True).stdout)
+            for x in (base, script)]
+    assert used[1] - used[0] < 32_000

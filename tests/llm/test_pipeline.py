@@ -1,5 +1,6 @@
 """The pipeline's stages, each against what it promises, and its whole run."""
 
+import pathlib
 import re
 
 import numpy as np
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from mercato.llm.common import documents
+from mercato.session import checkpoint_dir
 from tests.conftest import SF_SMALL
 from tests.llm.test_ngrams import brute, gram_sets
 from tests.llm.test_packing import check_sequences
@@ -82,3 +84,28 @@ def test_empty_table_passes_through(spark):
     for _, run in pipeline.STAGES:
         docs = run(spark, docs, SF_SMALL)
     assert docs.count() == 0
+
+
+def test_small_results_are_written_in_few_files(spark):
+    """However many shuffle partitions a session has: every file may cost an
+    executor a process (five words are said twice, so all stages have rows)."""
+    docs = spark.createDataFrame(
+        [(i, f"the brown fox number {i // 2} jumps over dog {i // 2} and cat {i // 2}", "en", "s", 9)
+         for i in range(120)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = pathlib.Path(checkpoint_dir(spark).removeprefix("file:"), "mercato-llm")
+    before = set(folder.glob("*"))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        kept = stage("near_duplicates")(spark, docs, SF_SMALL)
+        assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == list(range(0, 120, 2))
+        packed = stage("packing")(spark, docs, SF_SMALL)
+        assert packed.rdd.getNumPartitions() == 1 and packed.count() == 120
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = {f.name.rsplit("-", 1)[0]: len(list(f.glob("part-*"))) for f in set(folder.glob("*")) - before}
+    shuffled = {k: n for k, n in files.items() if k in ("buckets", "ids", "pairs", "cc", "groups", "repeated")}
+    assert {"buckets", "ids", "groups"} <= set(shuffled) and max(shuffled.values()) == 1

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from mercato.llm.common import documents
-from mercato.llm.secret_scan import (candidates, fixed_findings, op1_secret_scan, redacted, scan,
+from mercato.llm.secret_scan import (LABELLED, candidates, fixed_findings, op1_secret_scan, redacted, scan,
                                      train, with_features)
 from tests.conftest import SF_ORACLE
 
@@ -158,3 +158,9 @@ def test_scan_after_an_observation(spark):
     spark.range(10).observe(seen, F.count(F.lit(1)).alias("n")).collect()
     assert seen.get["n"] == 10
     assert op1_secret_scan(spark, SF_ORACLE).count() > 0
+
+
+def test_fixed_findings_start_no_python_on_executors(spark):
+    rows = fixed_findings(spark)
+    assert "ExistingRDD" not in rows._jdf.queryExecution().toString()
+    assert [tuple(r) for r in rows.collect()] == [(*r[:4], float(r[4])) for r in LABELLED]
