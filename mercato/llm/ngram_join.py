@@ -354,7 +354,8 @@ def candidate_pairs(members: DataFrame, nodes: DataFrame, components: DataFrame
         info = (info.join(components.withColumnRenamed("id", "node"), "node", "left")
                 .withColumn("component", F.coalesce("component", "node")))
     blocks = members.where("block > 0").groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
-    work = (members.join(info, "node").join(blocks, "bucket", "left")
+    # The sketches come last, so that they are shuffled by bucket once.
+    work = (members.join(blocks, "bucket", "left").join(info, "node")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
             .select("bucket", F.least("block", "other").alias("low"),
                     F.greatest("block", "other").alias("high"), "block", "node", "size", "bits",
