@@ -149,11 +149,24 @@ class BoundedMemo(dict):
             value = self.compute(key)
             if len(key) > self.longest:
                 return value
+        self.age()
+        self[key] = value
+        return value
+
+    def age(self) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
+
+    def unknown(self, keys) -> list:
+        """Those of ``keys`` that would be computed, and then remembered."""
+        old, longest = self.old, self.longest
+        return [k for k in keys if k not in self and k not in old and len(k) <= longest]
+
+    def remember(self, entries) -> None:
+        """Entries that were computed elsewhere, many at once (they may pass ``limit``)."""
+        self.age()
+        self.update(entries)
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:

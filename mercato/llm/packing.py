@@ -17,10 +17,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,33 +33,131 @@ SEQUENCE_LENGTH = 1024
 CLOSING_ID = 0
 SALTS = 128
 MEMO = 500_000  # chunks whose ids a worker remembers, per generation
+LONGEST = 64  # characters of a stretch that is merged with others
+GROUP = 128  # stretches merged in one call
+TEXTS = 1 << 20  # characters of texts that are handled at a time (one text at least)
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
 
 class IdBytes:
-    """Ids of a text as little-endian unsigned 32-bit integers, by ``tokenizers``."""
+    """Ids of texts as little-endian unsigned 32-bit integers, by ``tokenizers``.
+
+    Arrow splits many texts at their spaces and numbers the distinct chunks.
+    The stretches among them that are not remembered are merged together, so
+    each costs its share of a call, and the texts' ids are gathered by number.
+    """
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.model = tokenizer.model
-        self.alphabet = {b: c for b, c in enumerate(pretokens.byte_alphabet())}
+        alphabet = pretokens.byte_alphabet()
+        self.shown = np.array([ord(c) for c in alphabet], "<u2")
         added = tokenizer.get_added_tokens_decoder()
         self.added_ids = {t.content: int(i).to_bytes(4, "little") for i, t in added.items()}
         longest_first = sorted(self.added_ids, key=len, reverse=True)
         self.added = (re.compile(f"({'|'.join(map(re.escape, longest_first))})")
                       if longest_first else None)
-        self.memo = pretokens.ChunkMemo(self._stretch, b"".join, memo)
-
-    def _stretch(self, stretch: str) -> bytes:
-        shown = stretch.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if self.added is None or not self.added.search(text):
-            return self.memo.text(text)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        space, feed = alphabet[32], alphabet[10]
+        size = max(vocabulary.values(), default=-1) + 1
+        self.spaced, self.feed = np.zeros(size, bool), np.zeros(size, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+        self.feed[[i for token, i in vocabulary.items() if token == feed]] = True
+        # whether the ids of a sequence depend on its bytes and the merges alone
+        self.plain = vocabulary.keys() >= set(alphabet) and not any(getattr(self.model, option, None) for option in (
+            "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.memo = pretokens.ChunkMemo(lambda s: self._ids(s).tobytes(), b"".join, memo)
+
+    def _ids(self, stretch: str) -> np.ndarray:
+        codes = self.shown[np.frombuffer(stretch.encode("utf-8"), np.uint8)]
+        return np.array([t.id for t in self.model.tokenize(codes.tobytes().decode("utf-16-le"))], "<u4")
+
+    def _together(self, stretches: list[str], mark: str, marks: np.ndarray) -> list[bytes]:
+        """Ids of each stretch, ``GROUP`` merged as one sequence.
+
+        Every stretch has ``mark`` before it (" " is its own first character, a
+        line feed is put there), and nowhere else. Merges only join, so where as
+        many tokens as there are stretches start with the space, or are the line
+        feed, no merge went across, and each stretch has the ids that it has
+        alone. Otherwise the group's are merged alone.
+        """
+        out: list[bytes] = []
+        own = mark == " "
+        for at in range(0, len(stretches), GROUP):
+            group = stretches[at:at + GROUP]
+            ids = self._ids("".join(group) if own else mark + mark.join(group))
+            first = np.flatnonzero(marks[ids])
+            if len(first) != len(group):
+                out += [self._ids(s).tobytes() for s in group]
+                continue
+            data, stops = ids.tobytes(), [*(4 * first[1:]).tolist(), 4 * len(ids)]
+            starts = (4 * first if own else 4 * first + 4).tolist()
+            out += [data[a:b] for a, b in zip(starts, stops)]
+        return out
+
+    def _find(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each of the matches of the public pattern."""
+        spaced, other, alone = [], [], []
+        for s in stretches:
+            if not self.plain or len(s) > LONGEST:
+                alone.append(s)
+            elif s.rfind(" ") == 0:
+                spaced.append(s)
+            elif " " in s or "\n" in s:
+                alone.append(s)
+            else:
+                other.append(s)
+        if len(spaced) == len(stretches):
+            return self._together(spaced, " ", self.spaced)
+        found = dict(zip(spaced, self._together(spaced, " ", self.spaced)))
+        found.update(zip(other, self._together(other, "\n", self.feed)))
+        found.update((s, self._ids(s).tobytes()) for s in alone)
+        return [found[s] for s in stretches]
+
+    def texts(self, texts) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TEXTS:
+                yield from self._texts(held)
+                held, size = [], 0
+        yield from self._texts(held)
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        starts, rests = [], []  # stretches, and the chunks after them
+        for text in texts:
+            rest = None
+            if self.added is not None and self.added.search(text):
+                found = None
+            elif pretokens.undivided(text):
+                found = pretokens.split(text)
+            else:
+                first, space, rest = text.partition(" ")
+                found, rest = pretokens.split(first), rest if space else None
+            starts.append(found)
+            rests.append(rest)
+        chunks = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        coded = chunks.values.dictionary_encode()
+        distinct, number = coded.dictionary.to_numpy(False).tolist(), coded.indices.to_numpy()
+        self.memo.learn(distinct, set().union(*filter(None, starts)), self._find)
+        ids = list(map(self.memo.__getitem__, distinct))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(sizes) - sizes
+        n = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(first[number] - ends[:-1], n) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        bounds = (4 * ends[chunks.offsets.to_numpy()]).tolist()
+        stretch = self.memo.by_stretch.__getitem__
+        return [self._with_added(text) if found is None else b"".join([*map(stretch, found), data[a:b]])
+                for text, found, a, b in zip(texts, starts, bounds, bounds[1:])]
+
+    def _with_added(self, text: str) -> bytes:
         return b"".join(self.added_ids[part] if part in self.added_ids else self.memo.text(part)
                         for part in self.added.split(text))
 
@@ -81,8 +181,9 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             rows = []
             with acyclic():
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    data = memoryview(tokenizer.ids(text or "") + closing)
+                texts = tokenizer.texts(text or "" for text in batch.column(1).to_pylist())
+                for doc_id, ids in zip(batch.column(0).to_pylist(), texts):
+                    data = memoryview(ids + closing)
                     total = len(data) // 4
                     for start in range(0, total, length):
                         piece = data[4 * start:4 * (start + length)]

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from mercato.llm.common import documents
-from mercato.llm.packing import op7_packing, packed_documents, shortest_pack_first
+from mercato.llm.packing import IdBytes, op7_packing, packed_documents, shortest_pack_first
 from tests.conftest import SF_SMALL
 
 
@@ -66,6 +66,33 @@ def test_edges(spark):
     assert packed_documents(table.limit(0)).count() == 0
 
 
+def test_odd_texts_have_the_ids_of_the_library(library):
+    pick = random.Random(7)
+    bits = ["a", "'s", "'song", "ll", " the", "the", "  ", " ", "\n", "\n\n", "\t", "é", "à", "Â", "\u00a0", " .", ".", ",",
+            "12", "!!", "$$", "Ж", "漢", "ß", "ǅ", "\U0001F600", "x" * 70, "<|endoftext|>", "<|end"]
+    texts = ["".join(pick.choice(bits) for _ in range(pick.randint(0, 30))) for _ in range(3000)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for memo in (500_000, 10):
+        assert list(IdBytes(public_tokenizers.path("byte_bpe_50k.json"), memo).texts(texts)) == want
+
+
+def test_new_words_share_calls_of_the_model(library):
+    class Counted:
+        calls = 0
+
+        def tokenize(self, sequence):
+            self.calls += 1
+            return library.model.tokenize(sequence)
+
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j % 26)}{'xyz'[j // 26]}{'q' * (i // 26)}" for j in range(78))
+             + ".\nNext" for i in range(60)]
+    tokenizer = IdBytes(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.model = Counted()
+    got = list(tokenizer.texts(texts))
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len({w for t in texts for w in t.split()}) > 4000 and tokenizer.model.calls < 200
+
+
 def test_one_length_holds_nearly_all_rows(spark):
     table = spark.range(3000).selectExpr("id as doc_id", "if(id % 7 = 0, 'some more words', 'one') as text")
     got = packed_documents(table).collect()
