@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ ROUNDS = 8
 PARTS = 8  # of the frequent words
 CHUNK = 1 << 19  # tokens of a chunk (one document at least)
 PAIRS = 1 << 21  # neighbouring symbols counted at a time
+SLICE = 1 << 20  # bytes of texts split at a time (one text at least)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
            "base_score double, score double")
@@ -56,27 +58,57 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
+def slices(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
+    """The rows of a batch, cut at about every ``SLICE`` bytes of a column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    of = (np.cumsum(sizes) - sizes) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(sizes)]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """:func:`words_of` all texts (binary), one after the other, and where each
+    text's begin, with the end."""
+    # these kernels look at single bytes, whatever the encoding
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    words = lists.values[offsets[0]:offsets[-1]]
+    offsets -= offsets[0]
+    kept = pc.not_equal(pc.binary_length(words), 0)  # spaces around a text leave empty words
+    before = np.concatenate([[0], np.cumsum(kept.to_numpy(False))])
+    if before[-1] < len(words):
+        words, offsets = words.filter(kept), before[offsets]
+    return words.view(pa.binary()), offsets
+
+
+def distinct(words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, and the number of each word among them."""
+    coded = words.dictionary_encode()
+    return coded.dictionary.to_numpy(False).tolist(), coded.indices.to_numpy()
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, ending, c): every word of the one-column table ``texts``."""
     def count(batches):
-        found: dict[bytes, int] = {}
-        size = 0
+        held, size = [], 0
 
         def out():
+            found = pa.chunked_array(held, pa.binary()).combine_chunks().value_counts()
+            words = found.field("values")
             return pa.RecordBatch.from_arrays(
-                [pa.array(found.keys(), pa.binary()), pa.array(map(ending, found), pa.int32()),
-                 pa.array(found.values(), pa.int64())], names=["word", "ending", "c"])
+                [words, pa.array(map(ending, words.to_numpy(False).tolist()), pa.int32()), found.field("counts")],
+                names=["word", "ending", "c"])
 
         for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
+            for part in slices(batch, 0):
+                words, _ = split(part.column(0))
+                held.append(words)
                 size += len(words)
-                for word in words:
-                    found[word] = found.get(word, 0) + 1
                 if size >= CHUNK:
                     yield out()
-                    found, size = {}, 0
-        yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
 
     return (texts.mapInArrow(tidied(count), "word binary, ending int, c long")
             .groupBy("word", "ending").agg(F.sum("c").alias("c")))
@@ -118,8 +150,13 @@ def neighbours(texts: DataFrame, frequent: dict[bytes, int]) -> DataFrame:
                      pa.array(n[part], pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                line = np.fromiter([end, *map(number.__getitem__, words_of(text.as_py())), end], np.int64)
+            for part in slices(batch, 0):
+                words, offsets = split(part.column(0))
+                different, code = distinct(words)
+                texts_here = len(offsets) - 1
+                line = np.full(len(code) + texts_here + 1, end, np.int64)  # an end before and after each text
+                place = np.arange(1, len(code) + 1) + np.repeat(np.arange(texts_here), np.diff(offsets))
+                line[place] = np.fromiter(map(number.__getitem__, different), np.int64, len(different))[code]
                 held.append(line[:-1] * symbols + line[1:])
                 size += len(line) - 1
                 if size >= PAIRS:
@@ -375,24 +412,30 @@ def chunks(docs: DataFrame, model: Model) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                               names=[part.split()[0] for part in _CHUNKS.split(", ")])
 
+        def add(doc_id, held, number, endings):
+            often = number < n_frequent
+            kind = np.full(len(number) + 2, end_class)
+            inner = kind[1:-1]
+            inner[often] = classes[number[often]]
+            rare, back, times = np.unique(number[~often] - n_frequent, return_inverse=True, return_counts=True)
+            inner[~often] = end_class + 1 + endings[rare][back]
+            n = len(number) + 1
+            score = (transition[kind[:-1], kind[1:]].sum() + emitted[number[often]].sum()
+                     - mass[inner[~often]].sum())
+            base = plus_one[number[often]].sum() + end_base - n * each
+            rows.append((doc_id, held, n, int(often.sum()) + end_known, float(base),
+                         float(score), len(rare), rare, times))
+
         for batch in batches:
-            for doc_id, text, held in zip(*[batch.column(i) for i in range(3)]):
-                words = words_of(text.as_py())
-                number = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-                often = number < n_frequent
-                kind = np.full(len(words) + 2, end_class)
-                inner = kind[1:-1]
-                inner[often] = classes[number[often]]
-                rare, back, times = np.unique(number[~often] - n_frequent, return_inverse=True, return_counts=True)
-                endings = np.array([table.endings[i] for i in rare.tolist()], np.int64)
-                inner[~often] = end_class + 1 + endings[back]
-                n = len(words) + 1
-                score = (transition[kind[:-1], kind[1:]].sum() + emitted[number[often]].sum()
-                         - mass[inner[~often]].sum())
-                base = plus_one[number[often]].sum() + end_base - n * each
-                rows.append((doc_id.as_py(), held.as_py(), n, int(often.sum()) + end_known, float(base),
-                             float(score), len(rare), rare, times))
-                size += n
+            for part in slices(batch, 1):
+                words, offsets = split(part.column(1))
+                different, code = distinct(words)
+                numbers = np.fromiter(map(table.__getitem__, different), np.int64, len(different))[code]
+                endings_here = np.array(table.endings, np.int64)
+                for doc_id, held, number in zip(part.column(0).to_pylist(), part.column(2).to_pylist(),
+                                                np.split(numbers, offsets[1:-1])):
+                    add(doc_id, held, number, endings_here)
+                size += len(numbers) + len(part)
                 if size >= CHUNK:
                     yield out()
                     table, rows, size = _Chunk(frequent), [], 0

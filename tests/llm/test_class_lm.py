@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,34 @@ def test_chunks_change_nothing(spark, monkeypatch):
         assert many[key].score == pytest.approx(r.score)
 
 
+def test_split_gives_the_words_of_every_text(monkeypatch):
+    pick = np.random.default_rng(3)
+    bits = [b"a", b"B", b" ", b"\t", b"\x0b", b"\x0c", b"\r\n", b"\x1c", "É".encode(), b"\xc2\xa0", b"\xff", b"\x85", b"\x00"]
+    texts = [None, b"", b" ", b"a", *(b"".join(bits[i] for i in pick.integers(0, len(bits), n % 13)) for n in range(900))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(lm, "SLICE", size)
+        got = []
+        for part in lm.slices(batch, 0):
+            words, offsets = lm.split(part.column(0))
+            different, code = lm.distinct(words)
+            words = words.to_pylist()
+            assert [different[i] for i in code] == words and len(set(different)) == len(different)
+            got += [words[a:b] for a, b in zip(offsets, offsets[1:])]
+        assert got == [lm.words_of(t) for t in texts]
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in documents(spark, SF_SMALL).collect()][:40] + ODD
+    one = {(r.doc_id, r.n_tokens): r for r in scored(frame(spark, rows), rounds=1)}
+    monkeypatch.setattr(lm, "SLICE", 1000)
+    monkeypatch.setattr(lm, "CHUNK", 300)
+    for r in scored(frame(spark, rows).repartition(2), rounds=1):
+        want = one[r.doc_id, r.n_tokens]
+        assert r.n_known == want.n_known and r.base_score == pytest.approx(want.base_score)
+        assert r.score == pytest.approx(want.score)
+
+
 def test_gains_are_differences_of_the_likelihood():
     pick = np.random.default_rng(0)
     symbols, kinds, choices = 30, 8, 5
