@@ -36,6 +36,13 @@ def undivided(text: str) -> bool:
             or text.endswith(" ") or _UNUSUAL.search(text) is not None)
 
 
+def single_feeds(text: str) -> bool:
+    """Whether line feeds are the only white space besides spaces and each is a
+    match of its own, in a text that is not :func:`undivided`: it can be split
+    before and after each as well, the part after it having no space before it."""
+    return "\n\n" not in text and "\t" not in text and "\r" not in text
+
+
 def chunks(text: str) -> list[str] | None:
     """``text.split(" ")`` where each part after the first can be split on its
     own as ``" " + part``; None where the text has to be split as a whole."""
@@ -79,33 +86,3 @@ class ChunkMemo(BoundedMemo):
             return self.join([self.by_stretch[s] for s in split(text)])
         first = self.join([self.by_stretch[s] for s in split(parts[0])])
         return self.join([first, *map(self.__getitem__, parts[1:])])
-
-    def learn(self, parts: list[str], stretches: set[str], of_stretches) -> None:
-        """Remember what is not known yet of ``parts`` and ``stretches``;
-        ``of_stretches`` gives the values of many distinct matches at once."""
-        alone, marked, mixed = [], [], []
-        for part in self.unknown(parts):
-            if part.isalpha():
-                alone.append(part)
-            elif part[-1] in _CLOSING and part[:-1].isalpha():
-                marked.append(part)
-            else:
-                mixed.append((part, split(" " + part)))
-        words, rest = {part[:-1] for part in marked}, set(stretches)
-        rest.update(part[-1] for part in marked)
-        for _, found in mixed:
-            for stretch in found:
-                if stretch[0] == " " and stretch[1:].isalpha():
-                    words.add(stretch[1:])
-                else:
-                    rest.add(stretch)
-        words.difference_update(alone)
-        alone += self.unknown(words)
-        rest = self.by_stretch.unknown(rest)
-        values = of_stretches([" " + word for word in alone] + rest)
-        self.remember(zip(alone, values))
-        self.by_stretch.remember(zip(rest, values[len(alone):]))
-        join, mark = self.join, self.by_stretch
-        self.remember([(part, join((self[part[:-1]], mark[part[-1]]))) for part in marked])
-        self.remember([(part, join([self[s[1:]] if s[0] == " " and s[1:].isalpha() else mark[s] for s in found]))
-                       for part, found in mixed])

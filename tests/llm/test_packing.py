@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from mercato.llm import pretokens
 from mercato.llm.common import documents
 from mercato.llm.packing import IdBytes, op7_packing, packed_documents, shortest_pack_first
 from tests.conftest import SF_SMALL
@@ -93,6 +94,40 @@ def test_new_words_share_calls_of_the_model(library):
     assert len({w for t in texts for w in t.split()}) > 4000 and tokenizer.model.calls < 200
 
 
+def test_words_at_marks_and_line_feeds_are_not_split_one_by_one(library, monkeypatch):
+    pick = random.Random(3)
+    words = ["".join(pick.choice("abcdefghijé") for _ in range(pick.randint(2, 9))) for _ in range(4000)]
+    ends = ["", ",", ".", "!!", "?!", "...", "$$$", "%", "'", "_)", "*&"]
+    texts = ["".join(w + pick.choice(ends) + pick.choice([" ", "\n", "\n "]) for w in words[at:at + 80]).strip(" ")
+             for at in range(0, 4000, 80)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    calls, split = [], pretokens.split
+    monkeypatch.setattr(pretokens, "split", lambda text: calls.append(text) or split(text))
+    tokenizer = IdBytes(public_tokenizers.path("byte_bpe_50k.json"))
+    assert list(tokenizer.texts(texts)) == want
+    assert len(calls) < 100
+
+
+def test_texts_around_line_feeds_and_marks_have_the_ids_of_the_library(library):
+    pick = random.Random(11)
+    bits = ["a", "Next", "é", "7", "x" * 70, "'s", "'", "'ll", ".", ",", "!!", "_", "\n", "\n", "\n\n", "\r", "\t", " ", " "]
+    texts = ["", "\n", "\n\n", " ", ".", "\n.", "a\n"]
+    texts += ["".join(pick.choice(bits) for _ in range(pick.randint(1, 12))) for _ in range(6000)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for memo in (500_000, 40, 1):
+        tokenizer = IdBytes(public_tokenizers.path("byte_bpe_50k.json"), memo)
+        got = [ids for at in range(0, len(texts), 500) for ids in tokenizer.texts(texts[at:at + 500])]
+        assert got == want
+        assert len(tokenizer.words.words) == len(tokenizer.words.number) <= memo
+
+
+def test_long_words_are_not_kept():
+    tokenizer = IdBytes(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(5):
+        list(tokenizer.texts([f"some words {'ab' * 50_000}{k} and more."]))
+    assert len(tokenizer.words.data) < 100 and max(map(len, tokenizer.words.words)) < 64
+
+
 def test_one_length_holds_nearly_all_rows(spark):
     table = spark.range(3000).selectExpr("id as doc_id", "if(id % 7 = 0, 'some more words', 'one') as text")
     got = packed_documents(table).collect()
